@@ -35,7 +35,7 @@ STOPWORDS = {
 _TIME = r"\d{1,3}:\d{2}(?::\d{2})?(?:[.,]\d{1,3})?"
 HEAD = regex.compile(rf"^[\s]*(?:\[\s*({_TIME})\s*\]|\(\s*({_TIME})\s*\)|<\s*({_TIME})\s*>|({_TIME})(?=\s))[:,]?\s*(?:[-–—]\s+)?")
 _LABEL = regex.compile(r"^\s*((?:>+\s*)?[^:\n!?]{1,60}?)\s*:{1,2}\s+(?=\S)")
-_NOTES = regex.compile(
+NOTES = regex.compile(
     r"\[[^\[\]\n]{0,80}\]|\{[^{}\n]{0,80}\}|<[^<>\n]{0,80}>|♪[^♪\n]{0,80}♪|[♪♫]+|#\p{L}[\p{L} ]{0,30}#|\*\p{L}[\p{L} ]{0,40}\*|【[^【】\n]{0,80}】|［[^［］\n]{0,80}］"
     rf"|\(+(?:[^()\n]{{0,40}}?(?:{'|'.join(SOUNDS)})[^()\n]{{0,40}})\)+|（(?:[^（）\n]{{0,20}}?(?:{'|'.join(SOUNDS)})[^（）\n]{{0,20}})）|(?<![\d.,:])\d{{1,3}}:\d{{2}}:\d{{2}}(?:[.,]\d{{1,3}})?(?![\d:])",
     regex.I,
@@ -67,4 +67,4 @@ def read_turn(text: str | None, labelled: bool, lang: str | None) -> tuple[int |
             head = offset_ms(next(g for g in m.groups() if g))
             text = text[m.end() :]
     sound = _HESITATION.get((lang or "*").lower().split("-")[0], _HESITATION["*"])
-    return head, label, [w for w in _WORD.findall(_NOTES.sub(" ", text)) if not sound.fullmatch(w)]
+    return head, label, [w for w in _WORD.findall(NOTES.sub(" ", text)) if not sound.fullmatch(w)]

@@ -32,7 +32,7 @@ def _read(text: pd.Series, labelled: pd.Series, lang: pd.Series) -> pd.DataFrame
     return out
 
 
-def _languages(turns: DataFrame, recordings: DataFrame) -> DataFrame:
+def languages(turns: DataFrame, recordings: DataFrame) -> DataFrame:
     """(transcript_id, workspace, lang); a missing lang is the one whose frequent words occur most in the transcript."""
     r = recordings.select("transcript_id", F.col("workspace_id").alias("workspace"), "lang").where("transcript_id IS NOT NULL").dropDuplicates(["transcript_id"])
     blank = r.where("lang IS NULL").select("transcript_id")
@@ -52,7 +52,7 @@ def read_turns(turns: DataFrame, recordings: DataFrame) -> DataFrame:
     """
     t = turns.select("transcript_id", F.col("turn_index").cast("bigint").alias("turn_index"), "text", F.nullif(F.trim("raw_speaker"), F.lit("")).alias("raw"), F.col("start_ms").cast("bigint").alias("start_ms"), F.col("end_ms").cast("bigint").alias("end_ms"))
     t = spread(t.where("transcript_id IS NOT NULL AND turn_index IS NOT NULL")).dropDuplicates(["transcript_id", "turn_index"])
-    x = t.join(_languages(t, recordings), "transcript_id", "left")
+    x = t.join(languages(t, recordings), "transcript_id", "left")
     x = x.select("transcript_id", "turn_index", "workspace", "raw", "start_ms", "end_ms", _read("text", F.col("raw").isNotNull(), "lang").alias("_r"))
     x = cut(x.select("transcript_id", "turn_index", F.coalesce("workspace", F.lit("")).alias("workspace"), F.coalesce("raw", "_r.label").alias("shown"), F.coalesce("start_ms", "_r.head_ms").alias("start_ms"), "end_ms", "_r.words"))
     x = x.join(link_names(x, "workspace", "shown").select("workspace", "shown", "entity"), ["workspace", "shown"], "left")
