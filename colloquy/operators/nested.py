@@ -26,11 +26,22 @@ def _object(text: Column) -> Column:
     return F.when(F.ltrim(text).startswith("{"), F.from_json(text, "map<string,string>"))
 
 
+def _raw(text: Column, name: str) -> Column:
+    """A field as raw text; NULL if it is no object."""
+    return F.from_json(text, f"{name} string")[name]
+
+
 def _unquoted(text: Column) -> Column:
     """The content of a JSON string; other texts as they are."""
     return F.when(F.ltrim(text).startswith('"'), F.get(F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<string>"), F.lit(0))).otherwise(text)
 
 
+def _numbers_as_text(text: Column) -> Column:
+    """JSON with its numbers in quotation marks, so that no reader writes 3.50 anew as 3.5; strings are passed over whole."""
+    marked = F.regexp_replace(text, r'("[^"\\]*+(?:\\.[^"\\]*+)*+")|(?<![\w.+-])(-?\d[\d.eE+-]*+)', "$1\u0001$2\u0001")
+    return F.replace(F.replace(marked, F.lit("\u0001\u0001"), F.lit("")), F.lit("\u0001"), F.lit('"'))
+
+
 def _is_response(text: Column) -> Column:
     return F.ltrim(text).startswith("{") & (F.get_json_object(text, "$.monologues").isNotNull() | F.get_json_object(text, "$.results").isNotNull())
 
@@ -40,6 +51,7 @@ def _level(candidates: Column) -> Column:
 
     def down(c: Column) -> Column:
         text = _unquoted(c["text"])
+        text = F.when(F.ltrim(c["text"]).startswith('"'), _numbers_as_text(text)).otherwise(text)
         t = F.ltrim(text)
         at = lambda x, i: F.struct(i.cast("bigint").alias("pos"), x.alias("text"))
         same = lambda x: F.struct(c["pos"].alias("pos"), x.alias("text"))
@@ -62,26 +74,27 @@ def responses(payloads: DataFrame, key: str = "payload_id", body: str = "body")
     """
     x = payloads.select(F.col(key).alias("_key"), F.regexp_replace(F.col(body), "^﻿", "").alias("_body")).where(F.col("_key").isNotNull()).dropDuplicates(["_key"])
     x = x.where(F.try_parse_json("_body").isNotNull())
-    c = F.array(F.struct(F.lit(0).cast("bigint").alias("pos"), F.col("_body").alias("text")))
+    plain = F.when(F.ltrim("_body").startswith('"'), F.col("_body")).otherwise(_numbers_as_text(F.col("_body")))
+    c = F.array(F.struct(F.lit(0).cast("bigint").alias("pos"), plain.alias("text")))
     x = x.select("_key", c.alias("_c"))
     for _ in range(DEPTH):
         x = x.select("_key", _level(F.col("_c")).alias("_c"))
     x = x.select("_key", F.inline(F.filter("_c", lambda r: _is_response(r["text"]))))
-    x = x.select("_key", "pos", F.get_json_object("text", "$.monologues").alias("_m"), F.get_json_object("text", "$.results").alias("_r"))
+    x = x.select("_key", "pos", _raw(F.col("text"), "monologues").alias("_m"), _raw(F.col("text"), "results").alias("_r"))
     vendor = F.when(F.col("_m").isNotNull(), "rev").when(F.get_json_object("_r", "$.items").isNotNull(), "aws_transcribe").otherwise("google_stt")
     return x.select(F.col("_key").alias(key), F.col("pos").alias("record_pos"), vendor.alias("vendor"), F.coalesce("_m", "_r").alias("root"))
 
 
 def _first_alternative(text: Column) -> Column:
-    return F.get(_array(F.get_json_object(text, "$.alternatives")), F.lit(0))
+    return F.get(_array(_raw(text, "alternatives")), F.lit(0))
 
 
 def _nodes(x: DataFrame, key: str) -> DataFrame:
     """One row per response with its parents (monologues, results, or the one AWS result) as raw texts of their children."""
     children = lambda parent: (
-        F.when(F.col("vendor") == "rev", F.get_json_object(parent, "$.elements"))
-        .when(F.col("vendor") == "aws_transcribe", F.get_json_object(parent, "$.items"))
-        .otherwise(F.get_json_object(_first_alternative(parent), "$.words"))
+        F.when(F.col("vendor") == "rev", _raw(parent, "elements"))
+        .when(F.col("vendor") == "aws_transcribe", _raw(parent, "items"))
+        .otherwise(_raw(_first_alternative(parent), "words"))
     )
     parents = F.when(F.col("vendor") == "aws_transcribe", F.array("root")).otherwise(_array(F.col("root")))
     return x.select(key, "record_pos", "vendor", F.transform(parents, lambda p, i: F.struct(i.cast("bigint").alias("parent_pos"), p.alias("parent"), _array(children(p)).alias("children"))).alias("_parents"))
@@ -97,9 +110,9 @@ def flatten_payloads(payloads: DataFrame, key: str = "payload_id", body: str = "
     r = responses(payloads, key, body)
     n = _nodes(r, key)
     token = lambda c: (
-        F.when(F.col("vendor") == "rev", F.get_json_object(c, "$.value"))
-        .when(F.col("vendor") == "aws_transcribe", F.get_json_object(_first_alternative(c), "$.content"))
-        .otherwise(F.get_json_object(c, "$.word"))
+        F.when(F.col("vendor") == "rev", _raw(c, "value"))
+        .when(F.col("vendor") == "aws_transcribe", _raw(_first_alternative(c), "content"))
+        .otherwise(_raw(c, "word"))
     )
     either = lambda c, *names: F.coalesce(*[F.get_json_object(c, f"$.{x}") for x in names])
     child = lambda p: lambda c, i: F.struct(

@@ -129,4 +129,5 @@ def to_utc(values: DataFrame, recordings: DataFrame, key: str = "time_id", raw:
     chosen = F.when(one == two, one).when(F.col("_rec").isNotNull(), F.when(away(two) < away(one), two).otherwise(one))
     written = F.col("_wall") - _written_offset_min(F.nullif(F.col("_zone"), F.lit(""))) * 60_000_000
     ms = F.coalesce(F.floor(F.col("_rec") / 1000) + F.col("_offset"), F.col("_epoch"), F.floor(F.coalesce(written, chosen) / 1000))
-    return x.select(F.col("_key").alias(key), ms.cast("bigint").alias("start_utc_ms")).where(F.col("start_utc_ms").isNotNull())
+    # a generator, not a filter: a filter would be pushed down with the whole cascade substituted into it
+    return x.select(F.col("_key").alias(key), F.explode(F.array_compact(F.array(ms.cast("bigint")))).alias("start_utc_ms"))

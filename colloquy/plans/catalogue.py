@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from colloquy.plans import core
+from colloquy.plans import core, reference
 
-FLAGSHIP = "p3_found"
-QUERIES = {**core.QUERIES}
-SQL = {**core.SQL}
+FLAGSHIP = "chunk_ids"
+QUERIES = {**core.QUERIES, **reference.QUERIES}
+SQL = {**core.SQL, **reference.SQL}

@@ -2,29 +2,65 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder of ``spark.checkpoint.dir``; a temporary folder only where the session names none."""
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; a temporary folder only where the session names none."""
     sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
+    named = sc.getConf().get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if sc.applicationId not in _OWN:
+        _OWN[sc.applicationId] = tempfile.mkdtemp(prefix="colloquy-shared-")
+        atexit.register(shutil.rmtree, _OWN[sc.applicationId], ignore_errors=True)
+    return "file://" + _OWN[sc.applicationId]
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write ``df`` as a compressed table in the shared folder and read it from there: cuts the lineage, survives lost executors.
+
+    The table is deleted when the application ends.
+    """
+    spark = df.sparkSession
+    at = f"{shared_folder(spark)}/colloquy-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(at)
+    _remove_at_exit(spark, at.rpartition("/")[0])
+    return spark.read.schema(df.schema).parquet(at)
+
+
+def _remove_at_exit(spark: SparkSession, folder: str) -> None:
+    if folder in _TABLES:
         return
-    shared = sc.getConf().get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="colloquy-checkpoint-"))
+    _TABLES.add(folder)
+
+    def remove() -> None:
+        try:
+            jvm = spark.sparkContext._jvm
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        except Exception:  # the application may be gone already
+            pass
+
+    atexit.register(remove)
 
 
-def cut(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read it from there: cuts the lineage, survives lost executors."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager)
+def join_small(big: DataFrame, small: DataFrame, on: list[str], how: str = "left", limit: int = 100_000) -> DataFrame:
+    """Join with a written table: broadcast if it has at most ``limit`` rows, else an ordinary shuffle join (skew is AQE's)."""
+    return big.join(F.broadcast(small) if small.limit(limit + 1).count() <= limit else small, on, how)
 
 
+_OWN: dict[str, str] = {}
+_TABLES: set[str] = set()
 _SHIPPED: set[str] = set()
 
 
