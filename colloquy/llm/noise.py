@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import regex
 
 from colloquy.llm.names import parse_label
@@ -41,7 +43,29 @@ NOTES = regex.compile(
     regex.I,
 )
 _WORD = regex.compile(r"[\p{L}\p{M}\p{Nd}]+")
+_ASCII_WORD, _LATIN_WORD = re.compile(r"[0-9A-Za-z]+"), re.compile(r"[0-9A-Za-zªµºÀ-ÖØ-öø-ˁ]+")
+_MARKED = re.compile(r"[\[{<♪♫#*(（【［]|\d:\d\d:")
 _HESITATION = {k: regex.compile(rf"(?:{HESITATIONS['*']}" + (f"|{v})" if k != "*" else ")"), regex.I) for k, v in HESITATIONS.items()}
+_KNOWN: dict[tuple[str, str], bool] = {}
+
+
+def is_sound(word: str, lang: str) -> bool:
+    """Whether a word is a hesitation sound of the language; what was asked is remembered."""
+    hit = _KNOWN.get((lang, word))
+    if hit is None:
+        if len(_KNOWN) > 500_000:
+            _KNOWN.clear()
+        hit = _KNOWN[lang, word] = bool(_HESITATION.get(lang, _HESITATION["*"]).fullmatch(word))
+    return hit
+
+
+def base_language(lang: str | None) -> str:
+    return (lang or "*").lower().partition("-")[0]
+
+
+def find_words(text: str) -> list[str]:
+    """Unbroken runs of letters, combining marks and digits."""
+    return (_ASCII_WORD if text.isascii() else _LATIN_WORD if max(text) < "\u02c2" else _WORD).findall(text)
 
 
 def offset_ms(text: str) -> int:
@@ -66,5 +90,5 @@ def read_turn(text: str | None, labelled: bool, lang: str | None) -> tuple[int |
         if head is None and (m := HEAD.match(text)):
             head = offset_ms(next(g for g in m.groups() if g))
             text = text[m.end() :]
-    sound = _HESITATION.get((lang or "*").lower().split("-")[0], _HESITATION["*"])
-    return head, label, [w for w in _WORD.findall(NOTES.sub(" ", text)) if not sound.fullmatch(w)]
+    g = base_language(lang)
+    return head, label, [w for w in find_words(NOTES.sub(" ", text) if _MARKED.search(text) else text) if not is_sound(w, g)]

@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from colloquy.llm.names import link_names
 from colloquy.llm.noise import STOPWORDS, read_turn
-from colloquy.session import cores, cut, spread
+from colloquy.session import cores, cut, join_small
 
 #: Turns of one file whose times are filled forward together.
 BLOCK = 4096
@@ -45,24 +45,24 @@ def languages(turns: DataFrame, recordings: DataFrame) -> DataFrame:
 
 
 def read_turns(turns: DataFrame, recordings: DataFrame) -> DataFrame:
-    """One row per (transcript_id, turn_index): `at` (spoken time, NULL: none known before it in the file), `start_ms`, `end_ms`, `entity`, `words`.
+    """One row per row of `turns`, repeated ones included: transcript_id, turn_index, `at` (spoken time, NULL: none known before it in the file), `start_ms`, `end_ms`, `entity`, `words`.
 
     `words` are the words without noise, cased as in the text and joined by one space. `entity` is the speaker: labels
     linked by `link_names` in the workspace are one, turns without any label are one unknown speaker.
     """
     t = turns.select("transcript_id", F.col("turn_index").cast("bigint").alias("turn_index"), "text", F.nullif(F.trim("raw_speaker"), F.lit("")).alias("raw"), F.col("start_ms").cast("bigint").alias("start_ms"), F.col("end_ms").cast("bigint").alias("end_ms"))
-    t = spread(t.where("transcript_id IS NOT NULL AND turn_index IS NOT NULL")).dropDuplicates(["transcript_id", "turn_index"])
-    x = t.join(languages(t, recordings), "transcript_id", "left")
+    t = t.where("transcript_id IS NOT NULL AND turn_index IS NOT NULL")
+    x = join_small(t, cut(languages(t, recordings)), ["transcript_id"])
     x = x.select("transcript_id", "turn_index", "workspace", "raw", "start_ms", "end_ms", _read("text", F.col("raw").isNotNull(), "lang").alias("_r"))
     x = cut(x.select("transcript_id", "turn_index", F.coalesce("workspace", F.lit("")).alias("workspace"), F.coalesce("raw", "_r.label").alias("shown"), F.coalesce("start_ms", "_r.head_ms").alias("start_ms"), "end_ms", "_r.words"))
-    x = x.join(link_names(x, "workspace", "shown").select("workspace", "shown", "entity"), ["workspace", "shown"], "left")
+    x = join_small(x, cut(link_names(x, "workspace", "shown").select("workspace", "shown", "entity")), ["workspace", "shown"])
     x = x.withColumn("_block", F.floor(F.col("turn_index") / BLOCK))
     tops = x.where("start_ms IS NOT NULL").groupBy("transcript_id", "_block").agg(F.max_by("start_ms", "turn_index").alias("_last"))
     tops = tops.unionByName(x.select("transcript_id", "_block").distinct().withColumn("_last", F.lit(None).cast("bigint"))).groupBy("transcript_id", "_block").agg(F.max("_last").alias("_last"))
     before = Window.partitionBy("transcript_id").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    tops = tops.select("transcript_id", "_block", F.last("_last", ignorenulls=True).over(before).alias("_before"))
+    tops = cut(tops.select("transcript_id", "_block", F.last("_last", ignorenulls=True).over(before).alias("_before")).where("_before IS NOT NULL"))
     inside = Window.partitionBy("transcript_id", "_block").orderBy("turn_index").rowsBetween(Window.unboundedPreceding, 0)
-    x = x.join(tops, ["transcript_id", "_block"]).withColumn("at", F.coalesce(F.last("start_ms", ignorenulls=True).over(inside), "_before"))
+    x = join_small(x.withColumn("_inside", F.last("start_ms", ignorenulls=True).over(inside)), tops, ["transcript_id", "_block"]).withColumn("at", F.coalesce("_inside", "_before"))
     return cut(x.select("transcript_id", "turn_index", "at", "start_ms", "end_ms", F.coalesce("entity", F.lit("unknown")).alias("entity"), "words"))
 
 
@@ -95,6 +95,8 @@ def fragments(read: DataFrame, goes_on: Callable[[str, str, str], bool] | None,
 
         for batch in batches:
             for t, i, s, e, who, words in zip(batch["transcript_id"], batch["turn_index"], batch["start_ms"], batch["end_ms"], batch["entity"], batch["words"]):
+                if run and run["t"] == t and run["last"] == i:  # a repeated row: equal keys lie side by side in one partition
+                    continue
                 s, e = (None if x != x or x is None else int(x) for x in (s, e))
                 if run and run["t"] == t and run["e"] == who and (goes_on is None or goes_on(run["words"][0], run["words"][-1], words)):
                     run["last"], run["n"] = i, run["n"] + 1
