@@ -7,6 +7,7 @@ rules: ideographic marks, the danda, and spaces between Thai clauses end sentenc
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -16,9 +17,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from colloquy.llm.noise import HESITATIONS, NOTES
+from colloquy.llm.noise import HESITATIONS, NOTES, is_sound
 from colloquy.llm.turns import languages
-from colloquy.session import cut, spread
+from colloquy.session import cut, join_small
 
 #: Scaled log-likelihood from which a type with a period is an abbreviation, and plain ratios for the other two.
 ABBREVIATION, COLLOCATION, STARTER = 0.3, 7.88, 30.0
@@ -36,21 +37,35 @@ _TOKEN = regex.compile(r"(?:\p{L}[\p{L}\p{M}]*\.)*\p{L}[\p{L}\p{M}]*|\d[\d.,]*\d
 _SOUNDS = {g: regex.compile(rf"(?:{HESITATIONS['*']}" + (f"|{x})" if g != "*" else ")"), regex.I) for g, x in HESITATIONS.items()}
 _NEXTS = {g: regex.compile(rf"(?:\s+|{NOTES.pattern}|{x.pattern}(?![\w'’])[,.…-]*)*[\s\"'“”„«»¿¡(\[「『‘]*", regex.I) for g, x in _SOUNDS.items()}
 _THAI_GAP = regex.compile(r"(?<=[฀-๿\d%])\s+(?=[฀-๿])")
+_SURE = re.compile(r"[!?]+(?=\s)")
 NUMBER = "##"
 
 
+_FAST_PERIOD = re.compile(r"(?<![\w.])((?:[^\W\d_]+\.)*[^\W\d_]+|\d[\d.,]*)\.(?!\w)(?!\.)")
+_FAST_TOKEN = re.compile(r"(?:[^\W\d_]+\.)*[^\W\d_]+|\d[\d.,]*\d|\d")
+_FAST_WORD = re.compile(r"[^\W_]+")
+
+
 def _type(word: str) -> str:
     return NUMBER if word[0].isdigit() else word.lower()
 
 
+def _simple(text: str) -> bool:
+    """Latin, Greek or Cyrillic letters without combining marks: the faster patterns hold."""
+    return text.isascii() or max(text) < "\u0300" or not any("\u0300" <= c < "\u0370" or "\u0530" <= c < "\u2000" or c >= "\u2c00" for c in text)
+
+
 def _follow(text: str, at: int, lang: str) -> tuple[str, str]:
-    """What comes after position `at`: kind (end, upper, lower, digit, mark, other) and the next word's type."""
-    m = _NEXTS.get(lang, _NEXTS["*"]).match(text, at)
-    i = m.end()
-    if i >= len(text):
+    """What comes after position `at` and any noise: kind (end, upper, lower, digit, mark, other) and the next word's type."""
+    i, n = at, len(text)
+    while i < n and text[i].isspace():
+        i += 1
+    if i < n and (not text[i].isalnum() or ((w := _FAST_WORD.match(text, i)) and is_sound(w[0], lang))):
+        i = _NEXTS.get(lang, _NEXTS["*"]).match(text, at).end()
+    if i >= n:
         return "end", ""
     c = text[i]
-    w = _TOKEN.match(text, i)
+    w = (_FAST_TOKEN if c < "\u0300" else _TOKEN).match(text, i)
     word = _type(w[0]) if w else ""
     if c.isdigit():
         return "digit", word
@@ -62,29 +77,30 @@ def _follow(text: str, at: int, lang: str) -> tuple[str, str]:
 def count(texts: Iterator[tuple[str, str]]) -> Counter:
     """Counts by (lang, kind, a, b) over cased texts: types, types with period, what follows them, and words after sure ends."""
     out: Counter = Counter()
+    tokens: dict[str, Counter] = {}
     for lang, text in texts:
-        cased = any(c.isupper() for c in text)
-        caseless = not any(c.islower() for c in text)
-        dotted: Counter = Counter()
-        for m in _PERIOD.finditer(text):
-            w = _type(m[1])
-            kind, nxt = _follow(text, m.end(), lang)
-            dotted[w] += 1
-            if cased or caseless:
-                out[lang, "dot", w, kind] += 1
-                if nxt:
-                    out[lang, "pair_" + kind, w, nxt] += 1
-            if m[1].count(".") == 0 and len(w) > 4 and kind == "upper" and nxt:
-                out[lang, "start", nxt, ""] += 1
-        for m in _END.finditer(text):
-            if m[0][0] in "!?" and not set(m[0]) & set(_CLOSE) and cased:
+        simple = _simple(text)
+        tokens.setdefault(lang, Counter()).update((_FAST_TOKEN if simple else _TOKEN).findall(text.lower()))
+        cased = not text.islower()
+        if "." in text:
+            for m in (_FAST_PERIOD if simple else _PERIOD).finditer(text):
+                w = _type(m[1])
+                kind, nxt = _follow(text, m.end(), lang)
+                out[lang, "with", w, ""] += 1
+                if cased:
+                    out[lang, "dot", w, kind] += 1
+                    if nxt:
+                        out[lang, "pair_" + kind, w, nxt] += 1
+                if kind == "upper" and nxt and len(w) > 4 and "." not in w:
+                    out[lang, "start", nxt, ""] += 1
+        if cased and ("!" in text or "?" in text):
+            for m in _SURE.finditer(text):
                 kind, nxt = _follow(text, m.end(), lang)
                 if kind == "upper" and nxt:
                     out[lang, "start", nxt, ""] += 1
-        for w, n in Counter(_type(x) for x in _TOKEN.findall(text)).items():
-            out[lang, "all", w, ""] += n
-        for w, n in dotted.items():
-            out[lang, "with", w, ""] += n
+    for lang, c in tokens.items():
+        for w, n in c.items():
+            out[lang, "all", _type(w), ""] += n
     return out
 
 
@@ -112,7 +128,7 @@ def learn(texts: DataFrame, lang: str = "lang", text: str = "text") -> DataFrame
             c = count(zip(batch["lang"], batch["text"]))
             yield pd.DataFrame([(*k, n) for k, n in c.items()], columns=["lang", "kind", "a", "b", "n"])
 
-    x = texts.select(F.coalesce(F.lower(F.col(lang)), F.lit("")).alias("lang"), F.col(text).alias("text")).where("text IS NOT NULL AND text <> ''")
+    x = texts.select(F.coalesce(F.substring_index(F.lower(F.col(lang)), "-", 1), F.lit("")).alias("lang"), F.col(text).alias("text")).where("text IS NOT NULL AND text <> ''")
     s = cut(x.mapInPandas(part, schema).groupBy("lang", "kind", "a", "b").agg(F.sum("n").cast("double").alias("n")))
     of = lambda kind: s.where(F.col("kind") == kind)
     totals = of("all").groupBy("lang").agg(F.sum("n").alias("total")).join(of("with").groupBy("lang").agg(F.sum("n").alias("periods")), "lang")
@@ -131,12 +147,15 @@ def learn(texts: DataFrame, lang: str = "lang", text: str = "text") -> DataFrame
     some = F.when(~abbreviation, "number").when(rarely_last & (F.col("lower") < OPEN_SHARE * F.col("dots")), "title").otherwise("both")
     abbreviations = f.select("lang", F.lit("abbreviation").alias("kind"), "a", some.alias("b"))
     known = abbreviations.select("lang", "a").union(totals.select("lang", F.lit(NUMBER)))
-    pairs = s.where(F.col("kind").isin("pair_lower", "pair_upper", "pair_other")).groupBy("lang", "a", "b").agg(F.sum("n").alias("both"), F.sum(F.when(F.col("kind") == "pair_lower", F.col("n"))).alias("low")).join(known, ["lang", "a"], "left_semi")
+    pairs = s.where(F.col("kind").isin("pair_lower", "pair_upper", "pair_other")).groupBy("lang", "a", "b").agg(F.sum("n").alias("both"), F.sum(F.when(F.col("kind") == "pair_lower", F.col("n"))).alias("low"), F.sum(F.when(F.col("kind") == "pair_upper", F.col("n"))).alias("up")).join(known, ["lang", "a"], "left_semi")
     pairs = pairs.join(types.select("lang", "a", "cp"), ["lang", "a"]).join(of("all").select("lang", F.col("a").alias("b"), F.col("n").alias("nb")), ["lang", "b"]).join(F.broadcast(totals), "lang")
     starts = of("start").select("lang", "a", F.col("n").alias("ns")).join(of("all").select("lang", "a", F.col("n").alias("na")), ["lang", "a"]).join(F.broadcast(of("start").groupBy("lang").agg(F.sum("n").alias("breaks"))), "lang").join(F.broadcast(totals), "lang")
     starters = starts.where(_ratio(F.col("ns"), F.col("breaks"), F.greatest("na", "ns"), F.col("total")) >= STARTER).select("lang", F.lit("starter").alias("kind"), "a", F.lit("").alias("b"))
     tied = _ratio(F.col("both"), F.col("cp"), F.greatest("nb", "both"), F.col("total")) >= COLLOCATION
-    inside = pairs.where(F.col("low").isNotNull() | (tied & (F.col("a") == NUMBER)))
+    cased = F.coalesce("up", F.lit(0.0)) > 0
+    inside = pairs.where(F.col("low").isNotNull() | (tied & cased & (F.col("a") == NUMBER)))
+    begins = starters.select("lang", F.col("a").alias("b"), F.lit(NUMBER).alias("a"))
+    inside = inside.join(begins, ["lang", "a", "b"], "left_anti")  # after a number, a usual first word begins a sentence
     inside = inside.select("lang", F.lit("inside").alias("kind"), "a", "b")
     return cut(abbreviations.unionByName(inside).unionByName(starters))
 
@@ -154,8 +173,8 @@ class Model:
         out, last = [], len(text.rstrip())
         if not last:
             return out
-        cased = any(c.isupper() for c in text)
-        thai = [m.start() for m in _THAI_GAP.finditer(text)]
+        cased = text.lower() != text
+        thai = [] if text.isascii() else [m.start() for m in _THAI_GAP.finditer(text)]
         for m in _END.finditer(text):
             at = m.end()
             if '"' in m[0] and text.count('"', 0, m.start()) % 2 == 0:  # this quotation mark opens the next sentence
@@ -175,7 +194,8 @@ class Model:
         if ideographic:
             return not (quoted or text[at] in "、，,とって") if quoted or closers else True
         glued = not text[at].isspace() and mark[0] not in "।॥۔؟"
-        if glued and not text[at].isupper() and text[at] not in "¿¡«„":
+        caseless = text[at].isalpha() and text[at].lower() == text[at].upper()
+        if glued and not (text[at].isupper() or text[at] in "¿¡«„" or (mark[0] in "!?" and (caseless or text[at] == '"'))):
             return False
         kind, nxt = _follow(text, at, lang)
         if quoted:
@@ -190,7 +210,7 @@ class Model:
         if glued and mark[0] == "." and (len(word) < 2 or "." in word or (lang, _type(word)) in self.abbreviations):
             return False
         if mark.startswith(("..", "…")):
-            return not (word and _SOUNDS.get(lang, _SOUNDS['*']).fullmatch(word)) and (kind == "upper" or (kind == "mark" and cased))
+            return not (word and is_sound(word, lang)) and (kind == "upper" or (kind == "mark" and cased))
         if mark[0] in "!?":
             return kind != "lower" or not cased or start
         if not word:
@@ -229,13 +249,14 @@ def sentence_ends(texts: DataFrame, model: DataFrame, keys: list[str], lang: str
         m = shared.value
         return pd.Series([m.ends(a, b) if a else [] for a, b in zip(t, g)])
 
-    return texts.select(*keys, F.explode(ends(F.col(text), F.coalesce(F.lower(F.col(lang)), F.lit("")))).alias("end_pos"))
+    return texts.select(*keys, F.explode(ends(F.col(text), F.coalesce(F.substring_index(F.lower(F.col(lang)), "-", 1), F.lit("")))).alias("end_pos"))
 
 
 def turn_sentences(turns: DataFrame, recordings: DataFrame) -> DataFrame:
     """(transcript_id, turn_index, end_pos) for the turns of recordings whose src_format begins with 'json:'; learned from all turns."""
     t = turns.select("transcript_id", F.col("turn_index").cast("bigint").alias("turn_index"), "text").where("transcript_id IS NOT NULL AND turn_index IS NOT NULL")
-    t = spread(t).dropDuplicates(["transcript_id", "turn_index"])
+    t = t.dropDuplicates(["transcript_id", "turn_index"])
     r = recordings.select("transcript_id", "src_format").where("transcript_id IS NOT NULL").dropDuplicates(["transcript_id"])
-    x = cut(t.join(r, "transcript_id", "left").join(languages(t, recordings).select("transcript_id", "lang"), "transcript_id", "left"))
+    r = cut(r.join(languages(turns, recordings).select("transcript_id", "lang"), "transcript_id"))
+    x = cut(join_small(t, r, ["transcript_id"]))
     return sentence_ends(x.where("src_format LIKE 'json:%'"), learn(x), ["transcript_id", "turn_index"])
