@@ -8,6 +8,8 @@ stock wording with other names finds nothing. What is found is then checked exac
 
 from __future__ import annotations
 
+import html
+import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
@@ -26,7 +28,7 @@ SHARE, LEAST, TELLING, EDIT = 0.4, 8, 0.5, 4
 EDGE = 2
 #: The items go to every worker: more characters than this is an error, not a cut.
 ITEMS_LIMIT = 64_000_000
-_WORD = regex.compile(r"[^\W_]+")
+_WORD, _ASCII_WORD = re.compile(r"[^\W_]+"), re.compile(r"[a-z0-9]+")
 _UNSEEN = regex.compile(r"[\p{Cf}\p{Mn}]+")
 _LAYOUT = regex.compile(
     r"^(?:WEBVTT.*|\d+|.*-->.*|[^\n:]{1,60} {2,}\d{1,3}(?::\d{2}){1,2})[ \t]*$"
@@ -37,10 +39,11 @@ _LAYOUT = regex.compile(
 
 def words(text: str) -> list[str]:
     """Words in lower case without accents, invisible characters and the layout of transcripts."""
-    text = _LAYOUT.sub(" ", text)
+    text = _LAYOUT.sub(" ", html.unescape(text) if "&" in text else text)
     if not text.isascii():
         text = _UNSEEN.sub("", unicodedata.normalize("NFKD", text))
-    return _WORD.findall(text.lower())
+    text = text.lower()
+    return (_ASCII_WORD if text.isascii() else _WORD).findall(text)
 
 
 class Items:
