@@ -8,6 +8,7 @@ rules: ideographic marks, the danda, and spaces between Thai clauses end sentenc
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
@@ -31,7 +32,7 @@ NUMBER_SHARE = 0.3
 MODEL_LIMIT = 1_000_000
 _CLOSE = "\"'’”»›)]}」』）】〉》"
 _QUOTES = "\"'’”“»›」』"
-_END = regex.compile(rf"(?:\.{{2,}}|[.!?…。！？．؟।॥۔]+)(?:[ \u00a0\u202f]?[»›]|[{regex.escape(_CLOSE)}])*")
+_END = re.compile(rf"(?:\.{{2,}}|[.!?…。！？．؟।॥۔]+)(?:[ \u00a0\u202f]?[»›]|[{re.escape(_CLOSE)}])*")
 _PERIOD = regex.compile(r"(?<![\w.])((?:\p{L}[\p{L}\p{M}]*\.)*\p{L}[\p{L}\p{M}]*|\d[\d.,]*)\.(?!\w)(?!\.)")
 _TOKEN = regex.compile(r"(?:\p{L}[\p{L}\p{M}]*\.)*\p{L}[\p{L}\p{M}]*|\d[\d.,]*\d|\d")
 _SOUNDS = {g: regex.compile(rf"(?:{HESITATIONS['*']}" + (f"|{x})" if g != "*" else ")"), regex.I) for g, x in HESITATIONS.items()}
@@ -74,6 +75,15 @@ def _follow(text: str, at: int, lang: str) -> tuple[str, str]:
     return ("upper" if c.isupper() or c.istitle() else "lower" if c.islower() else "other"), word
 
 
+def _word_before(text: str, end: int) -> str:
+    """The dotted word or number right before a position; empty if there is none."""
+    i = end
+    while i and ((c := text[i - 1]).isalnum() or c in ".," or (c >= "\u0300" and unicodedata.category(c)[0] == "M")):
+        i -= 1
+    word = text[i:end].lstrip(".,")
+    return word if not word or word[0].isdigit() else word.rpartition(",")[2].lstrip(".")
+
+
 def count(texts: Iterator[tuple[str, str]]) -> Counter:
     """Counts by (lang, kind, a, b) over cased texts: types, types with period, what follows them, and words after sure ends."""
     out: Counter = Counter()
@@ -204,8 +214,7 @@ class Model:
             return True
         if kind == "mark" and text[at:].lstrip()[:1] in ",;:-–—":
             return False
-        w = next((t for t in [regex.search(r"(?:(?:\p{L}[\p{L}\p{M}]*\.)*\p{L}[\p{L}\p{M}]*|\d[\d.,]*)$", text[max(0, begin - 60) : begin])] if t), None)
-        word = w[0] if w else ""
+        word = _word_before(text, begin)
         start = (lang, nxt) in self.starters
         if glued and mark[0] == "." and (len(word) < 2 or "." in word or (lang, _type(word)) in self.abbreviations):
             return False
