@@ -45,7 +45,7 @@ def build_speaker_map(labels: DataFrame, merge_partial_names: bool = True, max_m
         one = cut(one)
         alias = alias.join(one, ["transcript_id", "key"], "left").select("transcript_id", "key", F.coalesce("up", "key").alias("to"))
         up = one.select("transcript_id", F.col("key").alias("to"), F.col("up").alias("next"))
-        for _ in range(8):  # each step doubles the length of the chains that are followed; a chain is never longer than a name has tokens
+        while True:  # one step along all chains at a time; each step leads to a fuller name, so there are no cycles and no more steps than a name has tokens and initials
             alias = cut(alias.join(up, ["transcript_id", "to"], "left").select("transcript_id", "key", F.coalesce("next", "to").alias("to"), F.col("next").isNotNull().alias("moved")))
             if alias.where("moved").isEmpty():
                 break

@@ -99,7 +99,7 @@ def pack_overlap_tail(spark, d):
 
 
 def pack_words(spark, d):
-    return _spans(_chunks(spark, d, target=350, size=chunker.words))
+    return _spans(_chunks(spark, d, target=500, size=chunker.words))
 
 
 def chunk_ids(spark, d):
@@ -379,7 +379,33 @@ _TRIMMED = "c AS (SELECT transcript_id, idx, speaker, start_ms, end_ms, " + _STR
 _NAME_OK = """length(n) <= 48 AND len(regexp_split_to_array(n, '\\s+')) <= 6 AND NOT regexp_matches(n, '(?i)[,;!?]|\\bhttps?\\b') AND n NOT LIKE '%.' AND regexp_matches(n, '[\\p{L}\\p{Nd}]')
   AND lower(regexp_replace(n, '^[.]+|[.]+$', '', 'g')) NOT IN (""" + ", ".join(f"'{w}'" for w in fx.NO_SPEAKER) + """)
   AND (len(regexp_split_to_array(n, '\\s+')) = 1 OR NOT regexp_matches(n, '(^|\\s)[^\\p{Lu}\\p{Nd}_\\s]'))"""
+_KEY = "trim(regexp_replace(lower(regexp_replace(strip_accents({}), '[^\\w\\s]', ' ', 'g')), '\\s+', ' ', 'g'))"
+_ROLE = "coalesce(nullif(" + _STRIP.format("regexp_replace({0}, '\\s*[(\\[{{].*?[)\\]}}]\\s*$|\\s+[-–—]\\s+.*$', '', 'g')") + ", ''), {0})"
+_GENERIC = "regexp_matches(" + _STRIP + ", '(?i)^(speaker|spk|s)[\\s_\\-]*\\d+$')"
+_SPEAKER_MAP = f"""WITH RECURSIVE {T}, l AS (SELECT transcript_id, coalesce(nullif(raw_speaker, ''), speaker) AS raw, count(*) AS n, min(idx) AS f FROM t GROUP BY 1, 2),
+x AS (SELECT *, {_KEY.format('shown')} AS key FROM (SELECT *, {_ROLE.format('raw')} AS shown FROM l WHERE raw IS NOT NULL)),
+g AS (SELECT transcript_id, key, max(struct_pack(m := lower(shown) <> shown AND upper(shown) <> shown, n := n, c := length(shown), f := -f, w := shown)).w AS shown, bool_or({_GENERIC.format('raw')}) AS generic FROM x GROUP BY 1, 2),
+k AS (SELECT *, string_split(key, ' ') AS z FROM g WHERE NOT generic AND key <> '' AND transcript_id IN (SELECT transcript_id FROM g GROUP BY 1 HAVING count(*) <= 1000)),
+p AS (SELECT a.transcript_id, a.key, b.key AS up FROM k a JOIN k b ON a.transcript_id = b.transcript_id AND a.key <> b.key AND len(a.z) <= len(b.z) AND list_has_any(a.z, b.z)
+  AND ((len(a.z) < len(b.z) AND list_has_all(b.z, a.z)) OR (len(a.z) = len(b.z) AND len(list_filter(range(1, len(a.z) + 1), lambda i: NOT (a.z[i] = b.z[i] OR (length(a.z[i]) = 1 AND starts_with(b.z[i], a.z[i]))))) = 0))),
+o AS (SELECT transcript_id, key, min(up) AS up FROM p GROUP BY 1, 2 HAVING count(DISTINCT up) = 1),
+c(transcript_id, key, goal, d) AS (SELECT transcript_id, key, key, 0 FROM g UNION ALL SELECT c.transcript_id, c.key, o.up, c.d + 1 FROM c JOIN o ON o.transcript_id = c.transcript_id AND o.key = c.goal),
+e AS (SELECT transcript_id, key, arg_max(goal, d) AS goal FROM c GROUP BY 1, 2),
+m AS (SELECT x.transcript_id, x.raw, g.shown AS resolved, x.n FROM x JOIN e ON e.transcript_id = x.transcript_id AND e.key = x.key JOIN g ON g.transcript_id = e.transcript_id AND g.key = e.goal)"""
+_FLAPPING = f"""WITH RECURSIVE {T}, x AS (SELECT *, row_number() OVER w AS pos, speaker IS NOT NULL AND {_STRIP.format('text')} <> '' AND len(regexp_split_to_array({_STRIP.format('text')}, '\\s+')) <= 4 OR (speaker IS NOT NULL AND {_STRIP.format('text')} = '') AS ok FROM t WINDOW w AS (PARTITION BY transcript_id ORDER BY idx)),
+y AS (SELECT *, coalesce(ok AND lag(ok) OVER w AND speaker <> lag(speaker) OVER w, false) AS edge, lag(speaker, 2) OVER w AS s2 FROM x WINDOW w AS (PARTITION BY transcript_id ORDER BY pos)),
+z AS (SELECT *, edge AND coalesce(lag(edge) OVER w, false) AND speaker IS NOT DISTINCT FROM s2 AS goes FROM y WINDOW w AS (PARTITION BY transcript_id ORDER BY pos)),
+v AS (SELECT *, sum((edge AND NOT goes)::INT) OVER (PARTITION BY transcript_id ORDER BY pos) AS run FROM z),
+r AS (SELECT *, row_number() OVER (PARTITION BY transcript_id ORDER BY s) AS n FROM (SELECT transcript_id, run, min(pos) - 1 AS s, max(pos) AS e FROM v WHERE edge GROUP BY 1, 2)),
+f(transcript_id, n, s, e, good) AS (SELECT transcript_id, n, s, e, e - s + 1 >= 4 FROM r WHERE n = 1 UNION ALL
+  SELECT r.transcript_id, r.n, r.s + (f.good AND f.e = r.s)::INT, r.e, r.e - r.s - (f.good AND f.e = r.s)::INT + 1 >= 4 FROM f JOIN r ON r.transcript_id = f.transcript_id AND r.n = f.n + 1)
+SELECT f.transcript_id, a.idx AS start_index, b.idx AS end_index, a.speaker || '|' || c.speaker AS speakers FROM f JOIN x a ON a.transcript_id = f.transcript_id AND a.pos = f.s JOIN x b ON b.transcript_id = f.transcript_id AND b.pos = f.e
+ JOIN x c ON c.transcript_id = f.transcript_id AND c.pos = f.s + 1 WHERE good"""
 SQL = {
+    "speaker_map": f"{_SPEAKER_MAP} SELECT * FROM m",
+    "speaker_variants": f"{_SPEAKER_MAP} SELECT transcript_id, resolved, string_agg(raw, '|' ORDER BY raw) AS variants, sum(n)::BIGINT AS n FROM m GROUP BY 1, 2",
+    "resolve_speakers": f"{_SPEAKER_MAP} SELECT t.transcript_id, t.idx AS turn_index, coalesce(m.resolved, t.speaker) AS speaker, coalesce(nullif(t.raw_speaker, ''), t.speaker) AS raw_speaker FROM t LEFT JOIN m ON m.transcript_id = t.transcript_id AND m.raw = coalesce(nullif(t.raw_speaker, ''), t.speaker)",
+    "flapping": _FLAPPING,
     "render_turns": f"WITH {T} SELECT transcript_id, idx AS turn_index, {RENDERED} AS rendered FROM t",
     "transcript_stats": f"WITH {T} SELECT transcript_id, count(*) AS n_turns, sum(length(text))::BIGINT AS n_chars, max(end_ms) AS duration_ms, bool_or(start_ms IS NOT NULL) AS has_timestamps FROM t GROUP BY transcript_id",
     "transcript_speakers": f"WITH {T}, s AS (SELECT transcript_id, speaker, min(idx) AS f FROM t GROUP BY 1, 2) SELECT transcript_id, coalesce(string_agg(speaker, '|' ORDER BY f), '') AS speakers FROM s GROUP BY 1",
@@ -388,7 +414,7 @@ SQL = {
     "pack_tail_merge": f"{_pack_sql(TARGET, 0, 0.5)} {_SPANS}",
     "pack_overlap": f"{_pack_sql(TARGET, 500, 0.0)} {_SPANS}",
     "pack_overlap_tail": f"{_pack_sql(TARGET, 1500, 0.5)} {_SPANS}",
-    "pack_words": f"{_pack_sql(350, 0, 0.0, 'len(list_filter(regexp_split_to_array(r, chr(92) || chr(115) || chr(43)), lambda x: x <> chr(32) AND length(x) > 0))', 0)} {_SPANS}",
+    "pack_words": _pack_sql(500, 0, 0.0, "len(list_filter(regexp_split_to_array(r, '[\\s\\p{Z}]+'), lambda x: x <> ''))", 0) + " " + _SPANS,
     "chunk_ids": f"""{_PACK}, x AS ({_MEMBERS}), y AS (SELECT transcript_id, no, string_agg(r, chr(10) ORDER BY i) AS body, min(idx) AS a, max(idx) AS b FROM x GROUP BY 1, 2)
 SELECT transcript_id, no AS chunk_no, substr(sha256('turns' || chr(0) || a || ':' || b || chr(0) || body), 1, 16) AS id, length(body)::BIGINT AS n_chars FROM y""",
     "chunk_speakers": f"""{_pack_sql(TARGET, 500, 0.0)}, x AS ({_MEMBERS}), y AS (SELECT transcript_id, no, speaker, min(i) AS f FROM x GROUP BY 1, 2, 3)
@@ -409,7 +435,7 @@ SELECT time_id, CASE WHEN regexp_full_match(raw, '(?:(\\d{1,3}):)?(\\d{1,2}):(\\
     "format_timestamps": f"WITH {T} SELECT transcript_id, idx AS turn_index, {_fmt('start_ms')} AS shown, {_fmt('end_ms', 'true')} AS shown_end FROM t",
     "inline_speakers": f"""WITH {T}, m AS (SELECT transcript_id, idx, {_STRIP.format("regexp_extract(text, '(?s)^\\s*([^\\s:][^:\\n]{0,48}?)\\s*:\\s+(\\S.*)$', 1)")} AS n FROM t)
 SELECT transcript_id, idx AS turn_index, CASE WHEN n <> '' AND {_NAME_OK} THEN n END AS label FROM m""".replace("{{", "{").replace("}}", "}"),
-    "strip_tags_documents": """SELECT doc_id, md5(regexp_replace(regexp_replace(coalesce(text, ''), '</?[a-zA-Z][^>]*>|<\\d{1,3}:\\d{2}:\\d{2}[.,]\\d{1,3}>', '', 'g').replace('&#46;', '.').replace('&lt;', '<').replace('&gt;', '>').replace('&quot;', '"').replace('&amp;', '&'), '(?i)</?(?:i|b|u|c|v|em|strong|ruby|rt|lang|font|br)\\b[^>]*/?>', '', 'g')) AS digest FROM documents""",
+    "strip_tags_documents": """SELECT doc_id, md5(regexp_replace(regexp_replace(coalesce(text, ''), '</?[a-zA-Z][^>]*>|<\\d{1,3}:\\d{2}:\\d{2}[.,]\\d{1,3}>', '', 'g').replace('&#46;', '.').replace('&#44;', ',').replace('&lt;', '<').replace('&gt;', '>').replace('&quot;', '"').replace('&amp;', '&'), '(?i)</?(?:i|b|u|c|v|em|strong|ruby|rt|lang|font|br)\\b[^>]*/?>', '', 'g')) AS digest FROM documents""",
     "rolling_dedupe": f"""WITH {T}, l AS (SELECT transcript_id, idx, string_split(text, ' ') AS c, lag(string_split(text, ' ')) OVER (PARTITION BY transcript_id ORDER BY idx) AS p FROM t),
 k AS (SELECT *, coalesce(list_max(list_filter(range(1, least(len(c), len(p)) + 1), lambda n: p[len(p) - n + 1:] = c[1:n])), 0) AS k FROM l)
 SELECT transcript_id, idx AS turn_index, array_to_string(c[k + 1:], ' ') AS kept FROM k""",
