@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from colloquy.functions.text import ends_open, is_generic_label, starts_lower, strip, word_count
+from colloquy.operators.blocks import blocked, with_previous
 
 FINDING = ["transcript_id", "kind", "start_index", "end_index", "speakers", "reason", "confidence", "start_ms", "end_ms"]
 LEVELS = {"low": 1, "medium": 2, "high": 3}
@@ -25,9 +26,8 @@ def uses_capitals(turns: DataFrame) -> DataFrame:
 
 def flips(turns: DataFrame, max_gap_ms: int = 300) -> DataFrame:
     """mid_utterance_flip: the speaker changes within `max_gap_ms` while the sentence is open."""
-    w = _order()
-    was = lambda c: F.lag(c).over(w).alias(f"p_{c}")
-    x = turns.select("*", *[was(c) for c in ("text", "speaker", "start_ms", "end_ms", "index")])
+    x = with_previous(blocked(turns), ["text", "speaker", "start_ms", "end_ms", "index"])
+    x = x.select("transcript_id", "index", "text", "speaker", "start_ms", "end_ms", *[F.col(f"_prev.{c}").alias(f"p_{c}") for c in ("text", "speaker", "start_ms", "end_ms", "index")])
     x = x.where((F.col("speaker") != F.col("p_speaker")) & (F.col("start_ms") - F.col("p_end_ms") <= max_gap_ms) & ends_open(F.col("p_text")))
     x = x.join(uses_capitals(turns), "transcript_id")
     sure = F.col("capitals") & starts_lower(F.col("text"))

@@ -6,25 +6,28 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from colloquy.functions.text import strip
+from colloquy.operators.blocks import blocked, last_known, numbered, with_previous
 
 
 def merge_turns(cues: DataFrame, max_gap_ms: int | None = None, join: str = " ") -> DataFrame:
     """Consecutive cues of one speaker as one turn, re-indexed from 0; unknown speakers merge with each other.
 
     Blank cues go. With `max_gap_ms`, a turn also ends where the next start is later than the last known end by more.
-    The first known start and the last known end hold; NULL times stay NULL. Boundaries come from windows over the
-    transcript, so only the rows of one turn are ever gathered.
+    The first known start and the last known end hold; NULL times stay NULL. Boundaries come from blocks of
+    the transcript (see `blocks`), so only the rows of one turn are ever gathered.
     """
-    w = Window.partitionBy("transcript_id").orderBy("index")
-    x = cues.withColumn("text", strip(F.col("text"))).where(F.col("text") != "")
-    other = ~F.col("speaker").eqNullSafe(F.lag("speaker").over(w)) | (F.row_number().over(w) == 1)
-    x = x.withColumn("_break", other)
+    x = blocked(cues.withColumn("text", strip(F.col("text"))).where(F.col("text") != ""))
+    x = with_previous(x, ["speaker"])
+    other = F.col("_prev").isNull() | ~F.col("speaker").eqNullSafe(F.col("_prev.speaker"))
     if max_gap_ms is not None:
-        same = Window.partitionBy("transcript_id", "_run").orderBy("index").rowsBetween(Window.unboundedPreceding, -1)
-        x = x.withColumn("_run", F.sum(F.col("_break").cast("int")).over(w))
-        late = F.col("start_ms") - F.last("end_ms", ignorenulls=True).over(same) > max_gap_ms
-        x = x.withColumn("_break", F.col("_break") | F.coalesce(late, F.lit(False)))
-    x = x.withColumn("_turn", F.sum(F.col("_break").cast("int")).over(w) - 1)
+        x = numbered(x, other, "_run").withColumn("_known", F.when(F.col("end_ms").isNotNull(), F.struct("end_ms", "index")))
+        x = last_known(x, "_known", "_run", "_before")
+        late = x.where(F.col("start_ms") - F.col("_before.end_ms") > max_gap_ms)
+        # the first late start after a known end opens a turn; for those after it that end lies in the turn before
+        late = late.groupBy("transcript_id", F.col("_before.index").alias("_at")).agg(F.min("index").alias("index")).select("transcript_id", "index", F.lit(True).alias("_late"))
+        x = x.join(late, ["transcript_id", "index"], "left")
+        other = other | F.col("_late").isNotNull()
+    x = numbered(x, other, "_number").withColumn("_turn", F.col("_number") - 1)
     order = F.col("index")
     return x.groupBy("transcript_id", F.col("_turn").cast("bigint").alias("index")).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("index", "text"))), lambda r: r["text"]), join).alias("text"),

@@ -443,7 +443,9 @@ SELECT transcript_id, idx AS turn_index, array_to_string(c[k + 1:], ' ') AS kept
 j AS (SELECT *, sum(brk::INT) OVER (PARTITION BY transcript_id ORDER BY idx) AS island FROM b) {_ISLANDS}""",
     "merge_turns_gap": f"""WITH {T}, {_TRIMMED}, b AS (SELECT *, lag(idx) OVER w IS NULL OR speaker IS DISTINCT FROM lag(speaker) OVER w AS brk FROM c WINDOW w AS (PARTITION BY transcript_id ORDER BY idx)),
 r AS (SELECT *, sum(brk::INT) OVER (PARTITION BY transcript_id ORDER BY idx) AS run FROM b),
-e AS (SELECT *, brk OR coalesce(start_ms - last_value(end_ms IGNORE NULLS) OVER (PARTITION BY transcript_id, run ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > 1500, false) AS brk2 FROM r),
+q AS (SELECT *, last_value(CASE WHEN end_ms IS NOT NULL THEN struct_pack(e := end_ms, i := idx) END IGNORE NULLS) OVER (PARTITION BY transcript_id, run ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS k FROM r),
+l AS (SELECT transcript_id, k.i AS ki, min(idx) AS idx FROM q WHERE start_ms - k.e > 1500 GROUP BY 1, 2),
+e AS (SELECT q.*, brk OR l.idx IS NOT NULL AS brk2 FROM q LEFT JOIN l ON l.transcript_id = q.transcript_id AND l.idx = q.idx),
 j AS (SELECT *, sum(brk2::INT) OVER (PARTITION BY transcript_id ORDER BY idx) AS island FROM e) {_ISLANDS}""",
     "group_words_events": """WITH e AS (SELECT user_id AS transcript_id, row_number() OVER w - 1 AS idx, event_id::VARCHAR AS text, event_type AS speaker, epoch_us(ts) // 1000 AS ms, value < 10 AS punct FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
 h AS (SELECT *, last_value(CASE WHEN NOT punct OR idx = 0 THEN struct_pack(s := speaker) END IGNORE NULLS) OVER (PARTITION BY transcript_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING).s AS held FROM e),

@@ -74,6 +74,30 @@ def test_merge_keeps_unknown_times(spark):
     assert got(max_gap_ms=300)[1:] == [(1, "c", "X", 100, 200), (2, "d", "X", 900, None)]
 
 
+@pytest.mark.parametrize("block", [3, 4096])
+def test_merge_across_blocks_equals_a_plain_loop(spark, block, monkeypatch):
+    from colloquy.operators import blocks
+
+    monkeypatch.setattr(blocks, "BLOCK", block)
+    r = random.Random(block)
+    rows = [(f"t{k}", i, r.choice(["a", "b", " "]), r.choice(["X", "Y", None]), r.choice([None, 100 * i]), r.choice([None, 100 * i + 50])) for k in range(5) for i in range(40)]
+    for gap in (None, 120):
+        want = []
+        for k in range(5):
+            n, now = -1, None
+            for _, _, text, who, s, e in [x for x in rows if x[0] == f"t{k}" and x[2].strip()]:
+                if now is None or now[2] != who or (gap is not None and now[4] is not None and s is not None and s - now[4] > gap):
+                    n += 1
+                    now = [f"t{k}", n, who, s, e, [text]]
+                    want.append(now)
+                else:
+                    now[3] = now[3] if now[3] is not None else s
+                    now[4] = e if e is not None else now[4]
+                    now[5].append(text)
+        got = merge_turns(table(spark, rows), max_gap_ms=gap).collect()
+        assert sorted((x["transcript_id"], x["index"], x["speaker"] or "", x["start_ms"] or -1, x["end_ms"] or -1, x["text"]) for x in got) == sorted((t, n, w or "", s or -1, e or -1, " ".join(x)) for t, n, w, s, e, x in want)
+
+
 def test_helpers(spark):
     one = lambda c, *v: [r[0] for r in spark.createDataFrame([(i, x) for i, x in enumerate(v)], "i int, x string").orderBy("i").select(c(F.col("x"))).collect()]
     assert one(fx.parse_timestamp, "1:02:03.5", "1:99", "12:34,05", "1:2:3:4", "x", None) == [3723500, 159000, 754050, None, None, None]
