@@ -59,6 +59,21 @@ def is_sound(word: str, lang: str) -> bool:
     return hit
 
 
+_PLAIN: dict[str, set[str]] = {}
+
+
+def without_sounds(words: list[str], lang: str) -> list[str]:
+    """The words that are no hesitation sounds of the language."""
+    plain = _PLAIN.setdefault(lang, set())
+    if plain.issuperset(words):  # all seen before
+        return words
+    if len(plain) > 500_000:
+        plain.clear()
+    out = [w for w in words if not is_sound(w, lang)]
+    plain.update(out)
+    return out
+
+
 def base_language(lang: str | None) -> str:
     return (lang or "*").lower().partition("-")[0]
 
@@ -82,7 +97,8 @@ def read_turn(text: str | None, labelled: bool, lang: str | None) -> tuple[int |
     if not text:
         return None, None, []
     head = label = None
-    if m := HEAD.match(text):
+    text = text.lstrip()
+    if (text[:1].isdigit() or text[:1] in ("[", "(", "<")) and (m := HEAD.match(text)):
         head = offset_ms(next(g for g in m.groups() if g))
         text = text[m.end() :]
     if not labelled and (m := _LABEL.match(text)) and len(m[1].split()) <= 6 and parse_label(m[1])["kind"] != "none":
@@ -91,4 +107,4 @@ def read_turn(text: str | None, labelled: bool, lang: str | None) -> tuple[int |
             head = offset_ms(next(g for g in m.groups() if g))
             text = text[m.end() :]
     g = base_language(lang)
-    return head, label, [w for w in find_words(NOTES.sub(" ", text) if _MARKED.search(text) else text) if not is_sound(w, g)]
+    return head, label, without_sounds(find_words(NOTES.sub(" ", text) if _MARKED.search(text) else text), g)

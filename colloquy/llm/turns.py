@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,11 +26,11 @@ BLOCK = 4096
 _READ = T.StructType([T.StructField("head_ms", T.LongType()), T.StructField("label", T.StringType()), T.StructField("words", T.StringType())])
 
 
-@F.pandas_udf(_READ)
-def _read(text: pd.Series, labelled: pd.Series, lang: pd.Series) -> pd.DataFrame:
-    rows = [read_turn(a, bool(b), c) for a, b, c in zip(text, labelled, lang)]
-    out = pd.DataFrame({"head_ms": pd.array([r[0] for r in rows], dtype="Int64"), "label": [r[1] for r in rows], "words": [" ".join(r[2]) for r in rows]})
-    return out
+@F.arrow_udf(_READ)
+def _read(text: pa.Array, labelled: pa.Array, lang: pa.Array) -> pa.Array:
+    rows = [read_turn(a, b, c) for a, b, c in zip(text.to_pylist(), labelled.to_pylist(), lang.to_pylist())]
+    columns = [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array([" ".join(r[2]) for r in rows], pa.string())]
+    return pa.StructArray.from_arrays(columns, names=_READ.names)
 
 
 def languages(turns: DataFrame, recordings: DataFrame) -> DataFrame:
@@ -38,7 +39,7 @@ def languages(turns: DataFrame, recordings: DataFrame) -> DataFrame:
     blank = r.where("lang IS NULL").select("transcript_id")
     words = F.split(F.lower("text"), r"[^\p{L}]+")
     hits = [F.sum(F.size(F.array_intersect(words, F.array(*map(F.lit, w))))).alias(k) for k, w in STOPWORDS.items()]
-    best = turns.join(blank, "transcript_id", "left_semi").groupBy("transcript_id").agg(*hits)
+    best = join_small(turns.select("transcript_id", "text"), cut(blank), ["transcript_id"], "left_semi").groupBy("transcript_id").agg(*hits)
     top = F.greatest(*STOPWORDS)
     guess = F.when(top > 0, F.coalesce(*[F.when(F.col(k) == top, k) for k in STOPWORDS]))
     return r.join(best.select("transcript_id", guess.alias("_guess")), "transcript_id", "left").select("transcript_id", "workspace", F.coalesce("lang", "_guess").alias("lang"))
@@ -55,15 +56,17 @@ def read_turns(turns: DataFrame, recordings: DataFrame) -> DataFrame:
     x = join_small(t, cut(languages(t, recordings)), ["transcript_id"])
     x = x.select("transcript_id", "turn_index", "workspace", "raw", "start_ms", "end_ms", _read("text", F.col("raw").isNotNull(), "lang").alias("_r"))
     x = cut(x.select("transcript_id", "turn_index", F.coalesce("workspace", F.lit("")).alias("workspace"), F.coalesce("raw", "_r.label").alias("shown"), F.coalesce("start_ms", "_r.head_ms").alias("start_ms"), "end_ms", "_r.words"))
-    x = join_small(x, cut(link_names(x, "workspace", "shown").select("workspace", "shown", "entity")), ["workspace", "shown"])
-    x = x.withColumn("_block", F.floor(F.col("turn_index") / BLOCK))
-    tops = x.where("start_ms IS NOT NULL").groupBy("transcript_id", "_block").agg(F.max_by("start_ms", "turn_index").alias("_last"))
-    tops = tops.unionByName(x.select("transcript_id", "_block").distinct().withColumn("_last", F.lit(None).cast("bigint"))).groupBy("transcript_id", "_block").agg(F.max("_last").alias("_last"))
+    # times, on slim rows: the rows without a time take the last one before them in the file
+    slim = x.select("transcript_id", "turn_index", "start_ms", F.floor(F.col("turn_index") / BLOCK).alias("_block"))
+    tops = slim.groupBy("transcript_id", "_block").agg(F.max_by("start_ms", F.when(F.col("start_ms").isNotNull(), F.col("turn_index"))).alias("_last"))
     before = Window.partitionBy("transcript_id").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     tops = cut(tops.select("transcript_id", "_block", F.last("_last", ignorenulls=True).over(before).alias("_before")).where("_before IS NOT NULL"))
     inside = Window.partitionBy("transcript_id", "_block").orderBy("turn_index").rowsBetween(Window.unboundedPreceding, 0)
-    x = join_small(x.withColumn("_inside", F.last("start_ms", ignorenulls=True).over(inside)), tops, ["transcript_id", "_block"]).withColumn("at", F.coalesce("_inside", "_before"))
-    return cut(x.select("transcript_id", "turn_index", "at", "start_ms", "end_ms", F.coalesce("entity", F.lit("unknown")).alias("entity"), "words"))
+    late = join_small(slim.withColumn("_inside", F.last("start_ms", ignorenulls=True).over(inside)).where("start_ms IS NULL"), tops, ["transcript_id", "_block"])
+    late = cut(late.select("transcript_id", "turn_index", F.coalesce("_inside", "_before").alias("_at")).where("_at IS NOT NULL").distinct())
+    x = join_small(x, late, ["transcript_id", "turn_index"], limit=500_000)
+    x = join_small(x, cut(link_names(x, "workspace", "shown").select("workspace", "shown", "entity")), ["workspace", "shown"])
+    return x.select("transcript_id", "turn_index", F.coalesce("start_ms", "_at").alias("at"), "start_ms", "end_ms", F.coalesce("entity", F.lit("unknown")).alias("entity"), "words")
 
 
 _FRAGMENT = T.StructType(
@@ -85,7 +88,11 @@ def fragments(read: DataFrame, goes_on: Callable[[str, str, str], bool] | None,
     rows = read.where("words <> ''").select("transcript_id", "at", "turn_index", "start_ms", "end_ms", "entity", "words")
     rows = rows.repartitionByRange(n, "transcript_id", F.col("at").asc_nulls_first(), "turn_index").sortWithinPartitions("transcript_id", F.col("at").asc_nulls_first(), "turn_index")
 
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = ["transcript_id", "turn_index", "start_ms", "end_ms", "entity", "words"]
+    kinds = pa.schema([(f.name, {T.LongType(): pa.int64(), T.StringType(): pa.string(), T.BooleanType(): pa.bool_()}[f.dataType]) for f in _FRAGMENT])
+    rows = rows.select(*names)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p, k, run, done = TaskContext.get().partitionId(), 0, None, []
 
         def close(run: dict, closes: bool) -> None:
@@ -94,13 +101,14 @@ def fragments(read: DataFrame, goes_on: Callable[[str, str, str], bool] | None,
                 done.append((run["t"], run["first"], run["last"], run["n"], run["from"], run["to"], run["e"], words, run["words"][-1], p, run["k"], run["k"] == 0, closes))
 
         for batch in batches:
-            for t, i, s, e, who, words in zip(batch["transcript_id"], batch["turn_index"], batch["start_ms"], batch["end_ms"], batch["entity"], batch["words"]):
+            for t, i, s, e, who, words in zip(*(batch.column(c).to_pylist() for c in names)):
                 if run and run["t"] == t and run["last"] == i:  # a repeated row: equal keys lie side by side in one partition
                     continue
-                s, e = (None if x != x or x is None else int(x) for x in (s, e))
                 if run and run["t"] == t and run["e"] == who and (goes_on is None or goes_on(run["words"][0], run["words"][-1], words)):
                     run["last"], run["n"] = i, run["n"] + 1
-                    run["to"] = max((x for x in (run["to"], s, e) if x is not None), default=None)
+                    for x in (s, e):
+                        if x is not None and (run["to"] is None or x > run["to"]):
+                            run["to"] = x
                     if keep_words or len(run["words"]) < 2:
                         run["words"].append(words)
                     else:
@@ -111,13 +119,13 @@ def fragments(read: DataFrame, goes_on: Callable[[str, str, str], bool] | None,
                         k += 1
                     run = {"t": t, "first": i, "last": i, "n": 1, "from": s, "to": e if e is not None else s, "e": who, "words": [words], "k": k}
             if done:
-                yield pd.DataFrame(done, columns=_FRAGMENT.names).astype({"from_ms": "Int64", "to_ms": "Int64"})
+                yield pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip(zip(*done), kinds)], schema=kinds)
                 done.clear()
         if run:
             close(run, True)
-            yield pd.DataFrame(done, columns=_FRAGMENT.names).astype({"from_ms": "Int64", "to_ms": "Int64"})
+            yield pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip(zip(*done), kinds)], schema=kinds)
 
-    return cut(rows.mapInPandas(fold, _FRAGMENT))
+    return cut(rows.mapInArrow(fold, _FRAGMENT))
 
 
 def stitch(f: DataFrame, goes_on: Callable[[str, str, str], bool] | None, separator: str | None) -> DataFrame:
