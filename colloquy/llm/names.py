@@ -11,7 +11,6 @@ from __future__ import annotations
 import itertools
 import re
 import unicodedata
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -19,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from colloquy.llm.graph import components
-from colloquy.session import cut, spread
+from colloquy.session import cut, join_small, spread
 
 #: Given names and their short or foreign forms.
 NICKNAMES_TEXT = """
@@ -284,9 +283,9 @@ def _same(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([same_name(list(x), list(y)) for x, y in zip(a, b)], dtype=bool)
 
 
-def _unique(rows: DataFrame, key: str) -> DataFrame:
-    """Per scope and `key`: the group if there is only one, and how many there are."""
-    return rows.groupBy("scope", F.col(key).alias("feature")).agg(F.min("group").alias("to"), (F.min("group") != F.max("group")).alias("many"))
+def _unique(rows: DataFrame) -> DataFrame:
+    """Per feature: the group if there is only one, and whether there are several."""
+    return rows.groupBy("feature").agg(F.min("group").alias("to"), (F.min("group") != F.max("group")).alias("many"))
 
 
 def link_names(labels: DataFrame, scope: str, label: str) -> DataFrame:
@@ -294,45 +293,45 @@ def link_names(labels: DataFrame, scope: str, label: str) -> DataFrame:
 
     `fits_many`: a partial label that fits two or more; it stands alone under its own form. Numbered machine labels and
     labels without a letter are entities of their own spelling. NULL labels or scopes have no row; repeated rows and
-    further columns don't matter; an empty table gives no rows.
+    further columns don't matter; an empty table gives no rows. Forms, keys and features are joined by 64-bit hashes
+    that include the scope.
     """
+    key = lambda *c: F.xxhash64("scope", *c)
     x = labels.select(F.col(scope).alias("scope"), F.col(label).alias("label")).where("scope IS NOT NULL AND label IS NOT NULL").distinct()
-    x = cut(spread(x).select("scope", "label", _parse("label").alias("_p")).select("scope", "label", "_p.*"))
-    forms = x.groupBy("scope", "form", "kind").agg(F.first("tokens").alias("tokens"), F.first("first").alias("first"), F.first("second").alias("second"))
-    forms = cut(forms)
-    whole = forms.where("kind = 'whole'").select("scope", "form", "tokens")
-    keyed = whole.select("scope", "form", "tokens", F.explode(_keys("tokens")).alias("key"))
-    a, b = (keyed.select("scope", "key", F.col("form").alias(f"form_{s}"), F.col("tokens").alias(f"tokens_{s}")) for s in "ab")
-    pairs = a.join(b, ["scope", "key"]).where("form_a < form_b").dropDuplicates(["scope", "form_a", "form_b"])
-    edges = pairs.where(_same("tokens_a", "tokens_b"))
-    node = lambda form: F.to_json(F.array("scope", form))
-    linked = components(edges.select(node("form_a").alias("a"), node("form_b").alias("b")))
-    group = whole.withColumn("node", node("form")).join(linked, "node", "left").select("scope", "form", "tokens", F.coalesce("component", "node").alias("group"))
-    shown = cut(group.select("scope", "group", F.explode(_features("tokens")).alias("feature")).distinct())
+    x = cut(spread(x).select("scope", "label", _parse("label").alias("_p")).select("scope", "label", "_p.*").withColumn("id", key("form")))
+    forms = cut(x.select("scope", "form", "kind", "tokens", "first", "second", "id").dropDuplicates(["id"]))
+    whole = forms.where("kind = 'whole'").select("scope", "id", "tokens")
+    keyed = cut(whole.select("scope", "id", F.explode(_keys("tokens")).alias("k")).select("id", key("k").alias("key")))
+    shared = cut(keyed.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key"))
+    keyed = join_small(keyed, shared, ["key"], "left_semi", limit=500_000)  # most keys belong to one form
+    a, b = (keyed.select("key", F.col("id").alias(n)) for n in "ab")
+    pairs = a.join(b, "key").where("a < b").select("a", "b").distinct()
+    of = lambda n: whole.select(F.col("id").alias(n), F.col("scope").alias(f"scope_{n}"), F.col("tokens").alias(f"tokens_{n}"))
+    edges = pairs.join(of("a"), "a").join(of("b"), "b").where("scope_a = scope_b").where(_same("tokens_a", "tokens_b"))
+    linked = components(edges.select("a", "b"))
+    group = cut(whole.join(linked.withColumnRenamed("node", "id"), "id", "left").select("scope", "id", "tokens", F.coalesce("component", "id").alias("group")))
+    shown = group.select("scope", "group", F.explode(_features("tokens")).alias("f")).select("group", key("f").alias("feature"))
 
     # a part of an organisation's name, an initial, a cut name, initials: exact first, by sound where nothing is exact
-    one = cut(_unique(shown, "feature"))
-    part = forms.where("kind <> 'machine' AND kind <> 'none'")
-    hit = lambda at, name: one.select("scope", F.col("feature").alias(at), F.col("to").alias(f"to_{name}"), F.col("many").alias(f"many_{name}"))
-    p = part.join(hit("first", "1"), ["scope", "first"], "left").join(hit("second", "2"), ["scope", "second"], "left")
-    p = p.join(group.select("scope", "form", "group"), ["scope", "form"], "left")
+    one = cut(_unique(shown))
+    part = forms.where("kind <> 'machine' AND kind <> 'none'").select("scope", "form", "id", "kind", "tokens", key("first").alias("first"), key("second").alias("second"))
+    hit = lambda at, name: one.select(F.col("feature").alias(at), F.col("to").alias(f"to_{name}"), F.col("many").alias(f"many_{name}"))
+    p = part.join(hit("first", "1"), "first", "left").join(hit("second", "2"), "second", "left").join(group.select("id", "group"), "id", "left")
     many = F.coalesce("many_1", "many_2", F.lit(False))
     to = F.when(F.col("many_1").isNotNull(), F.when(~F.col("many_1"), F.col("to_1"))).when(~F.col("many_2"), F.col("to_2"))
-    # a whole form joins a larger name only if no cluster has it as a spelling of its own two tokens
-    p = cut(p.select("scope", "form", "kind", "tokens", "first", to.alias("to"), many.alias("many"), node("form").alias("own"), "group"))
-    placed = p.select("scope", "form", "kind", "tokens", "many", F.coalesce("to", "group", "own").alias("entity"), (F.col("to").isNull() & ~F.col("many") & F.col("kind").isin("initial", "single")).alias("left"))
+    placed = p.select("scope", "form", "id", "kind", "tokens", many.alias("many"), F.coalesce(to, "group", "id").alias("entity"), (to.isNull() & ~many & F.col("kind").isin("initial", "single")).alias("left"))
+    placed = cut(placed)
 
     # given names alone against initials whose bearer has no whole name here
-    lone = placed.where("left AND kind = 'initial'").select("scope", "entity", F.get("tokens", F.lit(0)).alias("token"), F.substring_index("form", "|", -1).alias("i"))
-    shows = lone.select("scope", F.col("entity").alias("group"), F.explode(F.array(F.concat(F.lit("T:"), "token"), F.concat(F.lit("L:"), "i"))).alias("feature"))
-    two = _unique(shows, "feature")
-    alone = placed.where("left AND kind = 'single'").select("scope", "form", F.get("tokens", F.lit(0)).alias("token"))
-    look = alone.select("scope", "form", F.posexplode(F.array(F.concat(F.lit("T:"), "token"), F.concat(F.lit("L:"), F.substring("token", 1, 1)))).alias("n", "feature"))
-    found = look.join(two, ["scope", "feature"]).groupBy("scope", "form").agg(F.min_by(F.struct("to", "many"), "n").alias("r"))
-    found = found.select("scope", "form", F.when(~F.col("r.many"), F.col("r.to")).alias("late"), F.col("r.many").alias("late_many"))
-    ends = placed.join(found, ["scope", "form"], "left").select("scope", "form", F.coalesce("late", "entity").alias("entity"), (F.col("many") | F.coalesce("late_many", F.lit(False))).alias("fits_many"))
-    out = x.select("scope", "label", "kind", "form").join(ends, ["scope", "form"], "left")
-    return out.select(F.col("scope").alias(scope), F.col("label").alias(label), "kind", F.coalesce("entity", node("form")).alias("entity"), F.coalesce("fits_many", F.lit(False)).alias("fits_many"))
+    token = F.get("tokens", F.lit(0))
+    lone = placed.where("left AND kind = 'initial'").select("scope", F.col("entity").alias("group"), F.explode(F.array(F.concat(F.lit("T:"), token), F.concat(F.lit("L:"), F.substring_index("form", "|", -1)))).alias("f"))
+    two = _unique(lone.select("group", key("f").alias("feature")))
+    look = placed.where("left AND kind = 'single'").select("scope", "id", F.posexplode(F.array(F.concat(F.lit("T:"), token), F.concat(F.lit("L:"), F.substring(token, 1, 1)))).alias("n", "f"))
+    found = look.select("id", "n", key("f").alias("feature")).join(two, "feature").groupBy("id").agg(F.min_by(F.struct("to", "many"), "n").alias("r"))
+    ends = placed.join(found, "id", "left").select("id", F.when(~F.col("r.many"), F.col("r.to")).alias("late"), "entity", (F.col("many") | F.coalesce("r.many", F.lit(False))).alias("fits_many"))
+    ends = ends.select("id", F.coalesce("late", "entity").alias("entity"), "fits_many")
+    out = x.select("scope", "label", "kind", "id").join(ends, "id", "left")
+    return out.select(F.col("scope").alias(scope), F.col("label").alias(label), "kind", F.coalesce("entity", "id").cast("string").alias("entity"), F.coalesce("fits_many", F.lit(False)).alias("fits_many"))
 
 
 def linked_pairs(labels: DataFrame, scope: str = "workspace_id", label: str = "raw_speaker", key: str = "label_id") -> DataFrame:
