@@ -1,9 +1,9 @@
 """Evaluation texts that leaked into training text.
 
 Every shard of documents becomes a suffix array over its words. Each suffix of each held-out item is searched in it by
-bisection, which gives its longest verbatim matches and where they are. Only suffixes that begin with three words of
-some item can match, so the array holds those alone; and a match must reach a word that tells the item from others, so
-stock wording with other names finds nothing. What is found is then checked exactly, word by word.
+bisection up to the next word that tells the item from others, so stock wording with other names finds nothing; only
+suffixes that begin with three words of some item can match, so the array holds those alone. Where a search hits, the
+longest verbatim matches between document and item are taken and checked exactly, word by word.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -20,8 +21,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Words of a shard; words of a suffix that are compared.
-SHARD_WORDS, DEPTH = 4_000_000, 160
+#: Words of a shard.
+SHARD_WORDS = 4_000_000
 #: Share of an item that must be there; fewest words; share of its telling words that must be the same; widest edit.
 SHARE, LEAST, TELLING, EDIT = 0.4, 8, 0.5, 4
 #: Words at the two ends of a cut passage that an edit may have changed beyond recognition.
@@ -68,6 +69,7 @@ class Items:
                     rows.append(w[i : i + max(4, int(near[0]) + 1)])
                     owner.append(k)
         self.queries, self.owner = rows, owner
+        self.depth = max(map(len, rows), default=4)  # words of a suffix that are compared: as many as the longest query has
 
     def grams(self, w: np.ndarray) -> np.ndarray:
         if len(w) < 3:
@@ -78,19 +80,17 @@ class Items:
 
     def search(self, docs: list[tuple[int, np.ndarray]]) -> list[tuple[int, int, int, int]]:
         """(doc, item, words of the item found, words of the item) for a shard."""
-        gap = np.zeros(DEPTH, dtype=np.int64)
+        gap = np.zeros(self.depth, dtype=np.int64)
         text = np.concatenate([x for _, w in docs for x in (w, gap[:3])] + [gap])
         begins = np.cumsum([0] + [len(w) + 3 for _, w in docs])
         at = np.flatnonzero(np.isin(self.grams(text), self.starts))
         if not len(at):
             return []
-        rows = np.lib.stride_tricks.sliding_window_view(text, DEPTH)[at].astype(">u4")
-        keys = np.ascontiguousarray(rows).view(f"V{4 * DEPTH}").ravel()
+        rows = np.lib.stride_tricks.sliding_window_view(text, self.depth)[at].astype(">u4")
+        keys = np.ascontiguousarray(rows).view(f"V{4 * self.depth}").ravel()
         as_bytes = [k.tobytes() for k in keys]
         order = sorted(range(len(at)), key=as_bytes.__getitem__)
         array = [as_bytes[i] for i in order]
-        from bisect import bisect_left
-
         found: set[tuple[int, int]] = set()
         for w, k in zip(self.queries, self.owner):
             q = w.astype(">u4").tobytes()
