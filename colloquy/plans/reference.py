@@ -392,20 +392,28 @@ o AS (SELECT transcript_id, key, min(up) AS up FROM p GROUP BY 1, 2 HAVING count
 c(transcript_id, key, goal, d) AS (SELECT transcript_id, key, key, 0 FROM g UNION ALL SELECT c.transcript_id, c.key, o.up, c.d + 1 FROM c JOIN o ON o.transcript_id = c.transcript_id AND o.key = c.goal),
 e AS (SELECT transcript_id, key, arg_max(goal, d) AS goal FROM c GROUP BY 1, 2),
 m AS (SELECT x.transcript_id, x.raw, g.shown AS resolved, x.n FROM x JOIN e ON e.transcript_id = x.transcript_id AND e.key = x.key JOIN g ON g.transcript_id = e.transcript_id AND g.key = e.goal)"""
-_FLAPPING = f"""WITH RECURSIVE {T}, x AS (SELECT *, row_number() OVER w AS pos, speaker IS NOT NULL AND {_STRIP.format('text')} <> '' AND len(regexp_split_to_array({_STRIP.format('text')}, '\\s+')) <= 4 OR (speaker IS NOT NULL AND {_STRIP.format('text')} = '') AS ok FROM t WINDOW w AS (PARTITION BY transcript_id ORDER BY idx)),
+_FLAP = f"""x AS (SELECT *, row_number() OVER w AS pos, speaker IS NOT NULL AND {_STRIP.format('text')} <> '' AND len(regexp_split_to_array({_STRIP.format('text')}, '\\s+')) <= 4 OR (speaker IS NOT NULL AND {_STRIP.format('text')} = '') AS ok FROM t WINDOW w AS (PARTITION BY transcript_id ORDER BY idx)),
 y AS (SELECT *, coalesce(ok AND lag(ok) OVER w AND speaker <> lag(speaker) OVER w, false) AS edge, lag(speaker, 2) OVER w AS s2 FROM x WINDOW w AS (PARTITION BY transcript_id ORDER BY pos)),
 z AS (SELECT *, edge AND coalesce(lag(edge) OVER w, false) AND speaker IS NOT DISTINCT FROM s2 AS goes FROM y WINDOW w AS (PARTITION BY transcript_id ORDER BY pos)),
 v AS (SELECT *, sum((edge AND NOT goes)::INT) OVER (PARTITION BY transcript_id ORDER BY pos) AS run FROM z),
 r AS (SELECT *, row_number() OVER (PARTITION BY transcript_id ORDER BY s) AS n FROM (SELECT transcript_id, run, min(pos) - 1 AS s, max(pos) AS e FROM v WHERE edge GROUP BY 1, 2)),
 f(transcript_id, n, s, e, good) AS (SELECT transcript_id, n, s, e, e - s + 1 >= 4 FROM r WHERE n = 1 UNION ALL
-  SELECT r.transcript_id, r.n, r.s + (f.good AND f.e = r.s)::INT, r.e, r.e - r.s - (f.good AND f.e = r.s)::INT + 1 >= 4 FROM f JOIN r ON r.transcript_id = f.transcript_id AND r.n = f.n + 1)
-SELECT f.transcript_id, a.idx AS start_index, b.idx AS end_index, a.speaker || '|' || c.speaker AS speakers FROM f JOIN x a ON a.transcript_id = f.transcript_id AND a.pos = f.s JOIN x b ON b.transcript_id = f.transcript_id AND b.pos = f.e
- JOIN x c ON c.transcript_id = f.transcript_id AND c.pos = f.s + 1 WHERE good"""
+  SELECT r.transcript_id, r.n, r.s + (f.good AND f.e = r.s)::INT, r.e, r.e - r.s - (f.good AND f.e = r.s)::INT + 1 >= 4 FROM f JOIN r ON r.transcript_id = f.transcript_id AND r.n = f.n + 1),
+flap AS (SELECT f.transcript_id, a.idx AS start_index, b.idx AS end_index, a.speaker || '|' || c.speaker AS speakers, format('{{}} and {{}} alternate over {{}} short turns', a.speaker, c.speaker, f.e - f.s + 1) AS reason, a.start_ms, b.end_ms FROM f JOIN x a ON a.transcript_id = f.transcript_id AND a.pos = f.s JOIN x b ON b.transcript_id = f.transcript_id AND b.pos = f.e
+ JOIN x c ON c.transcript_id = f.transcript_id AND c.pos = f.s + 1 WHERE good)"""
+_FLIP = f"""fp AS (SELECT *, lag(text) OVER w AS pt, lag(speaker) OVER w AS ps, lag(start_ms) OVER w AS pa, lag(end_ms) OVER w AS pe, lag(idx) OVER w AS pi FROM t WINDOW w AS (PARTITION BY transcript_id ORDER BY idx)),
+fo AS (SELECT *, regexp_replace(regexp_replace(pt, '\\s+$', ''), '["''’”)\\]}}」』]+$', '') AS bare FROM fp WHERE speaker <> ps AND start_ms - pe <= 300),
+fu AS (SELECT transcript_id, sum(regexp_matches(f, '\\p{{L}}')::INT) AS n, sum(regexp_matches(f, '\\p{{Lu}}')::INT) AS c FROM (SELECT transcript_id, substr({_STRIP.format('text')}, 1, 1) AS f FROM t) GROUP BY 1),
+flip AS (SELECT fo.transcript_id, pi AS start_index, idx AS end_index, ps || '|' || speaker AS speakers, format('{{}} stops mid-sentence and {{}} goes on {{}} ms later', ps, speaker, start_ms - pe) AS reason,
+  CASE WHEN n >= 2 AND c * 2 >= n AND regexp_matches(regexp_extract(text, '^[^\\p{{L}}\\p{{Nd}}]*([\\p{{L}}\\p{{Nd}}])', 1), '\\p{{Ll}}') THEN 'high' ELSE 'medium' END AS confidence, pa AS start_ms, end_ms
+  FROM fo JOIN fu USING (transcript_id) WHERE bare <> '' AND NOT regexp_matches(bare, '[.!?…。！？]$'))"""
 SQL = {
     "speaker_map": f"{_SPEAKER_MAP} SELECT * FROM m",
     "speaker_variants": f"{_SPEAKER_MAP} SELECT transcript_id, resolved, string_agg(raw, '|' ORDER BY raw) AS variants, sum(n)::BIGINT AS n FROM m GROUP BY 1, 2",
     "resolve_speakers": f"{_SPEAKER_MAP} SELECT t.transcript_id, t.idx AS turn_index, coalesce(m.resolved, t.speaker) AS speaker, coalesce(nullif(t.raw_speaker, ''), t.speaker) AS raw_speaker FROM t LEFT JOIN m ON m.transcript_id = t.transcript_id AND m.raw = coalesce(nullif(t.raw_speaker, ''), t.speaker)",
-    "flapping": _FLAPPING,
+    "flapping": f"WITH RECURSIVE {T}, {_FLAP} SELECT transcript_id, start_index, end_index, speakers FROM flap",
+    "lint": f"""WITH RECURSIVE {T}, {_FLAP}, {_FLIP} SELECT transcript_id, 'flapping' AS kind, start_index, end_index, speakers, reason, 'medium' AS confidence, start_ms, end_ms FROM flap
+UNION ALL SELECT transcript_id, 'mid_utterance_flip', start_index, end_index, speakers, reason, confidence, start_ms, end_ms FROM flip""",
     "render_turns": f"WITH {T} SELECT transcript_id, idx AS turn_index, {RENDERED} AS rendered FROM t",
     "transcript_stats": f"WITH {T} SELECT transcript_id, count(*) AS n_turns, sum(length(text))::BIGINT AS n_chars, max(end_ms) AS duration_ms, bool_or(start_ms IS NOT NULL) AS has_timestamps FROM t GROUP BY transcript_id",
     "transcript_speakers": f"WITH {T}, s AS (SELECT transcript_id, speaker, min(idx) AS f FROM t GROUP BY 1, 2) SELECT transcript_id, coalesce(string_agg(speaker, '|' ORDER BY f), '') AS speakers FROM s GROUP BY 1",
@@ -462,11 +470,7 @@ SELECT t.transcript_id, t.idx AS turn_index, min(finding_id) AS finding_id FROM
     "canonical_keys": "SELECT label_id, trim(regexp_replace(lower(regexp_replace(strip_accents(raw_speaker), '[^\\w\\s]', ' ', 'g')), '\\s+', ' ', 'g')) AS key FROM speaker_labels",
     "strip_roles": "SELECT label_id, coalesce(nullif(" + _STRIP.format("regexp_replace(raw_speaker, '\\s*[(\\[{].*?[)\\]}]\\s*$|\\s+[-–—]\\s+.*$', '', 'g')") + ", ''), raw_speaker) AS name FROM speaker_labels",
     "generic_labels": "SELECT label_id, regexp_matches(" + _STRIP.format("raw_speaker") + ", '(?i)^(speaker|spk|s)[\\s_\\-]*\\d+$') AS generic FROM speaker_labels",
-    "flips": f"""WITH {T}, p AS (SELECT *, lag(text) OVER w AS pt, lag(speaker) OVER w AS ps, lag(start_ms) OVER w AS pa, lag(end_ms) OVER w AS pe, lag(idx) OVER w AS pi FROM t WINDOW w AS (PARTITION BY transcript_id ORDER BY idx)),
-o AS (SELECT *, regexp_replace(regexp_replace(pt, '\\s+$', ''), '["''’”)\\]}}」』]+$', '') AS bare FROM p WHERE speaker <> ps AND start_ms - pe <= 300),
-u AS (SELECT transcript_id, sum(regexp_matches(f, '\\p{{L}}')::INT) AS n, sum(regexp_matches(f, '\\p{{Lu}}')::INT) AS c FROM (SELECT transcript_id, substr({_STRIP.format('text')}, 1, 1) AS f FROM t) GROUP BY 1)
-SELECT o.transcript_id, pi AS start_index, idx AS end_index, CASE WHEN n >= 2 AND c * 2 >= n AND regexp_matches(regexp_extract(text, '^[^\\p{{L}}\\p{{Nd}}]*([\\p{{L}}\\p{{Nd}}])', 1), '\\p{{Ll}}') THEN 'high' ELSE 'medium' END AS confidence, pa AS start_ms, end_ms
-FROM o JOIN u USING (transcript_id) WHERE bare <> '' AND NOT regexp_matches(bare, '[.!?…。！？]$')""",
+    "flips": f"WITH {T}, {_FLIP} SELECT transcript_id, start_index, end_index, confidence, start_ms, end_ms FROM flip",
     "ghosts": f"""WITH {T}, b AS (SELECT transcript_id, speaker, count(*) AS n, sum(length(text)) AS chars, min(idx) AS start_index, max(idx) AS end_index FROM t GROUP BY 1, 2),
 a AS (SELECT transcript_id, sum(chars) AS total, count(speaker) AS voices FROM b GROUP BY 1)
 SELECT transcript_id, start_index, end_index, speaker AS speakers FROM b JOIN a USING (transcript_id) WHERE voices >= 2 AND regexp_matches({_STRIP.format('speaker')}, '(?i)^(speaker|spk|s)[\\s_\\-]*\\d+$') AND n <= 2 AND chars <= 0.005 * total""",
