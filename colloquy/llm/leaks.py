@@ -31,16 +31,21 @@ EDGE = 2
 ITEMS_LIMIT = 64_000_000
 _WORD, _ASCII_WORD = re.compile(r"[^\W_]+"), re.compile(r"[a-z0-9]+")
 _UNSEEN = regex.compile(r"[\p{Cf}\p{Mn}]+")
-_LAYOUT = regex.compile(
-    r"^(?:WEBVTT.*|\d+|.*-->.*|[^\n:]{1,60} {2,}\d{1,3}(?::\d{2}){1,2})[ \t]*$"
-    r"|^(?:[\[(<]?\d{1,3}(?::\d{2}){1,2}(?:[.,]\d+)?[\])>]?:?[ \t]*(?:-[ \t])?)?(?:[^\n:.!?]{1,50}:[ \t]+)?|</?[A-Za-z][^<>\n]*>",
-    regex.M,
-)
+_TAG = re.compile(r"</?[A-Za-z][^<>\n]*>")
+_LAYOUT_LINE = re.compile(r"WEBVTT.*|\d+[ \t]*|.*-->.*|[^:]{1,60} {2,}\d{1,3}(?::\d{2}){1,2}[ \t]*")
+_LINE_HEAD = re.compile(r"(?:[\[(<]?\d{1,3}(?::\d{2}){1,2}(?:[.,]\d+)?[\])>]?:?[ \t]*(?:-[ \t])?)?(?:[^:.!?]{1,50}:[ \t]+)?")
+
+
+def without_layout(text: str) -> str:
+    """A transcript without cue times, numbers, labels at line heads and tags."""
+    lines = [x[_LINE_HEAD.match(x).end() :] for x in text.split("\n") if x and not _LAYOUT_LINE.fullmatch(x)]
+    text = "\n".join(lines)
+    return _TAG.sub(" ", text) if "<" in text else text
 
 
 def words(text: str) -> list[str]:
     """Words in lower case without accents, invisible characters and the layout of transcripts."""
-    text = _LAYOUT.sub(" ", html.unescape(text) if "&" in text else text)
+    text = without_layout(html.unescape(text) if "&" in text else text)
     if not text.isascii():
         text = _UNSEEN.sub("", unicodedata.normalize("NFKD", text))
     text = text.lower()
