@@ -20,7 +20,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clean_turns(table(spark, sf_dir, "turns"), table(spark, sf_dir, "transcripts")).select("transcript_id", "first_turn_index", "last_turn_index", "words")
+    return clean_turns(table(spark, sf_dir, "turns"), table(spark, sf_dir, "transcripts"), times=False).select("transcript_id", "first_turn_index", "last_turn_index", "words")
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ next partitions through a table of at most two rows per partition and transcript
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import repeat
 
 import pandas as pd
 import pyarrow as pa
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from colloquy.llm.names import link_names
-from colloquy.llm.noise import STOPWORDS, read_turn
+from colloquy.llm.noise import STOPWORDS, read_turns_of
 from colloquy.session import cores, cut, join_small
 
 #: Turns of one file whose times are filled forward together.
@@ -28,8 +29,8 @@ _READ = T.StructType([T.StructField("head_ms", T.LongType()), T.StructField("lab
 
 @F.arrow_udf(_READ)
 def _read(text: pa.Array, labelled: pa.Array, lang: pa.Array) -> pa.Array:
-    rows = [read_turn(a, b, c) for a, b, c in zip(text.to_pylist(), labelled.to_pylist(), lang.to_pylist())]
-    columns = [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array([" ".join(r[2]) for r in rows], pa.string())]
+    heads, labels, words = read_turns_of(text.to_pylist(), labelled.to_pylist(), lang.to_pylist())
+    columns = [pa.array(heads, pa.int64()), pa.array(labels, pa.string()), pa.array(words, pa.string())]
     return pa.StructArray.from_arrays(columns, names=_READ.names)
 
 
@@ -77,18 +78,18 @@ _FRAGMENT = T.StructType(
 )
 
 
-def fragments(read: DataFrame, goes_on: Callable[[str, str, str], bool] | None, keep_words: bool, least: int) -> DataFrame:
+def fragments(read: DataFrame, goes_on: Callable[[str, str, str], bool] | None, keep_words: bool, least: int, times: bool = True) -> DataFrame:
     """Runs of neighbours in spoken order with one speaker, folded within each range partition.
 
     `goes_on(words of the run's first turn, of the turn before, of this turn)` must hold too, if given. Turns without
     words are passed over. Runs of fewer than `least` turns are left out, but for the first (`opens`) and last
-    (`closes`) run of a partition, which may go on in a neighbouring one.
+    (`closes`) run of a partition, which may go on in a neighbouring one. Without `times`, from_ms and to_ms are NULL.
     """
     n = max(int(read.sparkSession.conf.get("spark.sql.shuffle.partitions")), cores(read.sparkSession))
     rows = read.where("words <> ''").select("transcript_id", "at", "turn_index", "start_ms", "end_ms", "entity", "words")
     rows = rows.repartitionByRange(n, "transcript_id", F.col("at").asc_nulls_first(), "turn_index").sortWithinPartitions("transcript_id", F.col("at").asc_nulls_first(), "turn_index")
 
-    names = ["transcript_id", "turn_index", "start_ms", "end_ms", "entity", "words"]
+    names = ["transcript_id", "turn_index", "entity", "words"] + (["start_ms", "end_ms"] if times else [])
     kinds = pa.schema([(f.name, {T.LongType(): pa.int64(), T.StringType(): pa.string(), T.BooleanType(): pa.bool_()}[f.dataType]) for f in _FRAGMENT])
     rows = rows.select(*names)
 
@@ -101,12 +102,13 @@ def fragments(read: DataFrame, goes_on: Callable[[str, str, str], bool] | None,
                 done.append((run["t"], run["first"], run["last"], run["n"], run["from"], run["to"], run["e"], words, run["words"][-1], p, run["k"], run["k"] == 0, closes))
 
         for batch in batches:
-            for t, i, s, e, who, words in zip(*(batch.column(c).to_pylist() for c in names)):
+            columns = [batch.column(c).to_pylist() for c in names]
+            for t, i, who, words, s, e in zip(*columns, *([] if times else [repeat(None), repeat(None)])):
                 if run and run["t"] == t and run["last"] == i:  # a repeated row: equal keys lie side by side in one partition
                     continue
                 if run and run["t"] == t and run["e"] == who and (goes_on is None or goes_on(run["words"][0], run["words"][-1], words)):
                     run["last"], run["n"] = i, run["n"] + 1
-                    for x in (s, e):
+                    for x in (s, e) if times else ():
                         if x is not None and (run["to"] is None or x > run["to"]):
                             run["to"] = x
                     if keep_words or len(run["words"]) < 2:
@@ -152,13 +154,13 @@ def stitch(f: DataFrame, goes_on: Callable[[str, str, str], bool] | None, separa
     return f.where("NOT opens AND NOT closes").select(*names).unionByName(joined.select(*names))
 
 
-def clean_turns(turns: DataFrame, recordings: DataFrame) -> DataFrame:
+def clean_turns(turns: DataFrame, recordings: DataFrame, times: bool = True) -> DataFrame:
     """One row per clean turn: transcript_id, first_turn_index, last_turn_index, n_turns, from_ms, to_ms, entity, words (lower case).
 
     Turns whose text is NULL, empty or nothing but noise are dropped; neighbours in spoken order by one speaker are
     joined. Rows without transcript_id or turn_index don't count, repeated ones count once, transcripts that
     `recordings` lacks are read without language and workspace. Ties in time go by turn_index; leading turns without
-    time come first. Empty tables give no rows; further columns are ignored.
+    time come first. Empty tables give no rows; further columns are ignored. Without `times`, from_ms and to_ms are NULL.
     """
-    out = stitch(fragments(read_turns(turns, recordings), None, True, 1), None, " ")
+    out = stitch(fragments(read_turns(turns, recordings), None, True, 1, times), None, " ")
     return out.withColumn("words", F.lower("words"))
