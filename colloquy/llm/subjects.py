@@ -29,6 +29,8 @@ LABELLED, ANCHOR = 50_000, 0.5
 #: Log-likelihood from which labels anchor a term, and from which they do even a common one; terms in more than this
 #: share of a language's documents tell nothing otherwise; most languages with a component of their own.
 EVIDENCE, SURE, COMMON, LANGUAGES = 6.0, 40.0, 0.3, 12
+#: Times as often in a subject's labelled documents as in all of the language, from which a term seeds a subject that has too few anchors there.
+WEAK_LIFT = 4.0
 _CJK = regex.compile(r"[\p{Han}々]{1,8}|\p{Katakana}[\p{Katakana}ー]+")
 
 
@@ -145,9 +147,16 @@ def fit_subjects(matrix: DataFrame, labels: DataFrame, areas: DataFrame) -> dict
         for c in terms(f"{r['subject']} {r['description'] or ''}"):
             anchor[place[r["subject"]], c] += 1.0 if keep[c] else 0.0
     held = share @ (anchor > 0).T  # anchors of each subject in each language
-    h = anchor + 1e-3 * anchor.sum(axis=1, keepdims=True) * df.sum(axis=0) * keep / max(1.0, df.sum())
+    # where fewer than two are the language's own, the telling terms of the labelled documents there seed the subject; the rounds
+    # sort out which hold; a subject that neither labels nor shared anchors show in a language stays shut there
+    seed, open_ = np.zeros((k, COLUMNS)), held >= 1.5
+    for g, s in zip(*np.nonzero((share >= 0.5) @ (anchor > 0).T < 2)):
+        own = (seen[g, s] >= 1) & (seen[g, s] >= WEAK_LIFT * known[g, s] * rate[g]) & (share[g] >= 0.5) & keep & ~anchored[np.arange(k) != s].any(axis=0)
+        seed[s, own] = seen[g, s, own]
+        open_[g, s] |= held[g, s] + own.sum() >= 1.5
+    h = anchor + seed + 1e-3 * anchor.sum(axis=1, keepdims=True) * df.sum(axis=0) * keep / max(1.0, df.sum())
     common = df * keep * np.where(anchored.any(axis=0), 0.1, 1.0) + 1e-6
-    f = Factors(h, common / common.sum(axis=1, keepdims=True), share, keep, (held >= 1.5).astype(float))
+    f = Factors(h, common / common.sum(axis=1, keepdims=True), share, keep, open_.astype(float))
     context = matrix.sparkSession.sparkContext
     for _ in range(ROUNDS):
         sent = context.broadcast(f)

@@ -127,3 +127,24 @@ def test_mixture_never_raises_the_divergence():
         now = float((n * np.log(n / fit) - n + fit).sum())
         assert now <= last * (1 + 1e-4) + 1e-3
         last = now
+
+
+def test_one_label_opens_a_subject_in_a_language(spark):
+    r = random.Random(5)
+    made = lambda end: ["".join(r.choices("bdfgklmnprst")) + r.choice("aeiou") + "".join(r.choices("lnrst")) + r.choice("aeiou") + end for _ in range(8)]
+    subject = ["law", "sport", "cooking", "farming", "travel", "finance"]
+    vocabulary = {(g, s): made(g + "mk"[i % 2] + str("aeiouy"[i])) for g in ("en", "de") for i, s in enumerate(subject)}
+    chat = {g: made(g + "zz") + made(g + "xx") for g in ("en", "de")}
+    rows, truth = [], {}
+    for i in range(900):
+        g, s = "en" if i < 600 else "de", subject[i % 6] if i % 5 else None
+        rows.append((i, " ".join(w for _ in range(12) for w in r.choices(chat[g], k=6) + (r.choices(vocabulary[g, s], k=2) if s else [])), g))
+        truth[i] = s
+    one = {truth[i]: i for i in range(600, 900) if truth[i]}
+    labels = [(i, truth[i]) for i in range(0, 600, 4)] + [(i, s) for s, i in one.items()]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    areas = spark.createDataFrame([(s, f"All of {s}.") for s in subject], "subject string, description string")
+    got = {(x.doc_id, x.subject) for x in subjects.document_subjects(d, areas, spark.createDataFrame(labels, "doc_id bigint, subject string")).collect()}
+    want = {(i, s) for i, s in truth.items() if s and i >= 600 and i not in one.values()}
+    there = {x for x in got if x[0] >= 600 and x[0] not in one.values()}
+    assert len(want & there) >= 0.95 * len(want) and len(want & there) >= 0.95 * len(there)
