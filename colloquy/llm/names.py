@@ -3,7 +3,8 @@
 Labels are read as sets of tokens, so order doesn't matter. Whole names are blocked by the phonetic codes of their
 sorted tokens, each code also with one sound left out, compared by Jaro-Winkler and a nickname table, and clustered by
 connected components. Partial labels (a given name, an initial with a surname, a cut name, initials of an organisation)
-then join the one cluster they fit; a label that fits two clusters joins none.
+then join the one cluster they fit, exactly, else by sound, else (single names, also with an initial) one slip apart; a
+label that fits two clusters joins none.
 """
 
 from __future__ import annotations
@@ -244,6 +245,15 @@ def features(tokens: list[str]) -> list[str]:
     return sorted(out)
 
 
+def near_features(tokens: list[str]) -> list[tuple[str, str]]:
+    """Codes, with up to one sound left out, of the tokens that a slip may hide (four letters or more), each with its token; with the initial of the other token too."""
+    out = set()
+    for t in (t for t in tokens if len(t) >= 4):
+        heads = {x[0] for x in tokens if x != t} if len(tokens) == 2 else set()
+        out |= {(f, t) for v in less(code(t)) for f in [f"s:{v}", *(f"i:{v}|{x}" for x in heads)]}
+    return sorted(out)
+
+
 _PARSED = T.StructType([T.StructField(n, T.StringType()) for n in ("kind", "form")] + [T.StructField("tokens", T.ArrayType(T.StringType()))] + [T.StructField(n, T.StringType()) for n in ("first", "second")])
 
 
@@ -278,6 +288,25 @@ def _features(tokens: pd.Series) -> pd.Series:
     return tokens.map(lambda t: features(list(t)))
 
 
+_NEAR = T.ArrayType(T.StructType([T.StructField("f", T.StringType()), T.StructField("shown", T.StringType())]))
+
+
+@F.pandas_udf(_NEAR)
+def _near(tokens: pd.Series) -> pd.Series:
+    return tokens.map(lambda t: [{"f": f, "shown": x} for f, x in near_features(list(t))])
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _near_part(tokens: pd.Series, form: pd.Series) -> pd.Series:
+    """The same codes of a partial label's one token."""
+    return pd.Series([[f"i:{v}|{f[-1]}" if f.startswith("I:") else f"s:{v}" for v in less(code(t[0]))] if len(t[0]) >= 4 else [] for t, f in zip(tokens, form)], dtype=object)
+
+
+@F.pandas_udf(T.BooleanType())
+def _same_token(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([same_token(x, y) for x, y in zip(a, b)], dtype=bool)
+
+
 @F.pandas_udf(T.BooleanType())
 def _same(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([same_name(list(x), list(y)) for x, y in zip(a, b)], dtype=bool)
@@ -322,8 +351,18 @@ def link_names(labels: DataFrame, scope: str, label: str) -> DataFrame:
     placed = p.select("scope", "form", "id", "kind", "tokens", many.alias("many"), F.coalesce(to, "group", "id").alias("entity"), (to.isNull() & ~many & F.col("kind").isin("initial", "single")).alias("left"))
     placed = cut(placed)
 
-    # given names alone against initials whose bearer has no whole name here
+    # a single name, or one with an initial, that nothing shows exactly or by sound: one slip apart from the names of one entity
     token = F.get("tokens", F.lit(0))
+    loose = placed.where("left").select("scope", "id", token.alias("token"), F.explode(_near_part("tokens", "form")).alias("f"))
+    loose = cut(loose.select("id", "token", key("f").alias("feature")))
+    near = group.select("scope", "group", F.explode(_near("tokens")).alias("n")).select("group", "n.shown", key("n.f").alias("feature"))
+    near = join_small(near, loose, ["feature"], "inner", limit=500_000).select("id", "token", "group", "shown").distinct().where(_same_token("token", "shown"))
+    near = cut(near.groupBy("id").agg(F.min("group").alias("near"), (F.min("group") != F.max("group")).alias("several")))
+    placed = join_small(placed, near, ["id"])
+    placed = placed.select("scope", "form", "id", "kind", "tokens", (F.col("many") | F.coalesce("several", F.lit(False))).alias("many"), F.when(~F.col("several"), F.col("near")).otherwise(F.col("entity")).alias("entity"), (F.col("left") & F.col("near").isNull()).alias("left"))
+    placed = cut(placed)
+
+    # given names alone against initials whose bearer has no whole name here
     lone = placed.where("left AND kind = 'initial'").select("scope", F.col("entity").alias("group"), F.explode(F.array(F.concat(F.lit("T:"), token), F.concat(F.lit("L:"), F.substring_index("form", "|", -1)))).alias("f"))
     two = _unique(lone.select("group", key("f").alias("feature")))
     look = placed.where("left AND kind = 'single'").select("scope", "id", F.posexplode(F.array(F.concat(F.lit("T:"), token), F.concat(F.lit("L:"), F.substring(token, 1, 1)))).alias("n", "f"))

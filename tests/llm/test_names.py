@@ -74,3 +74,11 @@ def test_components_equal_union_find(spark):
     got = {x.node: x.component for x in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
     assert got == {x: find(x) for x in got} and set(got) == {x for e in edges if None not in e and e[0] != e[1] for x in e}
     assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def test_partial_labels_join_a_name_one_slip_apart(spark):
+    rows = [("a", "M. Belgomore"), ("a", "Belgomore"), ("a", "Mei-ing Belgomoe"), ("b", "K. Mardorgren"), ("b", "Konrad Mardorgten"), ("c", "S Stogoford [Host]"), ("c", "Stogoford"), ("c", "Ssmuel Stpgoford")]
+    assert linked(spark, rows) == {(rows[i][1], rows[j][1]) for i, j in ((0, 1), (0, 2), (1, 2), (3, 4), (5, 6), (5, 7), (6, 7))}
+    # another initial, or two names that fit equally: no link
+    assert linked(spark, [("a", "T. Mardorgren"), ("a", "Konrad Mardorgten")]) == set()
+    assert linked(spark, [("a", "Mardorgren"), ("a", "Konrad Mardorgten"), ("a", "Amara Mardorgsen")]) == set()
