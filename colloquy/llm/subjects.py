@@ -2,9 +2,9 @@
 
 Terms are hashed to a fixed number of columns, so the factors have a fixed size. The term factor has one component per
 subject, seeded and anchored by the labelled documents and the subject descriptions, and one per language for what all
-documents share. Alternating non-negative updates that lower the Kullback-Leibler divergence run over all documents;
+documents share; a term stays with the subjects only while most of its mass lies there. Alternating non-negative updates that lower the Kullback-Leibler divergence run over all documents;
 the anchored components then are the subject mixture of each document. The share from which a document deals with a
-subject is fitted on the labelled documents.
+subject is fitted on labelled documents that are held out from seeding.
 """
 
 from __future__ import annotations
@@ -20,17 +20,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from colloquy.llm.leaks import words
-from colloquy.session import cut
+from colloquy.session import cores, cut
 
 #: Columns of the matrix; rounds over all documents; updates of a document's mixture in a round and at the end.
 COLUMNS, ROUNDS, INNER, LAST = 1 << 18, 4, 5, 12
 #: Labelled documents used at most (by hash order); weight of the anchors against what the documents say.
 LABELLED, ANCHOR = 50_000, 0.5
-#: Log-likelihood from which labels anchor a term, and from which they do even a common one; terms in more than this
-#: share of a language's documents tell nothing otherwise; most languages with a component of their own.
-EVIDENCE, SURE, COMMON, LANGUAGES = 6.0, 40.0, 0.3, 12
+#: Log-likelihood ratio and lift, pooled over the languages, from which labels anchor a term (the ratio is chi-square of one
+#: degree at 0.001), and the ratio (0.0001) from which they do even a common one; terms in more than this share of a language's documents tell nothing otherwise.
+EVIDENCE, LIFT, SURE, COMMON = 10.83, 2.0, 15.14, 0.3
+#: Languages with a component of their own, the most frequent; all others share one more.
+LANGUAGES = 32
+#: Share of a term's mass on subjects below which, after each round, it goes back to what all documents share.
+TELLS = 0.5
 #: Times as often in a subject's labelled documents as in all of the language, from which a term seeds a subject that has too few anchors there.
 WEAK_LIFT = 4.0
+#: One labelled document in so many (but none of a subject with fewer than twice as many in its language) is held out from
+#: seeding and fits the thresholds; the thresholds where labels tell no better.
+HELD_OUT, USUAL = 5, (0.25, 0.02)
 _CJK = regex.compile(r"[\p{Han}々]{1,8}|\p{Katakana}[\p{Katakana}ー]+")
 
 
@@ -77,7 +84,7 @@ class Factors:
         self.norm()
 
     def norm(self) -> None:
-        """A subject's row sums to 1 over the columns of each language; 0 where no label shows the subject in that language."""
+        """A subject's row sums to 1 over the columns of each language, to less where little seeds the subject in that language."""
         self.scale = (self.open / np.maximum(self.share @ self.h.T, 1e-12)).astype(np.float32)
 
     def languages(self, col: np.ndarray, n: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
@@ -107,40 +114,70 @@ def _features(w: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return s / np.maximum(s.sum(axis=1, keepdims=True), 1e-9), s / np.maximum(size, 1)[:, None]
 
 
+def _pooled_ratio(seen: np.ndarray, expected: np.ndarray) -> np.ndarray:
+    """Log-likelihood ratio for more documents than expected; 0 below two documents or `LIFT` times as many as expected."""
+    lift = seen / np.maximum(expected, 1e-9)
+    return np.where((seen >= 2) & (lift >= LIFT), 2 * (seen * np.log(np.maximum(lift, 1)) - (seen - expected)), 0)
+
+
+def _thresholds(part_of: np.ndarray, dense: np.ndarray, truth: np.ndarray) -> tuple[float, float]:
+    """Least share and mass by F1 on held-out labels: of all settings within one standard error of the best, the one nearest to the usual."""
+    tried = []
+    for a in np.arange(0.1, 0.525, 0.025):
+        for b in (0.005, 0.01, 0.015, 0.02, 0.03, 0.04, 0.05, 0.07, 0.1):
+            guess = (part_of >= a) & (dense >= b)
+            tried.append((2 * (guess & truth).sum() / max(1, guess.sum() + truth.sum()), float(a), b))
+    best = max(tried)[0]
+    slack = np.sqrt(best * (1 - best) / max(1, truth.sum()))
+    far = lambda t: abs(np.log(t[1] / USUAL[0])) + abs(np.log(t[2] / USUAL[1]))
+    _, a, b = min((t for t in tried if t[0] >= best - slack), key=far)
+    return a, b
+
+
+def _read_factor(rows: DataFrame, size: int, base: float) -> np.ndarray:
+    """A (`size`, COLUMNS) table from its entries (i, c, x), of which there are at most as many."""
+    out, t = np.full((size, COLUMNS), base), rows.toArrow()
+    out[t["i"].to_numpy(), t["c"].to_numpy()] = t["x"].to_numpy()
+    return out
+
+
 def fit_subjects(matrix: DataFrame, labels: DataFrame, areas: DataFrame) -> dict:
     """Factors, subjects and thresholds; `matrix` has _key, lang, cols, counts. What comes to the driver is bounded by COLUMNS, LANGUAGES and LABELLED."""
     described = areas.select("subject", "description").where("subject IS NOT NULL").orderBy("subject").collect()
     subjects = sorted({r["subject"] for r in described})
     k, place = len(subjects), {s: i for i, s in enumerate(subjects)}
-    sizes = matrix.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    number = {r["lang"]: i for i, r in enumerate(sizes)}
-    docs = np.array([r["count"] for r in sizes], dtype=float)
-    df = np.zeros((len(sizes), COLUMNS))
-    for r in matrix.where(F.col("lang").isin(list(number))).select("lang", F.explode("cols").alias("c")).groupBy("lang", "c").count().toLocalIterator():
-        df[number[r[0]], r[1]] = r[2]
+    sizes = matrix.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()  # two letters at most: few rows
+    g_all = min(len(sizes), LANGUAGES + 1)
+    docs = np.zeros(g_all)
+    number: dict[int, list[str]] = {}
+    for i, r in enumerate(sizes):
+        docs[min(i, g_all - 1)] += r["count"]
+        number.setdefault(min(i, g_all - 1), []).append(r["lang"])
+    of = F.coalesce(*[F.when(F.col("lang").isin(names), i) for i, names in number.items() if i < LANGUAGES], F.lit(g_all - 1))
+    df = _read_factor(matrix.select(of.alias("i"), F.explode("cols").alias("c")).groupBy("i", "c").agg(F.count(F.lit(1)).alias("x")), g_all, 0.0)
     rate = df / docs[:, None]
     share = rate / np.maximum(rate.sum(axis=0), 1e-12)
     keep = (df.sum(axis=0) > 0) & (np.where(share >= 0.5, rate, 0).max(axis=0) <= COMMON)
-    flat = Factors(np.zeros((k, COLUMNS)), df, share, keep, np.zeros((len(sizes), k)))
-    # labelled documents and descriptions
+    flat = Factors(np.zeros((k, COLUMNS)), df, share, keep, np.zeros((g_all, k)))
+    # labelled documents and descriptions; some labelled documents are held out for the thresholds
     marks = labels.select(F.col("doc_id").alias("_key"), "subject").where("_key IS NOT NULL").groupBy("_key").agg(F.collect_set("subject").alias("subjects"))
-    chosen = matrix.join(marks.orderBy(F.xxhash64("_key")).limit(LABELLED), "_key").select("_key", "cols", "counts", "subjects").orderBy("_key").toPandas()
-    lang = flat.languages(*_flat(chosen, keep), len(chosen)) if len(chosen) else []
-    said, seen, known = np.zeros((k, COLUMNS)), np.zeros((len(sizes), k, COLUMNS), dtype=np.float32), np.zeros((len(sizes), k))
-    for cols, counts, found, g in zip(chosen["cols"], chosen["counts"], chosen["subjects"], lang):
+    chosen = matrix.join(marks.orderBy(F.xxhash64("_key")).limit(LABELLED), "_key").select("_key", "cols", "counts", "subjects", (F.pmod(F.xxhash64("_key", F.lit("held out")), F.lit(HELD_OUT)) == 0).alias("held_out")).orderBy("_key").toPandas()
+    lang = flat.languages(*_flat(chosen, keep), len(chosen)) if len(chosen) else np.empty(0, dtype=int)
+    pairs = [[(g, x) for x in found if x in place] for g, found in zip(lang, chosen["subjects"])]
+    labelled = Counter(p for ps in pairs for p in ps)
+    away = np.array([bool(h) and all(labelled[p] >= 2 * HELD_OUT for p in ps) for h, ps in zip(chosen["held_out"], pairs)], dtype=bool)  # scarce labels only seed
+    seeds, judged, lang = chosen[~away], chosen[away], lang[~away]
+    said, seen, known = np.zeros((k, COLUMNS)), np.zeros((g_all, k, COLUMNS), dtype=np.float32), np.zeros((g_all, k))
+    for cols, counts, found, g in zip(seeds["cols"], seeds["counts"], seeds["subjects"], lang):
         for s in (place[x] for x in found if x in place):
             said[s, cols] += counts
             seen[g, s, cols] += 1
             known[g, s] += 1
-    anchored, sure = np.zeros((k, COLUMNS), dtype=bool), np.zeros((k, COLUMNS), dtype=bool)
-    for g in range(len(sizes)):
-        for s in range(k):
-            if known[g, s]:
-                lift = seen[g, s] / known[g, s] / np.maximum(rate[g], 1e-9)
-                evidence = np.where((seen[g, s] >= 2) & (lift >= 2), 2 * seen[g, s] * np.log(np.maximum(lift, 1)), 0)
-                anchored[s] |= evidence >= EVIDENCE
-                sure[s] |= evidence >= SURE
-    keep |= sure.any(axis=0)  # a term that many labels tie to a subject stays, however many documents the subject has
+    # evidence is pooled over the languages, each with its own expected count: a word of another language, or a name, that turns
+    # up in the few labelled documents of a language is no anchor
+    evidence = _pooled_ratio(seen.sum(axis=0), np.einsum("gs,gc->sc", known, rate))
+    anchored = evidence >= EVIDENCE
+    keep |= (evidence >= SURE).any(axis=0)  # a term that many labels tie to a subject stays, however many documents the subject has
     anchored &= keep
     anchor = np.where(anchored, said, 0.0)
     for r in described:
@@ -148,52 +185,49 @@ def fit_subjects(matrix: DataFrame, labels: DataFrame, areas: DataFrame) -> dict
             anchor[place[r["subject"]], c] += 1.0 if keep[c] else 0.0
     held = share @ (anchor > 0).T  # anchors of each subject in each language
     # where fewer than two are the language's own, the telling terms of the labelled documents there seed the subject; the rounds
-    # sort out which hold; a subject that neither labels nor shared anchors show in a language stays shut there
-    seed, open_ = np.zeros((k, COLUMNS)), held >= 1.5
+    # sort out which hold; with little to seed it a subject is held down there, in proportion
+    seed, terms_of = np.zeros((k, COLUMNS)), held.copy()
     for g, s in zip(*np.nonzero((share >= 0.5) @ (anchor > 0).T < 2)):
         own = (seen[g, s] >= 1) & (seen[g, s] >= WEAK_LIFT * known[g, s] * rate[g]) & (share[g] >= 0.5) & keep & ~anchored[np.arange(k) != s].any(axis=0)
         seed[s, own] = seen[g, s, own]
-        open_[g, s] |= held[g, s] + own.sum() >= 1.5
+        terms_of[g, s] += own.sum()
     h = anchor + seed + 1e-3 * anchor.sum(axis=1, keepdims=True) * df.sum(axis=0) * keep / max(1.0, df.sum())
     common = df * keep * np.where(anchored.any(axis=0), 0.1, 1.0) + 1e-6
-    f = Factors(h, common / common.sum(axis=1, keepdims=True), share, keep, open_.astype(float))
-    context = matrix.sparkSession.sparkContext
+    f = Factors(h, common / common.sum(axis=1, keepdims=True), share, keep, np.minimum(1.0, terms_of / 1.5))
+    spark = matrix.sparkSession
+    # each task adds up its part of the factors, so few long tasks rather than one per file split: what is shuffled is bounded by cores, not by data
+    slim = matrix.select("cols", "counts").coalesce(2 * cores(spark))
     for _ in range(ROUNDS):
-        sent = context.broadcast(f)
+        sent = spark.sparkContext.broadcast(f)
 
         def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             now = sent.value
-            total = np.zeros((len(now.h) + len(now.common), COLUMNS), dtype=np.float32)
+            total = np.zeros((len(now.h) + len(now.common), COLUMNS), dtype=np.float64)
             for batch in batches:
                 col, n, row = _flat(batch, now.keep)
                 _, x, g = now.mixture(col, n, row, len(batch), INNER)
                 for i in range(len(now.h)):
-                    total[i] += np.bincount(col, weights=x[:, i], minlength=COLUMNS).astype(np.float32)
+                    total[i] += np.bincount(col, weights=x[:, i], minlength=COLUMNS)
                 for i in np.unique(g[row]):
                     at = g[row] == i
-                    total[len(now.h) + i] += np.bincount(col[at], weights=x[at, -1], minlength=COLUMNS).astype(np.float32)
+                    total[len(now.h) + i] += np.bincount(col[at], weights=x[at, -1], minlength=COLUMNS)
             i, c = np.nonzero(total)
-            yield pd.DataFrame({"i": i, "c": c, "x": total[i, c].astype(float)})
+            yield pd.DataFrame({"i": i, "c": c, "x": total[i, c]})
 
-        new = np.full((k + len(sizes), COLUMNS), 1e-9)
-        for r in matrix.select("cols", "counts").mapInPandas(part, "i bigint, c bigint, x double").groupBy("i", "c").agg(F.sum("x").alias("x")).where("x > 1e-6").toLocalIterator():
-            new[r[0], r[1]] = r[2]
+        new = _read_factor(slim.mapInPandas(part, "i bigint, c bigint, x double").groupBy("i", "c").agg(F.sum("x").alias("x")), k + g_all, 1e-9)
         h, common = new[:k], new[k:]
-        h = h * keep + ANCHOR * anchor / np.maximum(anchor.sum(axis=1, keepdims=True), 1e-12) * h.sum(axis=1, keepdims=True)
+        # a term whose mass isn't mostly on subjects tells nothing: else a component could take a language's common words round by round
+        idle = h.sum(axis=0) < TELLS * new.sum(axis=0)
+        common += share * (h * idle).sum(axis=0)
+        h = np.where(idle, 0.0, h * keep)
+        h += ANCHOR * anchor / np.maximum(anchor.sum(axis=1, keepdims=True), 1e-12) * h.sum(axis=1, keepdims=True)
         f = Factors(h, common / common.sum(axis=1, keepdims=True), share, keep, f.open)
         sent.unpersist()
-    share_least, mass_least = 0.25, 0.02
-    if len(chosen):
-        w, _, _ = f.mixture(*_flat(chosen, keep), len(chosen), LAST)
-        part_of, dense = _features(w, chosen["counts"].map(sum).to_numpy())
-        truth = np.array([[s in set(found) for s in subjects] for found in chosen["subjects"]])
-        best = -1.0
-        for a in np.arange(0.1, 0.55, 0.025):
-            for b in (0.0025, 0.005, 0.01, 0.015, 0.02, 0.03, 0.04, 0.05, 0.07, 0.1):
-                guess = (part_of >= a) & (dense >= b)
-                f1 = 2 * (guess & truth).sum() / max(1, guess.sum() + truth.sum())
-                if f1 > best + 1e-9:
-                    best, share_least, mass_least = f1, float(a), float(b)
+    share_least, mass_least = USUAL
+    if len(judged):
+        w, _, _ = f.mixture(*_flat(judged, keep), len(judged), LAST)
+        truth = np.array([[s in set(found) for s in subjects] for found in judged["subjects"]])
+        share_least, mass_least = _thresholds(*_features(w, judged["counts"].map(sum).to_numpy()), truth)
     return {"factors": f, "subjects": subjects, "share": share_least, "mass": mass_least}
 
 

@@ -148,3 +148,51 @@ def test_one_label_opens_a_subject_in_a_language(spark):
     want = {(i, s) for i, s in truth.items() if s and i >= 600 and i not in one.values()}
     there = {x for x in got if x[0] >= 600 and x[0] not in one.values()}
     assert len(want & there) >= 0.95 * len(want) and len(want & there) >= 0.95 * len(there)
+
+
+def test_ten_times_the_labels_give_the_same_subjects(spark):
+    r = random.Random(11)
+    made = lambda end, n: ["".join(r.choices("bdfgklmnprst")) + r.choice("aeiou") + "".join(r.choices("lnrst")) + r.choice("aeiou") + end + "aeiou"[i % 5] + "krst"[i // 5 % 4] for i in range(n)]
+    subject = ["law", "sport", "cooking", "farming", "travel", "finance"]
+    vocabulary = {(g, s): made(g + "mk"[i % 2] + "aeiouy"[i], 20) for g in ("en", "de", "fr") for i, s in enumerate(subject)}
+    chat, names = {g: made(g + "zz", 20) for g in ("en", "de", "fr")}, made("nn", 20)
+    rows, truth = [], {}
+    for i in range(2000):
+        g = "en" if i % 10 < 7 else "de" if i % 10 < 9 else "fr"
+        s = r.sample(subject, r.choice([0, 1, 1, 1, 2]))
+        body = [w for _ in range(10) for w in r.choices(chat[g], k=6) + r.choices(names, k=1) + [x for k in s for x in r.choices(vocabulary[g, k], k=2)]]
+        body += r.choices(chat["en"], k=2) if i % 9 == 0 else []  # words of the large language strewn into the small ones
+        rows.append((i, " ".join(body), g))
+        truth[i] = set(s)
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    areas = spark.createDataFrame([(k, f"About {k}.") for k in subject], "subject string, description string")
+    sizes = []
+    for n in (150, 1500):
+        labels = [(i, k if r.random() > 0.1 else r.choice(subject)) for i in r.sample(range(2000), n) for k in (truth[i] or [None])]
+        got = [(x.doc_id, x.subject) for x in subjects.document_subjects(d, areas, spark.createDataFrame(labels, "doc_id bigint, subject string")).collect()]
+        right = sum(s in truth[i] for i, s in got)
+        assert right >= 0.9 * len(got) and right >= 0.9 * sum(map(len, truth.values()))
+        sizes.append(len(got))
+    assert abs(sizes[1] - sizes[0]) <= 0.1 * sizes[0]
+
+
+def test_rare_languages_have_subjects_too(spark, monkeypatch):
+    r = random.Random(4)
+    languages = [chr(97 + i) * 2 for i in range(15)]
+    rows, truth = [], {}
+    subject = ["law", "sport", "cooking", "farming", "travel"]
+    for i in range(1800):
+        g, s = languages[i % 15], [None, *subject][i // 15 % 6]
+        rows.append((i, " ".join(w for _ in range(10) for w in [f"{g}chat{r.randrange(9)}x" for _ in range(5)] + ([f"{g}{s}{'abcdefghijkl'[r.randrange(12)]}" for _ in range(2)] if s else [])), g))
+        truth[i] = s
+    labels = [(i, truth[i]) for i in range(1800) if i // 90 % 2]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    areas = spark.createDataFrame([(k, "") for k in subject], "subject string, description string")
+    want = {(i, s) for i, s in truth.items() if s}
+    for own, least in ((32, 0.9), (12, 0.7)):  # the last three languages share a component
+        monkeypatch.setattr(subjects, "LANGUAGES", own)
+        got = {(x.doc_id, x.subject) for x in subjects.document_subjects(d, areas, spark.createDataFrame(labels, "doc_id bigint, subject string")).collect()}
+        assert len(got & want) >= 0.9 * len(got)
+        for g in range(15):
+            mine = {x for x in want if x[0] % 15 == g}
+            assert len(got & mine) >= (0.9 if g < 12 else least) * len(mine), languages[g]
