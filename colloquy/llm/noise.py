@@ -1,13 +1,9 @@
-"""Reading a turn's text: the time and label at its head, and its words without noise."""
+"""What is noise in a turn's text, and what may stand at its head."""
 
 from __future__ import annotations
 
-import re
-
 import regex
 
-from colloquy.llm.names import parse_label
-
 #: Hesitation sounds by language; `*` for every language.
 HESITATIONS = {
     "*": r"h+m+|m{2,}|uh+m+",
@@ -34,17 +30,16 @@ STOPWORDS = {
     "fr": "le la les et est nous je ce une pour pas dans il qui des".split(),
     "es": "el la los las y es que en un por no nos de lo este".split(),
 }
-_TIME = r"\d{1,3}:\d{2}(?::\d{2})?(?:[.,]\d{1,3})?"
-HEAD = regex.compile(rf"^[\s]*(?:\[\s*({_TIME})\s*\]|\(\s*({_TIME})\s*\)|<\s*({_TIME})\s*>|({_TIME})(?=\s))[:,]?\s*(?:[-–—]\s+)?")
-_LABEL = regex.compile(r"^\s*((?:>+\s*)?[^:\n!?]{1,60}?)\s*:{1,2}\s+(?=\S)")
-NOTES = regex.compile(
+#: Patterns in the syntax that Java and Python's `regex` share: a clock time; one at the head of a text; a label before the words.
+TIME = r"\d{1,3}:\d{2}(?::\d{2})?(?:[.,]\d{1,3})?"
+HEAD = rf"^\s*(?:\[\s*{TIME}\s*\]|\(\s*{TIME}\s*\)|<\s*{TIME}\s*>|{TIME}(?=\s))[:,]?\s*(?:[-–—]\s+)?"
+LABEL = r"^\s*((?:>+\s*)?[^:\n!?]{1,60}?)\s*:{1,2}\s+(?=\S)"
+#: Marked noise (case doesn't matter), and the marks of which it has one unless it is a clock time.
+NOTES = (
     r"\[[^\[\]\n]{0,80}\]|\{[^{}\n]{0,80}\}|<[^<>\n]{0,80}>|♪[^♪\n]{0,80}♪|[♪♫]+|#\p{L}[\p{L} ]{0,30}#|\*\p{L}[\p{L} ]{0,40}\*|【[^【】\n]{0,80}】|［[^［］\n]{0,80}］"
-    rf"|\(+(?:[^()\n]{{0,40}}?(?:{'|'.join(SOUNDS)})[^()\n]{{0,40}})\)+|（(?:[^（）\n]{{0,20}}?(?:{'|'.join(SOUNDS)})[^（）\n]{{0,20}})）|(?<![\d.,:])\d{{1,3}}:\d{{2}}:\d{{2}}(?:[.,]\d{{1,3}})?(?![\d:])",
-    regex.I,
+    rf"|\(+(?:[^()\n]{{0,40}}?(?:{'|'.join(SOUNDS)})[^()\n]{{0,40}})\)+|（(?:[^（）\n]{{0,20}}?(?:{'|'.join(SOUNDS)})[^（）\n]{{0,20}})）|(?<![\d.,:])\d{{1,3}}:\d{{2}}:\d{{2}}(?:[.,]\d{{1,3}})?(?![\d:])"
 )
-_WORD = regex.compile(r"[\p{L}\p{M}\p{Nd}]+")
-_ASCII_WORD, _LATIN_WORD = re.compile(r"[0-9A-Za-z]+"), re.compile(r"[0-9A-Za-zªµºÀ-ÖØ-öø-ˁ]+")
-_MARKED = re.compile(r"[\[{<♪♫#*(（【［]|\d:\d\d:")
+MARKS = "[{<♪♫#*(（【［"
 _HESITATION = {k: regex.compile(rf"(?:{HESITATIONS['*']}" + (f"|{v})" if k != "*" else ")"), regex.I) for k, v in HESITATIONS.items()}
 _KNOWN: dict[tuple[str, str], bool] = {}
 
@@ -59,74 +54,5 @@ def is_sound(word: str, lang: str) -> bool:
     return hit
 
 
-_PLAIN: dict[str, set[str]] = {}
-
-
-def without_sounds(words: list[str], lang: str) -> list[str]:
-    """The words that are no hesitation sounds of the language."""
-    plain = _PLAIN.setdefault(lang, set())
-    if plain.issuperset(words):  # all seen before
-        return words
-    if len(plain) > 500_000:
-        plain.clear()
-    out = [w for w in words if not is_sound(w, lang)]
-    plain.update(out)
-    return out
-
-
 def base_language(lang: str | None) -> str:
     return (lang or "*").lower().partition("-")[0]
-
-
-def find_words(text: str) -> list[str]:
-    """Unbroken runs of letters, combining marks and digits."""
-    return (_ASCII_WORD if text.isascii() else _LATIN_WORD if max(text) < "\u02c2" else _WORD).findall(text)
-
-
-def offset_ms(text: str) -> int:
-    """Milliseconds of `h:mm:ss.fff` or `m:ss`."""
-    whole, _, part = text.replace(",", ".").partition(".")
-    s = 0
-    for x in whole.split(":"):
-        s = s * 60 + int(x)
-    return s * 1000 + int((part + "000")[:3])
-
-
-def read_turn(text: str | None, labelled: bool, lang: str | None) -> tuple[int | None, str | None, list[str]]:
-    """(time at the head, label before the words unless the row is labelled, words without noise as cased in the text)."""
-    if not text:
-        return None, None, []
-    head = label = None
-    text = text.lstrip()
-    if (text[:1].isdigit() or text[:1] in ("[", "(", "<")) and (m := HEAD.match(text)):
-        head = offset_ms(next(g for g in m.groups() if g))
-        text = text[m.end() :]
-    if not labelled and (m := _LABEL.match(text)) and len(m[1].split()) <= 6 and parse_label(m[1])["kind"] != "none":
-        label, text = m[1], text[m.end() :]
-        if head is None and (m := HEAD.match(text)):
-            head = offset_ms(next(g for g in m.groups() if g))
-            text = text[m.end() :]
-    g = base_language(lang)
-    return head, label, without_sounds(find_words(NOTES.sub(" ", text) if _MARKED.search(text) else text), g)
-
-
-def read_turns_of(texts: list, labelled: list, langs: list) -> tuple[list, list, list]:
-    """`read_turn` over columns: times, labels, and the words joined by one blank. Plain texts of known words take a short way."""
-    heads, labels, said = [None] * len(texts), [None] * len(texts), [""] * len(texts)
-    marked, ascii_words = _MARKED.search, _ASCII_WORD.findall
-    plain_of: dict = {}
-    for i, text in enumerate(texts):
-        if not text:
-            continue
-        lang = langs[i]
-        plain = plain_of.get(lang)
-        if plain is None:
-            plain = plain_of[lang] = _PLAIN.setdefault(base_language(lang), set())
-        if labelled[i] and (c := text[0]) not in "[(<" and not c.isdigit() and not c.isspace() and not marked(text):
-            words = ascii_words(text) if text.isascii() else find_words(text)
-            if plain.issuperset(words):
-                said[i] = " ".join(words)
-                continue
-        heads[i], labels[i], words = read_turn(text, labelled[i], lang)
-        said[i] = " ".join(words)
-    return heads, labels, said

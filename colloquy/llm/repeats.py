@@ -1,17 +1,23 @@
 """Repeated consecutive events: runs of one speaker saying the same, collapsed into one event.
 
-Only boundaries matter: a turn that says something else than the one before (and than the first of the run) opens a
-new event; the count is the number of turns up to the next boundary, the duration ends with the last turn before it.
+Only boundaries are kept: turns that say something else than their predecessor in spoken order. The lead over these gives
+each run its end: differences of positions are the counts, and the last time known before the next boundary ends the
+duration. Near-identical turns may all differ from the first in another spot, so that neighbours differ in two: a run
+that says the same as the first turn of the repeated run it follows joins it, by a second pass over the boundaries.
 """
 
 from __future__ import annotations
 
 from functools import lru_cache
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from colloquy.llm.turns import fragments, read_turns, stitch
+from colloquy.llm.spoken import Blocks, in_spoken_order
+from colloquy.llm.turns import read_turns
+from colloquy.session import cut
 
 #: Words of a reworded spot on either side at most, and unchanged words at least.
 SPOT, UNCHANGED = 3, 4
@@ -73,15 +79,58 @@ def same_statement(a: str, b: str) -> bool:
     return not (i and x[i - 1] in DETERMINERS and (not after or after in FUNCTION))
 
 
-def goes_on(first: str, before: str, now: str) -> bool:
-    return same_statement(before, now) or (first is not before and same_statement(first, now))
+@F.pandas_udf(T.BooleanType())
+def _same_statement(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([x is not None and same_statement(x, y) for x, y in zip(a, b)], dtype=bool)
+
+
+def _says_the_same(a: Column, b: Column, asked: Column) -> Column:
+    """`same_statement` where `asked`; Python sees only pairs of different texts of which the first or the last words are within its reach."""
+    x, y = F.split(F.lower(a), " "), F.split(F.lower(b), " ")
+
+    def near(v: Column, w: Column) -> Column:  # two slips are four single-letter edits at most, one is two
+        n = F.least(F.length(v), F.length(w))
+        return F.levenshtein(v, w) <= F.when(n >= 5, 4).when(n >= 3, 2).otherwise(0)
+
+    ends = near(F.get(x, F.lit(0)), F.get(y, F.lit(0))) | near(F.element_at(x, -1), F.element_at(y, -1))
+    open_ = asked & (F.lower(a) != F.lower(b)) & (F.abs(F.size(x) - F.size(y)) < SPOT) & ends
+    return F.coalesce(asked, F.lit(False)) & ((F.lower(a) == F.lower(b)) | _same_statement(F.when(open_, a), F.when(open_, b)))
 
 
 def repeated_events(turns: DataFrame, recordings: DataFrame) -> DataFrame:
     """One row per maximal run of two or more turns: transcript_id, first_turn_index, last_turn_index, n_turns, start_ms, duration_ms, words.
 
-    Turns of nothing but noise are passed over. `duration_ms` runs from the first start to the latest time known in the
-    run, NULL where none is known. For NULLs, repeated rows, ties, empty tables and further columns see `clean_turns`.
+    A turn goes on with the run if it says the same as the turn before. A run that follows a repeated one of the same
+    speaker joins it if its first turn says the same as that one's first. Turns of nothing but noise are passed over.
+    `duration_ms` runs from the start of the first turn to the last time known by the end of the run, NULL where the
+    first start is unknown. For NULLs, repeated rows, ties, empty tables and further columns see `clean_turns`.
     """
-    runs = stitch(fragments(read_turns(turns, recordings), goes_on, False, 2), goes_on, None).where("n_turns >= 2")
-    return runs.select("transcript_id", "first_turn_index", "last_turn_index", "n_turns", F.col("from_ms").alias("start_ms"), F.greatest(F.col("to_ms") - F.col("from_ms"), F.lit(0)).alias("duration_ms"), "words")
+    return in_spoken_order(*read_turns(turns, recordings), _events)
+
+
+def _events(rows: DataFrame, blocks: Blocks) -> DataFrame:
+    known = F.last(F.coalesce("end_ms", "start_ms"), ignorenulls=True).over(blocks.inside())
+    x = rows.withColumn("known_ms", known).drop("end_ms")
+    x = blocks.before(x.withColumn("_me", F.struct("turn_index", "entity", "words", "known_ms")), "_me", "_prev").drop("_me")
+    x = x.where(~F.col("turn_index").eqNullSafe(F.col("_prev.turn_index")))  # a repeated row follows its like
+    one = F.coalesce(F.col("_prev.entity") == F.col("entity"), F.lit(False))
+    x = blocks.numbered(blocks.numbered(x, F.lit(True), "pos"), ~one, "_stretch")
+    x = blocks.ended(x.withColumn("_me", F.struct("pos", "turn_index", "known_ms")), "_me", "_total")
+    # boundaries only, and the lead over them
+    bounds = x.where(~_says_the_same(F.col("_prev.words"), F.col("words"), one))
+    bounds = bounds.select(*blocks.keys, "at", "turn_index", "pos", "_stretch", "start_ms", "words", "_total", F.struct("pos", F.col("_prev.turn_index").alias("turn_index"), F.col("_prev.known_ms").alias("known_ms")).alias("_me"))
+    bounds = blocks.after(bounds, "_me", "_next").drop("_me")
+    next_ = F.coalesce("_next", F.struct((F.col("_total.pos") + 1).alias("pos"), F.col("_total.turn_index").alias("turn_index"), F.col("_total.known_ms").alias("known_ms")))
+    runs = bounds.withColumn("_next", next_).withColumn("n", F.col("_next.pos") - F.col("pos"))
+    # runs that say the same as the first turn of the repeated run before them
+    runs = blocks.before(runs.withColumn("_me", F.when(F.col("n") >= 2, F.struct("pos", "words", "_stretch"))), "_me", "_lead").drop("_me")
+    asked = F.coalesce(F.col("_lead._stretch") == F.col("_stretch"), F.lit(False))
+    runs = runs.withColumn("_like", _says_the_same(F.col("_lead.words"), F.col("words"), asked)).where("_like OR n >= 2")
+    runs = cut(runs.select(*blocks.keys, "at", "turn_index", "pos", "n", "start_ms", F.col("_next.turn_index").alias("last_turn_index"), F.col("_next.known_ms").alias("known_ms"), "words", "_like", F.col("_lead.pos").alias("_lead_pos")))
+    # they join it if no other run lies between
+    runs = blocks.before(runs.withColumn("_me", F.struct((F.col("pos") + F.col("n")).alias("end"))), "_me", "_prev").drop("_me")
+    runs = blocks.before(runs.withColumn("_me", F.when(~F.col("pos").eqNullSafe(F.col("_prev.end")), F.struct("pos"))), "_me", "_since").withColumn("_since", F.coalesce("_me.pos", "_since.pos")).drop("_me", "_prev")
+    runs = blocks.numbered(runs, ~F.coalesce(F.col("_like") & (F.col("_lead_pos") >= F.col("_since")), F.lit(False)), "_event")
+    first = lambda c: F.min_by(c, "pos").alias(c)
+    events = runs.groupBy("transcript_id", "_event").agg(first("turn_index"), F.max_by("last_turn_index", "pos").alias("last_turn_index"), F.sum("n").alias("n_turns"), first("start_ms"), F.max_by("known_ms", "pos").alias("known_ms"), first("words")).where("n_turns >= 2")
+    return events.select("transcript_id", F.col("turn_index").alias("first_turn_index"), "last_turn_index", "n_turns", "start_ms", F.greatest(F.col("known_ms") - F.col("start_ms"), F.when(F.col("start_ms").isNotNull(), 0)).alias("duration_ms"), "words")

@@ -36,7 +36,7 @@ _END = re.compile(rf"(?:\.{{2,}}|[.!?…。！？．؟।॥۔]+)(?:[ \u00a0\u20
 _PERIOD = regex.compile(r"(?<![\w.])((?:\p{L}[\p{L}\p{M}]*\.)*\p{L}[\p{L}\p{M}]*|\d[\d.,]*)\.(?!\w)(?!\.)")
 _TOKEN = regex.compile(r"(?:\p{L}[\p{L}\p{M}]*\.)*\p{L}[\p{L}\p{M}]*|\d[\d.,]*\d|\d")
 _SOUNDS = {g: regex.compile(rf"(?:{HESITATIONS['*']}" + (f"|{x})" if g != "*" else ")"), regex.I) for g, x in HESITATIONS.items()}
-_NEXTS = {g: regex.compile(rf"(?:\s+|{NOTES.pattern}|{x.pattern}(?![\w'’])[,.…-]*)*[\s\"'“”„«»¿¡(\[「『‘]*", regex.I) for g, x in _SOUNDS.items()}
+_NEXTS = {g: regex.compile(rf"(?:\s+|{NOTES}|{x.pattern}(?![\w'’])[,.…-]*)*[\s\"'“”„«»¿¡(\[「『‘]*", regex.I) for g, x in _SOUNDS.items()}
 _THAI_GAP = regex.compile(r"(?<=[฀-๿\d%])\s+(?=[฀-๿])")
 _SURE = re.compile(r"[!?]+(?=\s)")
 NUMBER = "##"

@@ -1,37 +1,77 @@
 """Speech transcripts into clean speaker turns, in spoken order.
 
-Fields are read once per turn; times are filled forward over the file order; turns are then ordered by range
-partitioning on (transcript, time, index), which spreads even a transcript that holds a third of all rows. Each
-partition folds its neighbours into runs while it streams; the runs at its two ends are joined with those of the
-next partitions through a table of at most two rows per partition and transcript.
+Fields are extracted with SQL expressions: the time and label at the head of a text, and its words without marked noise.
+Times are filled forward over the file order by windows. Speakers need no filling: an unlabelled turn has an unknown
+speaker. Turns are then ordered in blocks (see `spoken`), islands of one speaker are numbered over them, and each island
+is one turn.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from itertools import repeat
+import operator
+from functools import reduce
 
 import pandas as pd
-import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from colloquy.llm.names import link_names
-from colloquy.llm.noise import STOPWORDS, read_turns_of
-from colloquy.session import cores, cut, join_small
+from colloquy.llm.names import link_names, parse_label
+from colloquy.llm.noise import HEAD, HESITATIONS, LABEL, MARKS, NOTES, STOPWORDS, TIME
+from colloquy.llm.spoken import ORDER, Blocks, in_spoken_order
+from colloquy.session import cut, join_small
 
 #: Turns of one file whose times are filled forward together.
 BLOCK = 4096
-_READ = T.StructType([T.StructField("head_ms", T.LongType()), T.StructField("label", T.StringType()), T.StructField("words", T.StringType())])
 
 
-@F.arrow_udf(_READ)
-def _read(text: pa.Array, labelled: pa.Array, lang: pa.Array) -> pa.Array:
-    heads, labels, words = read_turns_of(text.to_pylist(), labelled.to_pylist(), lang.to_pylist())
-    columns = [pa.array(heads, pa.int64()), pa.array(labels, pa.string()), pa.array(words, pa.string())]
-    return pa.StructArray.from_arrays(columns, names=_READ.names)
+@F.pandas_udf(T.BooleanType())
+def _names_someone(labels: pd.Series) -> pd.Series:
+    """Whether a text before a colon is a label of somebody, NULL for NULL."""
+    known = {x: parse_label(x)["kind"] != "none" for x in labels.dropna().unique()}
+    return labels.map(known).astype(object)
+
+
+def clock_ms(clock: Column) -> Column:
+    """Milliseconds of `h:mm:ss.fff` or `m:ss`; NULL for an empty text."""
+    c = F.replace(clock, F.lit(","), F.lit("."))
+    parts = F.reverse(F.split(F.substring_index(c, ".", 1), ":"))
+    n = lambda k: F.coalesce(F.get(parts, F.lit(k)).try_cast("bigint"), F.lit(0))
+    fraction = F.when(F.contains(c, F.lit(".")), F.rpad(F.substring_index(c, ".", -1), 3, "0").try_cast("bigint")).otherwise(0)
+    return F.when(clock != "", ((n(2) * 60 + n(1)) * 60 + n(0)) * 1000 + fraction)
+
+
+def _rest(text: Column, head: Column) -> Column:
+    return F.when(head != "", F.substr(text, F.length(head) + 1)).otherwise(text)
+
+
+def without_noise(text: Column, lang: Column) -> Column:
+    """The words of a text, joined by one blank, without marked noise and the hesitation sounds of the language."""
+    holds = [F.contains(text, F.lit(m)) for m in MARKS] + [F.contains(text, F.lit(":")) & text.rlike(r"\d:\d\d:")]
+    bare = F.when(reduce(operator.or_, holds), F.regexp_replace(text, "(?iu)" + NOTES, " ")).otherwise(text)
+    words = F.trim(F.regexp_replace(bare, r"[^\p{L}\p{M}\p{Nd}]+", " "))
+    sound = lambda x: F.trim(F.regexp_replace(words, rf"(?iu)(?:^| )(?:{HESITATIONS['*']}{x})(?= |$)", ""))
+    out = None
+    for g, x in HESITATIONS.items():
+        if g != "*":
+            out = F.when(lang == g, sound(f"|{x}")) if out is None else out.when(lang == g, sound(f"|{x}"))
+    return out.otherwise(sound(""))
+
+
+def read_fields(rows: DataFrame) -> DataFrame:
+    """`rows` (text, raw, lang) with `head_ms` (time at the head), `label` (before the words, for rows without `raw`) and `words` in place of `text`."""
+    x = rows.withColumn("_head", F.regexp_extract("text", "(?U)" + HEAD, 0))
+    x = x.withColumn("_body", _rest(F.col("text"), F.col("_head")))
+    x = x.withColumn("_front", F.when(F.col("raw").isNull(), F.regexp_extract("_body", "(?U)" + LABEL, 0)))
+    label = F.when(F.col("_front") != "", F.regexp_extract("_body", "(?U)" + LABEL, 1))
+    x = x.withColumn("_label", F.when(F.size(F.split(F.trim(label), r"(?U)\s+")) <= 6, label))
+    x = x.withColumn("_is", F.coalesce(_names_someone("_label"), F.lit(False)))
+    x = x.withColumn("_body", F.when(F.col("_is"), _rest(F.col("_body"), F.col("_front"))).otherwise(F.col("_body")))
+    x = x.withColumn("_second", F.when(F.col("_is") & (F.col("_head") == ""), F.regexp_extract("_body", "(?U)" + HEAD, 0)).otherwise(F.lit("")))
+    clock = F.regexp_extract(F.when(F.col("_head") != "", F.col("_head")).otherwise(F.col("_second")), TIME, 0)
+    lang = F.lower(F.substring_index(F.coalesce("lang", F.lit("*")), "-", 1))
+    keep = [c for c in rows.columns if c != "text"]
+    return x.select(*keep, clock_ms(clock).alias("head_ms"), F.when(F.col("_is"), F.col("_label")).alias("label"), F.coalesce(without_noise(_rest(F.col("_body"), F.col("_second")), lang), F.lit("")).alias("words"))
 
 
 def languages(turns: DataFrame, recordings: DataFrame) -> DataFrame:
@@ -46,8 +86,8 @@ def languages(turns: DataFrame, recordings: DataFrame) -> DataFrame:
     return r.join(best.select("transcript_id", guess.alias("_guess")), "transcript_id", "left").select("transcript_id", "workspace", F.coalesce("lang", "_guess").alias("lang"))
 
 
-def read_turns(turns: DataFrame, recordings: DataFrame) -> DataFrame:
-    """One row per row of `turns`, repeated ones included: transcript_id, turn_index, `at` (spoken time, NULL: none known before it in the file), `start_ms`, `end_ms`, `entity`, `words`.
+def read_turns(turns: DataFrame, recordings: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows, written table to count them by), see `in_spoken_order`: one row per row of `turns` with words, repeated ones included: transcript_id, turn_index, `at` (spoken time, NULL: none known before it in the file), `start_ms`, `end_ms`, `entity`, `words`.
 
     `words` are the words without noise, cased as in the text and joined by one space. `entity` is the speaker: labels
     linked by `link_names` in the workspace are one, turns without any label are one unknown speaker.
@@ -55,8 +95,8 @@ def read_turns(turns: DataFrame, recordings: DataFrame) -> DataFrame:
     t = turns.select("transcript_id", F.col("turn_index").cast("bigint").alias("turn_index"), "text", F.nullif(F.trim("raw_speaker"), F.lit("")).alias("raw"), F.col("start_ms").cast("bigint").alias("start_ms"), F.col("end_ms").cast("bigint").alias("end_ms"))
     t = t.where("transcript_id IS NOT NULL AND turn_index IS NOT NULL")
     x = join_small(t, cut(languages(t, recordings)), ["transcript_id"])
-    x = x.select("transcript_id", "turn_index", "workspace", "raw", "start_ms", "end_ms", _read("text", F.col("raw").isNotNull(), "lang").alias("_r"))
-    x = cut(x.select("transcript_id", "turn_index", F.coalesce("workspace", F.lit("")).alias("workspace"), F.coalesce("raw", "_r.label").alias("shown"), F.coalesce("start_ms", "_r.head_ms").alias("start_ms"), "end_ms", "_r.words"))
+    x = read_fields(x.select("transcript_id", "turn_index", "workspace", "raw", "lang", "start_ms", "end_ms", "text"))
+    x = written = cut(x.select("transcript_id", "turn_index", F.coalesce("workspace", F.lit("")).alias("workspace"), F.coalesce("raw", "label").alias("shown"), F.coalesce("start_ms", "head_ms").alias("start_ms"), "end_ms", "words"))
     # times, on slim rows: the rows without a time take the last one before them in the file
     slim = x.select("transcript_id", "turn_index", "start_ms", F.floor(F.col("turn_index") / BLOCK).alias("_block"))
     tops = slim.groupBy("transcript_id", "_block").agg(F.max_by("start_ms", F.when(F.col("start_ms").isNotNull(), F.col("turn_index"))).alias("_last"))
@@ -67,100 +107,34 @@ def read_turns(turns: DataFrame, recordings: DataFrame) -> DataFrame:
     late = cut(late.select("transcript_id", "turn_index", F.coalesce("_inside", "_before").alias("_at")).where("_at IS NOT NULL").distinct())
     x = join_small(x, late, ["transcript_id", "turn_index"], limit=500_000)
     x = join_small(x, cut(link_names(x, "workspace", "shown").select("workspace", "shown", "entity")), ["workspace", "shown"])
-    return x.select("transcript_id", "turn_index", F.coalesce("start_ms", "_at").alias("at"), "start_ms", "end_ms", F.coalesce("entity", F.lit("unknown")).alias("entity"), "words")
+    x = x.select("transcript_id", "turn_index", F.coalesce("start_ms", "_at").alias("at"), "start_ms", "end_ms", F.coalesce("entity", F.lit("unknown")).alias("entity"), "words")
+    return x.where("words <> ''"), written
 
 
-_FRAGMENT = T.StructType(
-    [T.StructField(n, T.LongType()) for n in ("transcript_id", "first_turn_index", "last_turn_index", "n_turns", "from_ms", "to_ms")]
-    + [T.StructField(n, T.StringType()) for n in ("entity", "words", "last_words")]
-    + [T.StructField(n, T.LongType()) for n in ("p", "k")]
-    + [T.StructField(n, T.BooleanType()) for n in ("opens", "closes")]
-)
-
-
-def fragments(read: DataFrame, goes_on: Callable[[str, str, str], bool] | None, keep_words: bool, least: int, times: bool = True) -> DataFrame:
-    """Runs of neighbours in spoken order with one speaker, folded within each range partition.
-
-    `goes_on(words of the run's first turn, of the turn before, of this turn)` must hold too, if given. Turns without
-    words are passed over. Runs of fewer than `least` turns are left out, but for the first (`opens`) and last
-    (`closes`) run of a partition, which may go on in a neighbouring one. Without `times`, from_ms and to_ms are NULL.
-    """
-    n = max(int(read.sparkSession.conf.get("spark.sql.shuffle.partitions")), cores(read.sparkSession))
-    rows = read.where("words <> ''").select("transcript_id", "at", "turn_index", "start_ms", "end_ms", "entity", "words")
-    rows = rows.repartitionByRange(n, "transcript_id", F.col("at").asc_nulls_first(), "turn_index").sortWithinPartitions("transcript_id", F.col("at").asc_nulls_first(), "turn_index")
-
-    names = ["transcript_id", "turn_index", "entity", "words"] + (["start_ms", "end_ms"] if times else [])
-    kinds = pa.schema([(f.name, {T.LongType(): pa.int64(), T.StringType(): pa.string(), T.BooleanType(): pa.bool_()}[f.dataType]) for f in _FRAGMENT])
-    rows = rows.select(*names)
-
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p, k, run, done = TaskContext.get().partitionId(), 0, None, []
-
-        def close(run: dict, closes: bool) -> None:
-            if run["n"] >= least or run["k"] == 0 or closes:
-                words = " ".join(run["words"]) if keep_words else run["words"][0]
-                done.append((run["t"], run["first"], run["last"], run["n"], run["from"], run["to"], run["e"], words, run["words"][-1], p, run["k"], run["k"] == 0, closes))
-
-        for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in names]
-            for t, i, who, words, s, e in zip(*columns, *([] if times else [repeat(None), repeat(None)])):
-                if run and run["t"] == t and run["last"] == i:  # a repeated row: equal keys lie side by side in one partition
-                    continue
-                if run and run["t"] == t and run["e"] == who and (goes_on is None or goes_on(run["words"][0], run["words"][-1], words)):
-                    run["last"], run["n"] = i, run["n"] + 1
-                    for x in (s, e) if times else ():
-                        if x is not None and (run["to"] is None or x > run["to"]):
-                            run["to"] = x
-                    if keep_words or len(run["words"]) < 2:
-                        run["words"].append(words)
-                    else:
-                        run["words"][1] = words
-                else:
-                    if run:
-                        close(run, False)
-                        k += 1
-                    run = {"t": t, "first": i, "last": i, "n": 1, "from": s, "to": e if e is not None else s, "e": who, "words": [words], "k": k}
-            if done:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip(zip(*done), kinds)], schema=kinds)
-                done.clear()
-        if run:
-            close(run, True)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip(zip(*done), kinds)], schema=kinds)
-
-    return cut(rows.mapInArrow(fold, _FRAGMENT))
-
-
-def stitch(f: DataFrame, goes_on: Callable[[str, str, str], bool] | None, separator: str | None) -> DataFrame:
-    """Join the runs that go on from one partition into the next."""
-    w = Window.partitionBy("transcript_id").orderBy("p", "k")
-    edge = f.where("opens OR closes")
-    was = lambda c: F.lag(c).over(w)
-    edge = edge.withColumn("_on", F.coalesce(F.col("opens") & was("closes") & (was("p") < F.col("p")) & (was("entity") == F.col("entity")), F.lit(False)))
-    if goes_on is not None:
-
-        @F.pandas_udf(T.BooleanType())
-        def on(first: pd.Series, last: pd.Series, now: pd.Series) -> pd.Series:
-            return pd.Series([a is not None and goes_on(a, b, c) for a, b, c in zip(first, last, now)], dtype=bool)
-
-        edge = edge.withColumn("_w1", was("words")).withColumn("_w2", was("last_words"))
-        edge = edge.withColumn("_on", F.col("_on") & on("_w1", "_w2", "words"))
-    edge = edge.withColumn("_g", F.sum(F.when(F.col("_on"), 0).otherwise(1)).over(w))
-    order = F.struct("p", "k")
-    words = F.min_by("words", order) if separator is None else F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "k", "words"))), lambda r: r["words"]), separator)
-    joined = edge.groupBy("transcript_id", "_g").agg(
-        F.min_by("first_turn_index", order).alias("first_turn_index"), F.max_by("last_turn_index", order).alias("last_turn_index"), F.sum("n_turns").alias("n_turns"), F.min_by("from_ms", order).alias("from_ms"), F.max("to_ms").alias("to_ms"), F.first("entity").alias("entity"), words.alias("words")
-    )
-    names = ["transcript_id", "first_turn_index", "last_turn_index", "n_turns", "from_ms", "to_ms", "entity", "words"]
-    return f.where("NOT opens AND NOT closes").select(*names).unionByName(joined.select(*names))
-
-
-def clean_turns(turns: DataFrame, recordings: DataFrame, times: bool = True) -> DataFrame:
+def clean_turns(turns: DataFrame, recordings: DataFrame) -> DataFrame:
     """One row per clean turn: transcript_id, first_turn_index, last_turn_index, n_turns, from_ms, to_ms, entity, words (lower case).
 
     Turns whose text is NULL, empty or nothing but noise are dropped; neighbours in spoken order by one speaker are
     joined. Rows without transcript_id or turn_index don't count, repeated ones count once, transcripts that
     `recordings` lacks are read without language and workspace. Ties in time go by turn_index; leading turns without
-    time come first. Empty tables give no rows; further columns are ignored. Without `times`, from_ms and to_ms are NULL.
+    time come first. Empty tables give no rows; further columns are ignored.
     """
-    out = stitch(fragments(read_turns(turns, recordings), None, True, 1, times), None, " ")
-    return out.withColumn("words", F.lower("words"))
+    out = in_spoken_order(*read_turns(turns, recordings), _islands)
+    return out.select("transcript_id", F.col("_first.turn_index").alias("first_turn_index"), F.col("_last.turn_index").alias("last_turn_index"), "n_turns", "from_ms", "to_ms", "entity", F.lower("words").alias("words"))
+
+
+def _islands(rows: DataFrame, blocks: Blocks) -> DataFrame:
+    """One row per island of one speaker."""
+    x = blocks.before(rows.withColumn("_me", F.struct("entity", "turn_index")), "_me", "_prev").drop("_me")
+    x = x.where(~F.col("turn_index").eqNullSafe(F.col("_prev.turn_index")))  # a repeated row follows its like
+    x = blocks.numbered(x, ~F.col("entity").eqNullSafe(F.col("_prev.entity")), "_island")
+    order = F.struct(*ORDER)
+    joined = lambda at: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*at, "words"))), lambda r: r["words"]), " ").alias("words")
+    out = x.groupBy(*blocks.keys, "_island").agg(
+        F.min(order).alias("_first"), F.max(order).alias("_last"), F.count(F.lit(1)).alias("n_turns"), F.min_by("start_ms", order).alias("from_ms"), F.max(F.coalesce("end_ms", "start_ms")).alias("to_ms"), F.first("entity").alias("entity"), joined(ORDER)
+    )
+    if blocks.several:  # islands that go on in the next block
+        out = out.groupBy("transcript_id", "_island").agg(
+            F.min("_first").alias("_first"), F.max("_last").alias("_last"), F.sum("n_turns").alias("n_turns"), F.min_by("from_ms", "_first").alias("from_ms"), F.max("to_ms").alias("to_ms"), F.first("entity").alias("entity"), joined(["_first"])
+        )
+    return out.select("transcript_id", "_first", "_last", "n_turns", "from_ms", "to_ms", "entity", "words")

@@ -1,15 +1,41 @@
 import random
 
 import pytest
+import regex
+from pyspark.sql import functions as F
 
+from colloquy.llm import spoken
 from colloquy.llm import turns as T
-from colloquy.llm.noise import offset_ms, read_turn
-from colloquy.llm.repeats import repeated_events, same_statement
+from colloquy.llm.names import parse_label
+from colloquy.llm.noise import HEAD, LABEL, NOTES, TIME, base_language, is_sound
+from colloquy.llm.repeats import _events, repeated_events, same_statement
 
 TURN = "transcript_id bigint, turn_index int, text string, speaker string, raw_speaker string, start_ms bigint, end_ms bigint, words string"
 REC = "transcript_id bigint, workspace_id string, lang string, speaker string"
 
 
+def offset_ms(text):
+    whole, _, part = text.replace(",", ".").partition(".")
+    n = 0
+    for x in whole.split(":"):
+        n = n * 60 + int(x)
+    return n * 1000 + int((part + "000")[:3])
+
+
+def plain_read(text, labelled, lang):
+    """What the SQL expressions must give, as a plain loop: time at the head, label, words."""
+    text, head, label = text or "", None, None
+    for _ in range(2):
+        if head is None and (m := regex.match(HEAD, text)):
+            head, text = offset_ms(regex.search(TIME, m[0])[0]), text[m.end() :]
+        if not labelled and label is None and (m := regex.match(LABEL, text)) and len(m[1].split()) <= 6 and parse_label(m[1])["kind"] != "none":
+            label, text = m[1], text[m.end() :]
+        else:
+            break
+    words = regex.findall(r"[\p{L}\p{M}\p{Nd}]+", regex.sub(NOTES, " ", text, flags=regex.I))
+    return head, label, [w for w in words if not is_sound(w, base_language(lang))]
+
+
 def frames(spark, rows, recordings=((1, "w", "en", "x"),)):
     t = spark.createDataFrame([(a, b, c, "?", d, e, None, "clash") for a, b, c, d, e in rows], TURN)
     return t, spark.createDataFrame(list(recordings), REC)
@@ -23,12 +49,24 @@ def clean(spark, *a):
     ("[00:00:42] Ann Lee: Um, well [laughter] 5 p.m.", False, "en", (42_000, "Ann Lee", ["well", "5", "p", "m"])), ("00:00:34.425 - er was, you know", True, "de", (34_425, None, ["er", "was", "you", "know"])), ("<00:01:53.592>We close", True, "en", (113_592, None, ["We", "close"])),
     ("(the auditor, i.e. the new one) (applause)", True, "en", (None, None, ["the", "auditor", "i", "e", "the", "new", "one"])), ("#unclear# ♪ soft music ♪ {noise} <sighs> *coughs*", True, None, (None, None, [])), ("ดร.มีนา", True, "th", (None, None, ["ดร", "มีนา"])), ("15 children", True, "en", (None, None, ["15", "children"])), (None, True, None, (None, None, [])),
 ])
-def test_read_turn(text, labelled, lang, want):
-    assert read_turn(text, labelled, lang) == want
+def test_read_fields(spark, text, labelled, lang, want):
+    assert plain_read(text, labelled, lang) == want
+    row = T.read_fields(spark.createDataFrame([(text, "x" if labelled else None, lang)], "text string, raw string, lang string")).first()
+    assert (row.head_ms, row.label, row.words.split()) == want
+
+
+def test_random_texts_are_read_as_by_a_plain_loop(spark):
+    r = random.Random(5)
+    bits = ["[00:01:02]", "(1:02)", "00:00:34.425 - ", "Ann Lee: ", "the: ", ">> Bo Ray: ", "well", "um,", "uhm", "[laughter]", "(applause)", "(the auditor)", "♪ la ♪", "#noise#", "*coughs*", "<b>", "5.30", "Zoë's", "嗯", "患者は", "ดร.มีนา", "äh", "euh", "00:01:02", "\n", "12:", "  ", "we saw it", "Mm-hm", "{x}", "!", "a*b"]
+    rows = [("".join(r.choice(bits) + r.choice(["", " "]) for _ in range(r.randrange(8))), r.choice(["x", None]), r.choice(["en", "de-AT", "fr", "zh", None])) for _ in range(3000)]
+    got = T.read_fields(spark.createDataFrame([(i, *x) for i, x in enumerate(rows)], "i int, text string, raw string, lang string")).orderBy("i").collect()
+    for x, (text, raw, lang) in zip(got, rows):
+        assert (x.head_ms, x.label, x.words.split()) == plain_read(text, raw is not None, lang), text
 
 
-def test_offsets():
-    assert [offset_ms(x) for x in ("1:02", "00:01:02,5", "1:00:00.007")] == [62_000, 62_500, 3_600_007]
+def test_clock_times(spark):
+    x = spark.createDataFrame([("1:02",), ("00:01:02,5",), ("1:00:00.007",), ("",)], "c string")
+    assert [r[0] for r in x.select(T.clock_ms(F.col("c"))).collect()] == [62_000, 62_500, 3_600_007, None]
 
 
 def test_spoken_order_labels_and_noise(spark):
@@ -44,8 +82,10 @@ def test_empty_tables(spark):
     assert T.clean_turns(t.limit(0), r).count() == 0 and T.clean_turns(t, r.limit(0)).count() == 1 and repeated_events(t.limit(0), r).count() == 0
 
 
-@pytest.mark.parametrize("partitions", ["1", "13"])
-def test_equals_a_plain_loop_however_it_is_partitioned(spark, partitions):
+@pytest.mark.parametrize(("partitions", "block"), [("1", 50_000), ("4", 16)])
+def test_equals_a_plain_loop_however_it_is_cut(spark, monkeypatch, partitions, block):
+    monkeypatch.setattr(spoken, "BLOCK", block)
+    monkeypatch.setattr(spoken, "SLICE", 2000)
     r = random.Random(7)
     rows = []
     for t in (1, 2, 3):
@@ -56,7 +96,7 @@ def test_equals_a_plain_loop_however_it_is_partitioned(spark, partitions):
         at, seq = -1, []
         for x in (x for x in rows if x[0] == t):
             at = x[4] if x[4] is not None else at
-            seq.append((at, x[1], x[3], " ".join(read_turn(x[2], True, "en")[2])))
+            seq.append((at, x[1], x[3], " ".join(plain_read(x[2], True, "en")[2])))
         order[t] = [x for x in sorted(seq) if x[3]]
     joined, repeats = [], []
     for t, seq in order.items():
@@ -85,6 +125,28 @@ def test_equals_a_plain_loop_however_it_is_partitioned(spark, partitions):
     assert got == sorted(joined) and rep == sorted(repeats)
 
 
+@pytest.mark.parametrize(("partitions", "block"), [("1", 50_000), ("4", 50_000), ("97", 50_000), ("4", 3)])
+def test_runs_whose_turns_differ_in_several_spots_stay_whole(spark, monkeypatch, partitions, block):
+    monkeypatch.setattr(spoken, "BLOCK", block)
+    monkeypatch.setattr(spoken, "SLICE", 500)
+    run = ["we will meet at the office again next week", "we will gather at the office again next week", "we will meet at the office again some day", "we will meet at the office again next week"]
+    alone = ["the trains were late this morning", "nobody told us about it", "coffee is ready in the kitchen"]
+    rows, want = [], set()
+    for t in range(40):
+        texts = alone[: t % 4] + run + alone[::-1][: t % 3] + run[:2] + [alone[1]] + run[2:3]
+        rows += [(t, i, None if t % 5 == 0 else 100 * i, None, None, "ann", x) for i, x in enumerate(texts)]
+        a = min(t % 4, 3)
+        b = a + 4 + t % 3
+        want |= {(t, a, a + 3, 4), (t, b, b + 1, 2)} if b > a + 4 else {(t, a, a + 5, 6)}
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        read = spark.createDataFrame(rows, "transcript_id bigint, turn_index bigint, at bigint, start_ms bigint, end_ms bigint, entity string, words string")
+        got = {tuple(x) for x in spoken.in_spoken_order(read, read, _events).select("transcript_id", "first_turn_index", "last_turn_index", "n_turns").collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert got == want
+
+
 @pytest.mark.parametrize(("a", "b", "same"), [
     ("It feels like a long week already", "it feels like a lengthy week already", True), ("page 642 looks fine to me", "page 650 looks fine to me", False), ("My worry is the kitchen pass not the culture", "My worry is the kotchen pass not the culture", True), ("The pasture needs another look before Monday", "The pasture needs one more look by Monday", False),
     ("The pasture needs another look before Monday", "The pasture needs one more look before Monday", True), ("I went through every plan on Friday", "I went through every plan on Monday", False), ("We saw the ewe and left early", "We saw the barn and left early", False), ("Yes", "Sure", False), ("患者は27回目です", "患者は28回目です", False), ("Konrad said the sauce rose", "Konrad said the sauec rose", True),
