@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import pairwise
 
 import pandas as pd
 from pyspark.sql import Column
@@ -19,16 +20,10 @@ ABBREVIATIONS = frozenset(
 )
 CLOSERS = "\"'’”)]}」』"
 OPENERS = "\"'“‘([{「『"
-_CANDIDATE = re.compile(rf"([.!?…。！？]+)[{re.escape(CLOSERS)}]*(\s*)")
-_DOTTED = re.compile(r"([A-Za-z][A-Za-z.]*)\.$")
-_INITIAL = re.compile(r"(?:^|\s)[A-Z]\.$")
-
-
-def _abbreviated(tail: str) -> bool:
-    if _INITIAL.search(tail):
-        return True
-    m = _DOTTED.search(tail)
-    return bool(m) and (m[1].lower() in ABBREVIATIONS or len(m[1]) == 1)
+#: Ends for certain: a mark other than a period, or several marks, before a blank; an ideographic mark even without one.
+_SURE = re.compile(rf"(?:[.!?…。！？]{{2,}}|[!?…])[{re.escape(CLOSERS)}]*\s+|[.!?…]*[。！？][.!?…。！？]*[{re.escape(CLOSERS)}]*\s*")
+#: A period that stands alone before a blank, with the letters and periods it is written together with.
+_PERIOD = re.compile(rf"(?<![A-Za-z.])([A-Za-z.]*)(?<![.!?…。！？])\.(?![.!?…。！？])[{re.escape(CLOSERS)}]*\s+")
 
 
 def uncapitalised(text: str) -> bool:
@@ -38,31 +33,19 @@ def uncapitalised(text: str) -> bool:
     return letters >= 40 and sum(map(str.isupper, head)) < 0.01 * letters
 
 
+def _begins(c: str) -> bool:
+    """Whether a sentence may begin with this character: a capital, a digit, an opening mark, or a letter without case."""
+    return c in OPENERS or c.isdigit() or (c.isalpha() and (c.isupper() or c.upper() == c.lower()))
+
+
 def split_text(text: str) -> list[str]:
-    """Sentences of `text`; joined they are the text again. One pass with a bounded look-back."""
-    out, begin, loose = [], 0, None
-    for m in _CANDIDATE.finditer(text):
-        mark, end = m[1], m.end()
-        if end >= len(text):
-            break
-        if not m[2] and not set(mark) & set("。！？"):
-            continue
-        if mark == ".":
-            at, nxt = m.start(), text[end]
-            if at and text[at - 1].isdigit() and text[at + 1 : at + 2].isdigit():
-                continue
-            if _abbreviated(text[max(begin, at - 40) : at + 1]):
-                continue
-            opens = nxt.isupper() or nxt.isdigit() or nxt in OPENERS or (nxt.isalpha() and nxt.upper() == nxt.lower())
-            if not opens:
-                loose = uncapitalised(text) if loose is None else loose
-                if not loose:
-                    continue
-        out.append(text[begin:end])
-        begin = end
-    if begin < len(text):
-        out.append(text[begin:])
-    return out
+    """Sentences of `text`; joined they are the text again. Each boundary is decided by what stands around it alone."""
+    unsure = {m.end() for m in _PERIOD.finditer(text) if len(w := m[1].lstrip(".").lower()) != 1 and w not in ABBREVIATIONS and m.end() < len(text)}
+    low = {e for e in unsure if not _begins(text[e])}
+    if low and not uncapitalised(text):
+        unsure -= low
+    cuts = sorted({0, len(text)} | unsure | {m.end() for m in _SURE.finditer(text)})
+    return [text[x:y] for x, y in pairwise(cuts)]
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))

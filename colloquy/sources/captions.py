@@ -10,11 +10,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from colloquy.functions.text import after_inline_speaker, inline_speaker, parse_timestamp, strip, strip_tags, unbold, voice_speaker, without_rolling
-from colloquy.sources.detect import LEADING, NAME_THEN, STAMP
+from colloquy.sources.detect import STAMP, leading_clock, name_and_clock
 
 #: First words of blocks that hold no cue.
 BLOCK_WORDS = "NOTE STYLE REGION COMMENT".split()
-_WITH_TIME = rf"^\s*([^:\n]{{1,48}}?)\s*[\[\(]\s*({STAMP})\s*[\]\)]\s*:\s*(.*)$"
 
 
 def _text(c: Column) -> Column:
@@ -26,6 +25,16 @@ def _timing(line: Column) -> tuple[Column, Column]:
     return parse_timestamp(F.regexp_extract(left, r"(\S+)\s*$", 1)), parse_timestamp(F.regexp_extract(right, r"^\s*(\S+)", 1))
 
 
+def _name_clock_words(line: Column) -> tuple[Column, Column, Column]:
+    """(name, clock time, words) of `Name (12:34): words`; NULL if it is none."""
+    tag = F.regexp_extract(line, rf"[(\[]\s*{STAMP}\s*[)\]]\s*:", 0)
+    at = F.position(tag, line)
+    name = strip(F.substr(line, F.lit(1), at - 1))
+    there = (tag != "") & F.length(name).between(1, 48) & ~name.contains(":")
+    words = F.substr(line, at + F.length(tag))
+    return F.when(there, name), F.when(there, F.regexp_extract(tag, STAMP, 0)), F.when(there, strip(words))
+
+
 def _finish(cues: DataFrame) -> DataFrame:
     """Rows (transcript_id, pos, timing, raw) as cues: tags, rolling captions, labels."""
     start, end = _timing(F.col("timing"))
@@ -59,9 +68,9 @@ def parse_srt(texts: DataFrame, text: str = "text") -> DataFrame:
 
     def cue(block: Column, pos: Column) -> Column:
         lines = F.filter(F.split(block, "\n"), lambda s: strip(s) != "")
-        lines = F.when((F.size(lines) > 1) & strip(F.get(lines, F.lit(0))).rlike(r"^\d+$"), F.slice(lines, 2, 1_000_000)).otherwise(lines)
+        lines = F.when((F.size(lines) > 1) & strip(F.get(lines, F.lit(0))).rlike(r"^\d+$"), F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0)))).otherwise(lines)
         first = F.get(lines, F.lit(0))
-        return F.when(first.contains("-->"), F.struct(pos.alias("pos"), first.alias("timing"), F.array_join(F.slice(lines, 2, 1_000_000), "\n").alias("raw")))
+        return F.when(first.contains("-->"), F.struct(pos.alias("pos"), first.alias("timing"), F.array_join(F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0))), "\n").alias("raw")))
 
     x = texts.select("transcript_id", F.inline(F.filter(F.transform(F.split(whole, r"\n\s*\n"), cue), lambda c: c.isNotNull() & (c["raw"] != ""))))
     return _finish(x.withColumn("voice", F.lit(None).cast("string")))
@@ -71,17 +80,20 @@ def parse_plain(texts: DataFrame, text: str = "text") -> DataFrame:
     """Cues of plain transcripts: `Name  12:34` lines, `Name (12:34): words`, leading times, inline labels, continuations. `end_ms` is NULL."""
     x = texts.select("transcript_id", F.posexplode(F.split(_text(F.col(text)), "\n")).alias("pos", "line"))
     x = x.select("transcript_id", "pos", strip(unbold(F.col("line"))).alias("line")).where("line <> ''")
-    names = lambda pattern: F.when(F.col("line").rlike(pattern) & inline_speaker(F.concat(F.regexp_extract("line", pattern, 1), F.lit(": x"))).isNotNull(), strip(F.regexp_extract("line", pattern, 1)))
-    x = x.withColumn("_a", names(NAME_THEN)).withColumn("_b", F.when(F.col("_a").isNull(), names(_WITH_TIME)))
-    timed = F.col("_a").isNull() & F.col("_b").isNull() & F.col("line").rlike(LEADING) & (F.regexp_extract("line", LEADING, 2) != "")
-    x = x.withColumn("_ts", F.when(timed, parse_timestamp(F.regexp_extract("line", LEADING, 1)))).withColumn("_rest", F.when(timed, strip(F.regexp_extract("line", LEADING, 2))).otherwise(F.col("line")))
+    someone = lambda name: F.when(inline_speaker(F.concat(name, F.lit(": x"))).isNotNull(), strip(name))
+    line = F.col("line")
+    (alone, alone_at), (named, named_at, named_words), (clock, rest) = name_and_clock(line), _name_clock_words(line), leading_clock(line)
+    x = x.withColumns({"_a": someone(alone), "_a_at": alone_at})
+    x = x.withColumns({"_b": F.when(F.col("_a").isNull(), someone(named)), "_b_at": named_at, "_b_words": named_words})
+    timed = F.col("_a").isNull() & F.col("_b").isNull() & (rest != "")
+    x = x.withColumn("_ts", F.when(timed, parse_timestamp(clock))).withColumn("_rest", F.when(timed, strip(rest)).otherwise(line))
     x = x.withColumn("_c", F.when(F.col("_a").isNull() & F.col("_b").isNull(), inline_speaker(F.col("_rest"))))
     w = Window.partitionBy("transcript_id").orderBy("pos")
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     pending = F.last(F.coalesce("_a", "_b", "_c"), ignorenulls=True).over(before)
-    pending_ts = F.lag(F.when(F.col("_a").isNotNull(), parse_timestamp(F.regexp_extract("line", NAME_THEN, 2)))).over(w)
+    pending_ts = F.lag(F.when(F.col("_a").isNotNull(), parse_timestamp(F.col("_a_at")))).over(w)
     speaker = F.coalesce("_b", "_c", pending)
-    words = F.when(F.col("_b").isNotNull(), F.regexp_extract("line", _WITH_TIME, 3)).when(F.col("_c").isNotNull(), after_inline_speaker(F.col("_rest"))).otherwise(F.col("_rest"))
-    start = F.when(F.col("_b").isNotNull(), parse_timestamp(F.regexp_extract("line", _WITH_TIME, 2))).otherwise(F.coalesce("_ts", pending_ts))
+    words = F.when(F.col("_b").isNotNull(), F.col("_b_words")).when(F.col("_c").isNotNull(), after_inline_speaker(F.col("_rest"))).otherwise(F.col("_rest"))
+    start = F.when(F.col("_b").isNotNull(), parse_timestamp(F.col("_b_at"))).otherwise(F.coalesce("_ts", pending_ts))
     x = x.select("transcript_id", "pos", "_a", strip(words).alias("text"), speaker.alias("speaker"), start.alias("start_ms")).where("_a IS NULL AND text <> ''")
     return x.select("transcript_id", (F.row_number().over(w) - 1).cast("bigint").alias("index"), "text", "speaker", F.col("speaker").alias("raw_speaker"), "start_ms", F.lit(None).cast("bigint").alias("end_ms"), F.lit(0).cast("bigint").alias("rolling_duplicate_cues"))
