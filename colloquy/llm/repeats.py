@@ -84,17 +84,23 @@ def _same_statement(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([x is not None and same_statement(x, y) for x, y in zip(a, b)], dtype=bool)
 
 
-def _says_the_same(a: Column, b: Column, asked: Column) -> Column:
-    """`same_statement` where `asked`; Python sees only pairs of different texts of which the first or the last words are within its reach."""
-    x, y = F.split(F.lower(a), " "), F.split(F.lower(b), " ")
+def _may_be_the_same(a: Column, b: Column) -> Column:
+    """What two texts must fulfil for `same_statement`: about as many words, and the first or the last ones within its reach."""
+    x, y = F.lower(a), F.lower(b)
+    blanks = lambda v: F.length(v) - F.length(F.replace(v, F.lit(" "), F.lit("")))
 
     def near(v: Column, w: Column) -> Column:  # two slips are four single-letter edits at most, one is two
         n = F.least(F.length(v), F.length(w))
-        return F.levenshtein(v, w) <= F.when(n >= 5, 4).when(n >= 3, 2).otherwise(0)
+        return F.levenshtein(v, w).between(0, F.when(n >= 5, 4).when(n >= 3, 2).otherwise(0))
+
+    first, last = near(F.substring_index(x, " ", 1), F.substring_index(y, " ", 1)), near(F.substring_index(x, " ", -1), F.substring_index(y, " ", -1))
+    return (F.abs(blanks(x) - blanks(y)) < SPOT) & (first | last)
 
-    ends = near(F.get(x, F.lit(0)), F.get(y, F.lit(0))) | near(F.element_at(x, -1), F.element_at(y, -1))
-    open_ = asked & (F.lower(a) != F.lower(b)) & (F.abs(F.size(x) - F.size(y)) < SPOT) & ends
-    return F.coalesce(asked, F.lit(False)) & ((F.lower(a) == F.lower(b)) | _same_statement(F.when(open_, a), F.when(open_, b)))
+
+def _says_the_same(a: Column, b: Column, asked: Column) -> Column:
+    """`same_statement` where `asked`; Python sees different texts alone."""
+    open_ = asked & (F.lower(a) != F.lower(b))
+    return asked & ((F.lower(a) == F.lower(b)) | _same_statement(F.when(open_, a), F.when(open_, b)))
 
 
 def repeated_events(turns: DataFrame, recordings: DataFrame) -> DataFrame:
@@ -114,23 +120,29 @@ def _events(rows: DataFrame, blocks: Blocks) -> DataFrame:
     x = blocks.before(x.withColumn("_me", F.struct("turn_index", "entity", "words", "known_ms")), "_me", "_prev").drop("_me")
     x = x.where(~F.col("turn_index").eqNullSafe(F.col("_prev.turn_index")))  # a repeated row follows its like
     one = F.coalesce(F.col("_prev.entity") == F.col("entity"), F.lit(False))
-    x = blocks.numbered(blocks.numbered(x, F.lit(True), "pos"), ~one, "_stretch")
+    x = blocks.numbered(x.withColumn("_one", one), pos=F.lit(True), _stretch=~one)
     x = blocks.ended(x.withColumn("_me", F.struct("pos", "turn_index", "known_ms")), "_me", "_total")
+    # a turn that can't say the same as the one before, nor the next as it, bounds no repeated run unless it follows a turn of its speaker or one that may
+    x = x.withColumn("_may", F.col("_one") & _may_be_the_same(F.col("_prev.words"), F.col("words")))
+    x = blocks.after(x.withColumn("_me", F.struct("_may")), "_me", "_ahead")
+    x = blocks.before(x, "_me", "_behind").drop("_me")
+    goes_on = F.coalesce("_ahead._may", F.lit(False))
+    x = x.where(F.col("_one") | goes_on | F.col("_behind._may"))
     # boundaries only, and the lead over them
-    bounds = x.where(~_says_the_same(F.col("_prev.words"), F.col("words"), one))
-    bounds = bounds.select(*blocks.keys, "at", "turn_index", "pos", "_stretch", "start_ms", "words", "_total", F.struct("pos", F.col("_prev.turn_index").alias("turn_index"), F.col("_prev.known_ms").alias("known_ms")).alias("_me"))
+    bounds = x.where(~_says_the_same(F.col("_prev.words"), F.col("words"), F.col("_may")))
+    bounds = bounds.select(*blocks.keys, "at", "turn_index", "pos", "_stretch", "start_ms", "known_ms", "_total", goes_on.alias("_goes_on"), F.when(F.col("_one") | goes_on, F.col("words")).alias("words"), F.struct("pos", F.col("_prev.turn_index").alias("turn_index"), F.col("_prev.known_ms").alias("known_ms")).alias("_me"))
     bounds = blocks.after(bounds, "_me", "_next").drop("_me")
     next_ = F.coalesce("_next", F.struct((F.col("_total.pos") + 1).alias("pos"), F.col("_total.turn_index").alias("turn_index"), F.col("_total.known_ms").alias("known_ms")))
-    runs = bounds.withColumn("_next", next_).withColumn("n", F.col("_next.pos") - F.col("pos"))
+    runs = bounds.withColumn("_next", next_).withColumn("n", F.when(F.col("_goes_on"), F.col("_next.pos") - F.col("pos")).otherwise(1))
     # runs that say the same as the first turn of the repeated run before them
     runs = blocks.before(runs.withColumn("_me", F.when(F.col("n") >= 2, F.struct("pos", "words", "_stretch"))), "_me", "_lead").drop("_me")
-    asked = F.coalesce(F.col("_lead._stretch") == F.col("_stretch"), F.lit(False))
+    asked = F.coalesce((F.col("_lead._stretch") == F.col("_stretch")) & _may_be_the_same(F.col("_lead.words"), F.col("words")), F.lit(False))
     runs = runs.withColumn("_like", _says_the_same(F.col("_lead.words"), F.col("words"), asked)).where("_like OR n >= 2")
-    runs = cut(runs.select(*blocks.keys, "at", "turn_index", "pos", "n", "start_ms", F.col("_next.turn_index").alias("last_turn_index"), F.col("_next.known_ms").alias("known_ms"), "words", "_like", F.col("_lead.pos").alias("_lead_pos")))
+    runs = cut(runs.select(*blocks.keys, "at", "turn_index", "pos", "n", "start_ms", F.when(F.col("n") > 1, F.col("_next.turn_index")).otherwise(F.col("turn_index")).alias("last_turn_index"), F.when(F.col("n") > 1, F.col("_next.known_ms")).otherwise(F.col("known_ms")).alias("known_ms"), "words", "_like", F.col("_lead.pos").alias("_lead_pos")))
     # they join it if no other run lies between
     runs = blocks.before(runs.withColumn("_me", F.struct((F.col("pos") + F.col("n")).alias("end"))), "_me", "_prev").drop("_me")
     runs = blocks.before(runs.withColumn("_me", F.when(~F.col("pos").eqNullSafe(F.col("_prev.end")), F.struct("pos"))), "_me", "_since").withColumn("_since", F.coalesce("_me.pos", "_since.pos")).drop("_me", "_prev")
-    runs = blocks.numbered(runs, ~F.coalesce(F.col("_like") & (F.col("_lead_pos") >= F.col("_since")), F.lit(False)), "_event")
+    runs = blocks.numbered(runs, _event=~F.coalesce(F.col("_like") & (F.col("_lead_pos") >= F.col("_since")), F.lit(False)))
     first = lambda c: F.min_by(c, "pos").alias(c)
     events = runs.groupBy("transcript_id", "_event").agg(first("turn_index"), F.max_by("last_turn_index", "pos").alias("last_turn_index"), F.sum("n").alias("n_turns"), first("start_ms"), F.max_by("known_ms", "pos").alias("known_ms"), first("words")).where("n_turns >= 2")
     return events.select("transcript_id", F.col("turn_index").alias("first_turn_index"), "last_turn_index", "n_turns", "start_ms", F.greatest(F.col("known_ms") - F.col("start_ms"), F.when(F.col("start_ms").isNotNull(), 0)).alias("duration_ms"), "words")

@@ -46,6 +46,7 @@ class Blocks:
 
     def before(self, df: DataFrame, value: str, name: str) -> DataFrame:
         """Adds the last value of the struct column `value` that isn't NULL in the rows before this one in the transcript."""
+        df = cut(df) if self.several else df
         out = df.withColumn(name, F.last(value, ignorenulls=True).over(self.inside(last=-1)))
         if self.several:
             last = F.max_by(value, F.when(F.col(value).isNotNull(), F.struct(*ORDER)))
@@ -55,24 +56,29 @@ class Blocks:
 
     def after(self, df: DataFrame, value: str, name: str) -> DataFrame:
         """Adds the struct column `value`, never NULL, of the row after this one in the transcript; NULL for its last row."""
+        df = cut(df) if self.several else df
         out = df.withColumn(name, F.lead(value).over(self.whole()))
         if self.several:
             carried = self._carry(df, F.min_by(value, F.struct(*ORDER)), F.lead("_v").over(Window.partitionBy("transcript_id").orderBy(*_PLACE)))
             out = join_small(out, carried, list(self.keys)).withColumn(name, F.coalesce(name, "_carried")).drop("_carried")
         return out
 
-    def numbered(self, df: DataFrame, flag: Column, name: str) -> DataFrame:
-        """Adds how many rows of the transcript up to and with this one have the flag."""
-        x = df.withColumn("_flag", F.coalesce(flag.cast("bigint"), F.lit(0).cast("bigint")))
-        out = x.withColumn(name, F.sum("_flag").over(self.inside()))
-        if self.several:
-            carried = self._carry(x, F.sum("_flag"), F.sum("_v").over(self._others(Window.unboundedPreceding, -1)))
-            out = join_small(out, carried, list(self.keys)).withColumn(name, F.col(name) + F.coalesce("_carried", F.lit(0).cast("bigint"))).drop("_carried")
-        return out.drop("_flag")
+    def numbered(self, df: DataFrame, **flags: Column) -> DataFrame:
+        """Adds for each name how many rows of the transcript up to and with this one have the flag."""
+        one = {n: F.coalesce(f.cast("bigint"), F.lit(0).cast("bigint")) for n, f in flags.items()}
+        if not self.several:
+            return df.withColumns({n: F.sum(f).over(self.inside()) for n, f in one.items()})
+        x = cut(df.withColumns({f"_flag{n}": f for n, f in one.items()}))
+        sums = F.struct(*[F.sum(f"_flag{n}").alias(n) for n in one])
+        carried = self._carry(x, sums, F.struct(*[F.sum(f"_v.{n}").over(self._others(Window.unboundedPreceding, -1)).alias(n) for n in one]))
+        out = join_small(x, carried, list(self.keys))
+        return out.withColumns({n: F.sum(f"_flag{n}").over(self.inside()) + F.coalesce(f"_carried.{n}", F.lit(0).cast("bigint")) for n in one}).drop("_carried", *[f"_flag{n}" for n in one])
 
     def ended(self, df: DataFrame, value: str, name: str) -> DataFrame:
         """Adds the struct column `value`, never NULL, of the last row of the transcript."""
-        if not self.several:
+        if self.several:
+            df = cut(df)
+        else:
             return df.withColumn(name, F.last(value).over(self.inside(last=Window.unboundedFollowing)))
         ends = df.groupBy(*self.keys).agg(F.max_by(value, F.struct(*ORDER)).alias("_v")).groupBy("transcript_id").agg(F.max_by("_v", F.struct(*_PLACE)).alias(name))
         return join_small(df, cut(ends), ["transcript_id"])

@@ -127,7 +127,7 @@ def _islands(rows: DataFrame, blocks: Blocks) -> DataFrame:
     """One row per island of one speaker."""
     x = blocks.before(rows.withColumn("_me", F.struct("entity", "turn_index")), "_me", "_prev").drop("_me")
     x = x.where(~F.col("turn_index").eqNullSafe(F.col("_prev.turn_index")))  # a repeated row follows its like
-    x = blocks.numbered(x, ~F.col("entity").eqNullSafe(F.col("_prev.entity")), "_island")
+    x = blocks.numbered(x, _island=~F.col("entity").eqNullSafe(F.col("_prev.entity")))
     order = F.struct(*ORDER)
     joined = lambda at: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*at, "words"))), lambda r: r["words"]), " ").alias("words")
     out = x.groupBy(*blocks.keys, "_island").agg(
