@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 SHARD_WORDS = 4_000_000
 #: Share of an item that must be there; fewest words; share of its telling words that must be the same; widest edit.
 SHARE, LEAST, TELLING, EDIT = 0.4, 8, 0.5, 4
+#: A word tells of what an item is if at most so many passages, or this share of them, have it.
+TELLS_AT_MOST, TELLS_SHARE = 2, 0.02
 #: Words at the two ends of a cut passage that an edit may have changed beyond recognition.
 EDGE = 2
 #: The items go to every worker: more characters than this is an error, not a cut.
@@ -52,6 +54,28 @@ def words(text: str) -> list[str]:
     return (_ASCII_WORD if text.isascii() else _WORD).findall(text)
 
 
+def alike(items: list[list[int]], length: int = 5, share: float = 0.8) -> list[int]:
+    """Per item a class: items that share four fifths of their runs of five words with one of a class belong to it."""
+    runs = [{tuple(w[i : i + length]) for i in range(len(w) - length + 1)} or {tuple(w)} for w in items]
+    holders: dict[tuple, list[int]] = {}
+    root = list(range(len(items)))
+
+    def top(i: int) -> int:
+        while root[i] != i:
+            root[i] = i = root[root[i]]
+        return i
+
+    for i, r in enumerate(runs):
+        both = Counter(j for x in r for j in holders.get(x, ()))
+        for j, n in both.items():
+            if n >= share * (len(r) + len(runs[j]) - n) and top(i) != top(j):
+                root[top(i)] = top(j)
+        if top(i) == i:  # one passage of a class stands for it
+            for x in r:
+                holders.setdefault(x, []).append(i)
+    return [top(i) for i in range(len(items))]
+
+
 class Items:
     """The held-out items as word numbers, with their suffixes ready for bisection."""
 
@@ -60,9 +84,10 @@ class Items:
         self.ids = [i for i, _ in listed]
         self.number: dict[str, int] = {}
         self.items = [np.array([self.number.setdefault(x, len(self.number) + 1) for x in w], dtype=np.int64) for _, w in listed]
-        seen = Counter(int(x) for w in self.items for x in set(w.tolist()))
-        rare = max(2, len(listed) // 50)
-        self.tells = [np.array([seen[int(x)] <= rare for x in w]) for w in self.items]
+        # a word tells if few different passages have it; passages that share much of their wording word for word are one, under however many ids
+        same = alike([w.tolist() for w in self.items])
+        seen = Counter(x for x, _ in {(int(x), c) for w, c in zip(self.items, same) for x in w.tolist()})
+        self.tells = [np.array([seen[int(x)] <= max(TELLS_AT_MOST, TELLS_SHARE * len(set(same))) for x in w]) for w in self.items]
         self.base = len(self.number) + 1
         grams = [self.grams(w) for w in self.items]
         self.starts = np.unique(np.concatenate(grams)) if grams else np.empty(0, dtype=np.int64)
@@ -129,7 +154,13 @@ class Items:
         same = np.zeros(len(w), dtype=bool)
         strong = [n >= 4 or (n == 3 and bool(tells[i : i + n].any())) for _, i, n in runs]
         close = lambda x, y: 0 <= runs[y][1] - runs[x][1] - runs[x][2] <= EDIT and 0 <= runs[y][0] - runs[x][0] - runs[x][2] <= EDIT + 2
-        edits = [(x, y) for x in range(len(runs)) for y in range(x + 1, min(x + 8, len(runs))) if close(x, y)]
+        edits = []
+        for x, (j, _, n) in enumerate(runs):
+            for y in range(x + 1, len(runs)):
+                if runs[y][0] > j + n + EDIT + 2:  # too far on in the document, as are all after it
+                    break
+                if close(x, y):
+                    edits.append((x, y))
         kept = [s or any(strong[x] for x, y2 in edits if y2 == y) or any(strong[y2] for x, y2 in edits if x == y) for y, s in enumerate(strong)]
         for (j, i, n), k_ in zip(runs, kept):
             if k_:

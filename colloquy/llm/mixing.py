@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from colloquy.session import cut, spread
+from colloquy.session import cores, cut, spread
 
 #: The split pattern of the byte-level vocabulary (fixed value).
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
@@ -33,13 +33,13 @@ def _encoding(path: str):
 def token_counts(documents: DataFrame, text: str, vocabulary: str) -> DataFrame:
     """`documents` with `n_tokens`: tokens of the whole text, 0 for NULL and empty texts."""
 
-    @F.pandas_udf(T.LongType())
-    def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def counts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         encode = _encoding(vocabulary).encode_ordinary
         for texts in batches:
             yield pd.Series([len(encode(t)) if t else 0 for t in texts], dtype="int64")
 
-    return documents.withColumn("n_tokens", count(text))
+    # as one that may change, so that no filter on the count is moved below and counts anew
+    return documents.withColumn("n_tokens", F.pandas_udf(counts, T.LongType()).asNondeterministic()(text))
 
 
 def water_fill(sizes: dict[str, float], targets: dict[str, tuple[float, int]], total: float | None = None) -> dict[str, float]:
@@ -82,7 +82,9 @@ def mix_sources(documents: DataFrame, targets: DataFrame, total_tokens: int | No
     t = [r for r in targets.select(normal_source().alias("source"), "target_share", "max_repeats").where("source IS NOT NULL").dropDuplicates(["source"]).collect()]
     goal = {r["source"]: (float(r["target_share"] or 0), int(r["max_repeats"] or 0)) for r in t}
     d = documents.select(F.col(key).alias("_key"), normal_source().alias("source"), F.col("text").alias("_text")).where("_key IS NOT NULL AND source IS NOT NULL").where(F.col("source").isin(list(goal)))
-    d = token_counts(spread(d), "_text", vocabulary).select("_key", "source", "n_tokens").where("n_tokens > 0").dropDuplicates(["_key"])
+    if d.rdd.getNumPartitions() < cores(documents.sparkSession):  # few splits: else the text needs no shuffle
+        d = spread(d)
+    d = token_counts(d, "_text", vocabulary).select("_key", "source", "n_tokens").where("n_tokens > 0").dropDuplicates(["_key"])
     h = F.xxhash64(F.lit(seed), "_key")
     d = cut(d.select("*", F.pmod(F.shiftright(h, 16), F.lit(BUCKETS)).alias("_h1"), F.pmod(h, F.lit(BUCKETS)).alias("_h2")))
     sizes = {r["source"]: float(r["n"]) for r in d.groupBy("source").agg(F.sum("n_tokens").alias("n")).collect()}

@@ -93,6 +93,8 @@ partners=partners holdings=holdings solutions=solutions society=society council=
 LEGAL = "ltd limited inc incorporated llc plc gmbh ag sa bv".split()
 FILLERS = "the and of".split()
 TITLES = "dr mr mrs ms miss mx prof professor sir dame rev herr frau mme mlle sr sra don jr".split()
+#: Capitals of at most so many letters are read as initials, longer ones as a name.
+INITIALS = 4
 _NICK: dict[str, list[str]] = {}
 for _line in NICKNAMES_TEXT.strip().splitlines():
     _full, _short = _line.split(":")
@@ -172,8 +174,23 @@ def same_token(a: str, b: str) -> bool:
 
 
 def same_name(a: list[str], b: list[str]) -> bool:
-    """Some order of the tokens pairs them all up."""
-    return len(a) == len(b) and any(all(same_token(x, y) for x, y in zip(a, p)) for p in itertools.permutations(b))
+    """The tokens can be paired up: a perfect matching of what may be the same."""
+    if len(a) != len(b):
+        return False
+    may = [[j for j, y in enumerate(b) if same_token(x, y)] for x in a]
+    taken: dict[int, int] = {}
+
+    def place(i: int, tried: set[int]) -> bool:
+        """Finds a partner for token i, moving others on if need be."""
+        for j in may[i]:
+            if j not in tried:
+                tried.add(j)
+                if j not in taken or place(taken[j], tried):
+                    taken[j] = i
+                    return True
+        return False
+
+    return all(m and place(i, set()) for i, m in enumerate(may))
 
 
 def parse_label(raw: str | None) -> dict:
@@ -213,7 +230,7 @@ def parse_label(raw: str | None) -> dict:
         return out | {"kind": "whole", "form": "W:" + " ".join(words), "tokens": words}
     if len(words) == 1 and initials:
         return out | {"kind": "initial", "form": f"I:{words[0]}|{initials[0]}", "tokens": words, "initial": initials[0]}
-    if short and len(short) <= 4:
+    if short and len(short) <= INITIALS:
         return out | {"kind": "short", "form": "A:" + short.lower(), "tokens": words, "prefix": short.lower()}
     if words:
         return out | {"kind": "single", "form": "S:" + words[0], "tokens": words}
@@ -230,6 +247,11 @@ def block_keys(tokens: list[str]) -> list[str]:
     return list({" ".join(sorted(p)) for p in picks})
 
 
+def _initials(letters: str) -> str:
+    """Initials in any order are one feature."""
+    return "A:" + "".join(sorted(letters))
+
+
 def features(tokens: list[str]) -> list[str]:
     """What partial labels may show of a whole name."""
     out = {f"T:{t}" for t in tokens} | {f"t:{code(t)}" for t in tokens}
@@ -241,7 +263,7 @@ def features(tokens: list[str]) -> list[str]:
         if len(tokens) > 2:
             out.add("W:" + " ".join(rest))
     if len(tokens) > 2:
-        out |= {"A:" + "".join(x[0] for x in p) for p in itertools.permutations(tokens)} if len(tokens) <= 4 else set()
+        out.add(_initials("".join(x[0] for x in tokens)))
     return sorted(out)
 
 
@@ -271,7 +293,7 @@ def _parse(labels: pd.Series) -> pd.DataFrame:
         elif p["kind"] == "single":
             first, second = f"T:{t[0]}", f"t:{code(t[0])}"
         elif p["kind"] == "short":
-            first, second = p["form"], f"T:{p['prefix']}"
+            first, second = _initials(p["prefix"]), f"T:{p['prefix']}"
         elif p["kind"] == "whole":
             first = p["form"]
         rows.append((p["kind"], p["form"], t, first, second))

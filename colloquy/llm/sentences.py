@@ -163,7 +163,9 @@ def learn(texts: DataFrame, lang: str = "lang", text: str = "text") -> DataFrame
     starters = starts.where(_ratio(F.col("ns"), F.col("breaks"), F.greatest("na", "ns"), F.col("total")) >= STARTER).select("lang", F.lit("starter").alias("kind"), "a", F.lit("").alias("b"))
     tied = _ratio(F.col("both"), F.col("cp"), F.greatest("nb", "both"), F.col("total")) >= COLLOCATION
     cased = F.coalesce("up", F.lit(0.0)) > 0
-    inside = pairs.where(F.col("low").isNotNull() | (tied & cased & (F.col("a") == NUMBER)))
+    # a pair is asked for only where the second word is capital after this one, or a starter: others would make the model grow with the vocabulary
+    opening = starters.select("lang", F.col("a").alias("b"), F.lit(True).alias("_starter"))
+    inside = pairs.join(opening, ["lang", "b"], "left").where((F.col("low").isNotNull() & (cased | F.col("_starter"))) | (tied & cased & (F.col("a") == NUMBER)))
     begins = starters.select("lang", F.col("a").alias("b"), F.lit(NUMBER).alias("a"))
     inside = inside.join(begins, ["lang", "a", "b"], "left_anti")  # after a number, a usual first word begins a sentence
     inside = inside.select("lang", F.lit("inside").alias("kind"), "a", "b")
