@@ -10,8 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Levels of wrapping (objects, arrays, JSON inside a string) that are searched for responses.
-DEPTH = 6
+from colloquy.session import cut
+
+#: Levels of wrapping (objects, arrays, JSON inside a string) that one pass searches for responses; passes go on while any body is deeper.
+LEVELS = 6
 
 
 def _array(text: Column) -> Column:
@@ -65,6 +67,12 @@ def _level(candidates: Column) -> Column:
     return F.flatten(F.filter(F.transform(candidates, down), lambda x: x.isNotNull()))
 
 
+def _goes_deeper(c: Column) -> Column:
+    """Whether a candidate is no response but an array or object, also one inside a string."""
+    t = F.ltrim(_unquoted(c["text"]))
+    return ~F.coalesce(_is_response(c["text"]), F.lit(False)) & F.coalesce(t.startswith("[") | t.startswith("{"), F.lit(False))
+
+
 def responses(payloads: DataFrame, key: str = "payload_id", body: str = "body") -> DataFrame:
     """One row per vendor response: key, `record_pos`, `vendor` as the structure shows it, `root` (raw text).
 
@@ -77,9 +85,18 @@ def responses(payloads: DataFrame, key: str = "payload_id", body: str = "body")
     plain = F.when(F.ltrim("_body").startswith('"'), F.col("_body")).otherwise(_numbers_as_text(F.col("_body")))
     c = F.array(F.struct(F.lit(0).cast("bigint").alias("pos"), plain.alias("text")))
     x = x.select("_key", c.alias("_c"))
-    for _ in range(DEPTH):
-        x = x.select("_key", _level(F.col("_c")).alias("_c"))
-    x = x.select("_key", F.inline(F.filter("_c", lambda r: _is_response(r["text"]))))
+    out = None
+    while True:
+        for _ in range(LEVELS):
+            x = x.select("_key", _level(F.col("_c")).alias("_c"))
+        x = x.withColumn("_deeper", F.exists("_c", _goes_deeper))
+        x = cut(x.withColumn("_c", F.when(F.col("_deeper"), F.col("_c")).otherwise(F.filter("_c", lambda r: _is_response(r["text"])))))
+        done = x.where("NOT _deeper").select("_key", "_c")
+        out = done if out is None else out.unionByName(done)
+        x = x.where("_deeper").select("_key", "_c")
+        if x.isEmpty():
+            break
+    x = out.select("_key", F.inline(F.filter("_c", lambda r: _is_response(r["text"]))))
     x = x.select("_key", "pos", _raw(F.col("text"), "monologues").alias("_m"), _raw(F.col("text"), "results").alias("_r"))
     vendor = F.when(F.col("_m").isNotNull(), "rev").when(F.get_json_object("_r", "$.items").isNotNull(), "aws_transcribe").otherwise("google_stt")
     return x.select(F.col("_key").alias(key), F.col("pos").alias("record_pos"), vendor.alias("vendor"), F.coalesce("_m", "_r").alias("root"))

@@ -359,7 +359,7 @@ def unattributed_pieces(spark, d):
 
 def documents_metadata(spark, d):
     x = reports.to_documents(_chunks(spark, d, source="turns"), {"collection": "test"})
-    return x.select("transcript_id", "chunk_no", F.element_at("metadata", "chunk_id").alias("chunk_id"), F.element_at("metadata", "turn_start").alias("turn_start"), F.element_at("metadata", "source").alias("source"), F.element_at("metadata", "collection").alias("collection"))
+    return x.select("transcript_id", "chunk_no", "metadata.chunk_id", "metadata.speaker", "metadata.turn_start", "metadata.turn_end", "metadata.source", "metadata.collection")
 
 
 QUERIES = {f.__name__: f for f in (
@@ -434,6 +434,14 @@ SELECT x.transcript_id, x.no AS chunk_no, coalesce(z.w, x.speaker) AS primary_sp
     "split_lossless": f"WITH {T} SELECT transcript_id, idx AS turn_index, length(regexp_replace(text, '[^A-Za-z0-9]', '', 'g'))::BIGINT AS n_letters FROM t",
     "sentence_candidates": """SELECT doc_id, len(list_filter(string_split(regexp_replace(coalesce(text, ''), '([.!?…。！？]+["''’”)\\]}」』]*[ \\t\\n\\r\\f\\v]*)', '\\1' || chr(1), 'g'), chr(1)), lambda x: x <> ''))::BIGINT AS n_segments FROM documents WHERE doc_id IS NOT NULL""",
     "sentence_lossless": "SELECT doc_id, md5(text) AS digest FROM documents",
+    "split_sentences": """WITH d AS (SELECT doc_id, text, string_split(regexp_replace(text, '([.!?…。！？]+["''’”)\\]}」』]*[\\s\\x1c-\\x1f\\x{85}\\p{Z}]*)', '\\1' || chr(1), 'g'), chr(1)) AS l FROM documents WHERE text <> ''),
+u AS (SELECT doc_id, substr(text, 1, 20000) AS h FROM d), low AS (SELECT doc_id, length(regexp_replace(h, '[^\\p{L}]', '', 'g')) >= 40 AND length(regexp_replace(h, '[^\\p{Lu}]', '', 'g')) < length(regexp_replace(h, '[^\\p{L}]', '', 'g')) * 0.01 AS low FROM u),
+s AS (SELECT doc_id, text, unnest(l) AS seg, generate_subscripts(l, 1) AS k FROM d), e AS (SELECT *, sum(length(seg)) OVER (PARTITION BY doc_id ORDER BY k)::BIGINT AS fin FROM s WHERE seg <> ''),
+c AS (SELECT doc_id, k, seg, fin < length(text) AS inner_, substr(text, fin + 1, 1) AS nxt, regexp_extract(seg, '([.!?…。！？]+)["''’”)\\]}」』]*[\\s\\x1c-\\x1f\\x{85}\\p{Z}]*$', 1) AS mark, regexp_matches(seg, '[\\s\\x1c-\\x1f\\x{85}\\p{Z}]$') AS gap,
+  ltrim(lower(regexp_extract(substr(text, greatest(1, fin - 99), least(100, fin)), '([A-Za-z.]*)\\.["''’”)\\]}」』]*[\\s\\x1c-\\x1f\\x{85}\\p{Z}]*$', 1)), '.') AS w FROM e),
+o AS (SELECT doc_id, k, seg, (inner_ AND mark <> '' AND CASE WHEN NOT gap THEN regexp_matches(mark, '[。！？]') WHEN mark <> '.' THEN true WHEN length(w) = 1 OR w IN (""" + ", ".join(f"'{w}'" for w in sorted(sentences.ABBREVIATIONS)) + """) THEN false ELSE low OR regexp_matches(nxt, '[\\p{Lu}\\p{Nd}\\p{Lo}"''“‘(\\[{「『]') END)::INT AS ends FROM c JOIN low USING (doc_id)),
+g AS (SELECT doc_id, k, seg, coalesce(sum(ends) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS n FROM o)
+SELECT doc_id, n, string_agg(seg, '' ORDER BY k) AS sentence FROM g GROUP BY 1, 2""",
     "uncapitalised_flag": """WITH h AS (SELECT doc_id, substr(coalesce(text, ''), 1, 20000) AS h FROM documents)
 SELECT doc_id, length(regexp_replace(h, '[^\\p{L}]', '', 'g')) >= 40 AND length(regexp_replace(h, '[^\\p{Lu}]', '', 'g')) < length(regexp_replace(h, '[^\\p{L}]', '', 'g')) * 0.01 AS uncapitalised FROM h""",
     "parse_timestamps": """WITH v AS (SELECT time_id, min(start_raw) AS raw FROM vendor_times GROUP BY 1)
@@ -482,6 +490,7 @@ SELECT transcript_id, no AS chunk_no, '[turns' || CASE WHEN a IS NULL THEN '' EL
     "report_quality": f"""{_PACK}, x AS ({_MEMBERS}), y AS (SELECT transcript_id, no, sum(z) + count(*) - 1 AS n, arg_min(text, i) AS f FROM x GROUP BY 1, 2),
 q AS (SELECT transcript_id, count(*) AS n_chunks, sum((n < {TARGET} / 3.0)::INT)::BIGINT AS n_stubs, sum((regexp_matches(substr(f, 1, 1), '\\p{{L}}') AND NOT regexp_matches(substr(f, 1, 1), '\\p{{Lu}}'))::INT)::BIGINT AS n_mid_sentence FROM y GROUP BY 1)
 SELECT transcript_id, (SELECT count(*) FROM t WHERE t.transcript_id = q.transcript_id) AS n_turns, n_chunks, n_stubs, n_mid_sentence, 0::BIGINT AS n_cut FROM q""",
-    "documents_metadata": f"""{_PACK}, x AS ({_MEMBERS}), y AS (SELECT transcript_id, no, string_agg(r, chr(10) ORDER BY i) AS body, min(idx) AS a, max(idx) AS b FROM x GROUP BY 1, 2)
-SELECT transcript_id, no AS chunk_no, substr(sha256('turns' || chr(0) || a || ':' || b || chr(0) || body), 1, 16) AS chunk_id, a::VARCHAR AS turn_start, 'turns' AS source, 'test' AS collection FROM y""",
+    "documents_metadata": f"""{_PACK}, x AS ({_MEMBERS}), y AS (SELECT transcript_id, no, string_agg(r, chr(10) ORDER BY i) AS body, min(idx) AS a, max(idx) AS b FROM x GROUP BY 1, 2),
+v AS (SELECT transcript_id, no, speaker, sum(length(text)) AS n FROM x WHERE speaker IS NOT NULL GROUP BY 1, 2, 3), z AS (SELECT transcript_id, no, max(struct_pack(n := n, w := speaker)).w AS w FROM v GROUP BY 1, 2)
+SELECT transcript_id, no AS chunk_no, substr(sha256('turns' || chr(0) || a || ':' || b || chr(0) || body), 1, 16) AS chunk_id, w AS speaker, a::BIGINT AS turn_start, b::BIGINT AS turn_end, 'turns' AS source, 'test' AS collection FROM y LEFT JOIN z USING (transcript_id, no)""",
 }

@@ -1,16 +1,18 @@
 """Speech-to-text JSON of ten vendors into cues, in JVM expressions over raw JSON text.
 
-One column per vendor holds an array of the same struct, chosen by the vendor of the row, so that the source is read
-once. Word-level vendors are grouped into turns by windows.
+Each vendor's texts become an array of the same struct by a projection of their own. Word-level vendors are grouped into
+turns by windows.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from colloquy.functions.text import strip
 from colloquy.operators.turns import group_words
+from colloquy.session import cut
 from colloquy.sources.detect import detect_vendor, finite_json
 
 #: Names that fields go by in unknown JSON, first come first served.
@@ -18,7 +20,6 @@ TEXT_KEYS = "text transcript value content".split()
 SPEAKER_KEYS = "speaker speaker_label speakerId spk".split()
 START_KEYS = "start start_ms startTime ts begin".split()
 END_KEYS = "end end_ms endTime end_ts stop".split()
-WORD_LEVEL = ("speechmatics", "aws", "google")
 
 
 def _get(c: Column, path: str) -> Column:
@@ -135,23 +136,39 @@ def _words(t: Column) -> dict[str, Column]:
     }
 
 
-def _chosen(vendor: Column, by: dict[str, Column]) -> Column:
-    out = None
-    for k, c in by.items():
-        out = F.when(vendor == k, c) if out is None else out.when(vendor == k, c)
-    return out
-
-
-def parse_asr(texts: DataFrame, text: str = "text", vendor: str | None = None) -> DataFrame:
-    """Cues of speech-to-text JSON; `vendor` overrides the one told from the content. A `vendor` column is taken as told. Unrecognised texts have none."""
-    told = F.lit(vendor) if vendor else F.col("vendor") if "vendor" in texts.columns else detect_vendor(F.col(text))
-    x = texts.select("transcript_id", finite_json(F.regexp_replace(F.col(text), "^[﻿ \t\r\n]+", "")).alias("_t"), F.explode(F.array_compact(F.array(told))).alias("vendor"))
-    t, v = F.col("_t"), F.col("vendor")
+def _parse_vendor(texts: DataFrame, vendor: str) -> DataFrame:
+    """Cues of the texts (transcript_id, _t) of one vendor; `_t` is clean JSON."""
+    t = F.col("_t")
+    cues, words = _cues(t).get(vendor), _words(t).get(vendor)
     none = F.array().cast("array<struct<text:string,speaker:string,start_ms:bigint,end_ms:bigint,is_punct:boolean>>")
     untimed = F.transform(F.filter(F.transform(_list(_get(t, "results")), lambda r: _get(_first(r, "alternatives"), "transcript")), lambda s: s.isNotNull()), lambda s: _cue(s, F.lit(None).cast("string"), F.lit(None).cast("bigint"), F.lit(None).cast("bigint")))
-    x = x.select("transcript_id", "vendor", F.coalesce(_chosen(v, _cues(t)), none).alias("_cues"), F.coalesce(_chosen(v, _words(t)), none).alias("_words"), F.when(v == "google", untimed).otherwise(none).alias("_untimed"))
+    filled = lambda c: none if c is None else F.coalesce(c, none)
+    x = texts.select("transcript_id", filled(cues).alias("_cues"), filled(words).alias("_words"), (untimed if vendor == "google" else none).alias("_untimed"))
     whole = F.when(F.size("_cues") > 0, F.col("_cues")).when(F.size("_words") == 0, F.col("_untimed")).otherwise(none)
-    cues = x.select("transcript_id", "vendor", F.posexplode(whole).alias("index", "_c")).select("transcript_id", "vendor", F.col("index").cast("bigint").alias("index"), "_c.*").where("text <> ''")
-    words = x.where((F.size("_cues") == 0) & (F.size("_words") > 0)).select("transcript_id", F.posexplode("_words").alias("index", "_c")).select("transcript_id", F.col("index").cast("bigint").alias("index"), "_c.*")
-    out = cues.select("transcript_id", "index", "text", "speaker", "start_ms", "end_ms").unionByName(group_words(words))
+    out = x.select("transcript_id", F.posexplode(whole).alias("index", "_c")).select("transcript_id", F.col("index").cast("bigint").alias("index"), "_c.*").where("text <> ''").drop("is_punct")
+    if words is None:
+        return out
+    single = x.where((F.size("_cues") == 0) & (F.size("_words") > 0)).select("transcript_id", F.posexplode("_words").alias("index", "_c")).select("transcript_id", F.col("index").cast("bigint").alias("index"), "_c.*")
+    return out.unionByName(group_words(single))
+
+
+def parse_asr(texts: DataFrame, text: str = "text", vendor: str | None = None) -> DataFrame:
+    """Cues of speech-to-text JSON; `vendor` overrides the one told from the content. A `vendor` column is taken as told. Unrecognised texts have none.
+
+    Vendors are told once and written out; each that occurs then has a projection of its own, which keeps plans small.
+    """
+    if vendor:
+        x = texts.select("transcript_id", F.col(text).alias("_t"), F.lit(vendor).alias("vendor"))
+    elif "vendor" in texts.columns:
+        x = texts.select("transcript_id", F.col(text).alias("_t"), "vendor")
+    else:
+        x = cut(texts.select("transcript_id", F.col(text).alias("_t"), F.inline(F.array(F.struct(detect_vendor(F.col(text)).alias("vendor"))))))
+    clean = x.withColumn("_t", finite_json(F.regexp_replace("_t", "^[﻿ \t\r\n]+", "")))
+    known = [vendor] if vendor else sorted(r[0] for r in x.select("vendor").where("vendor IS NOT NULL").distinct().collect())  # ten at most
+    out = texts.sparkSession.createDataFrame([], T.StructType([texts.schema["transcript_id"], *_CUE.fields]))
+    for v in known:
+        out = out.unionByName(_parse_vendor(clean.where(F.col("vendor") == v), v))
     return out.withColumn("raw_speaker", F.lit(None).cast("string")).withColumn("rolling_duplicate_cues", F.lit(0).cast("bigint"))
+
+
+_CUE = T.StructType([T.StructField("index", T.LongType()), T.StructField("text", T.StringType()), T.StructField("speaker", T.StringType()), T.StructField("start_ms", T.LongType()), T.StructField("end_ms", T.LongType())])

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import partial, reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colloquy.operators.turns import merge_turns
-from colloquy.session import ship
+from colloquy.session import cut, ship
 from colloquy.sources.asr import parse_asr
 from colloquy.sources.captions import parse_plain, parse_srt, parse_vtt
 from colloquy.sources.detect import detect_text_format, detect_vendor
@@ -34,13 +36,11 @@ def with_format(texts: DataFrame, text: str = "text", format: str | None = None)
 
 def parse_cues(texts: DataFrame, text: str = "text", format: str | None = None, vendor: str | None = None) -> DataFrame:
     """Cues of all texts (transcript_id, `text`), each by the parser of its format."""
-    x = with_format(texts.select("transcript_id", F.col(text).alias("text")), "text", format)
-    of = lambda f: x.where(F.col("format") == f)
-    parts = [parse_vtt(of("vtt")), parse_srt(of("srt")), parse_plain(of("plain")), parse_asr(of("json"), vendor=vendor)]
-    out = parts[0].select(*CUES)
-    for p in parts[1:]:
-        out = out.unionByName(p.select(*CUES))
-    return out
+    x = cut(with_format(texts.select("transcript_id", F.col(text).alias("text")), "text", format))  # formats are told once
+    found = {r[0] for r in x.select("format").distinct().collect()}  # four at most
+    of = {"vtt": parse_vtt, "srt": parse_srt, "plain": parse_plain, "json": partial(parse_asr, vendor=vendor)}
+    parts = [parse(x.where(F.col("format") == f)).select(*CUES) for f, parse in of.items() if f in found]
+    return reduce(DataFrame.unionByName, parts or [parse_srt(x).select(*CUES)])
 
 
 def parse_transcripts(texts: DataFrame, text: str = "text", format: str | None = None, merge: bool = True, max_gap_ms: int | None = None, vendor: str | None = None) -> DataFrame:

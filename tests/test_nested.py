@@ -21,6 +21,13 @@ def test_shapes(spark):
     }
 
 
+def test_wrapping_has_no_bound(spark):
+    deep = AWS
+    for i in range(9):
+        deep = {"job": {"data": [deep]}} if i % 3 else {"note": "[not JSON", "inner": json.dumps(deep)}
+    assert tokens(spark, [(1, json.dumps(deep)), (2, json.dumps(AWS))]) == {(k, 0, 0, i, t) for k in (1, 2) for i, t in ((0, "a"), (2, "c"))}
+
+
 def test_parents_and_records(spark):
     df = spark.createDataFrame([(1, json.dumps(REV))], "payload_id bigint, body string")
     t = flatten_payloads(df)

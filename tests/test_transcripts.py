@@ -10,6 +10,7 @@ from colloquy.functions import text as fx
 from colloquy.operators import chunker, diagnostics, reports, sentences, speakers
 from colloquy.operators.turns import merge_turns
 from colloquy.schema import as_turns
+from colloquy.sources import sinks
 from colloquy.sources.readers import parse_transcripts, quarantine, with_format
 
 TEXTS = {
@@ -169,6 +170,7 @@ def test_context_report_and_documents(spark):
     r = reports.report(t, c, 200).first()
     assert (r.n_turns, r.n_cut) == (2, 1)
     d = reports.to_documents(c, {"lang": "en", "source": "no"}).orderBy("chunk_no").first()
-    assert d.metadata["lang"] == "en" and d.metadata["source"] == "x.vtt" and d.metadata["speakers"] == '["A"]'
+    assert d.metadata["lang"] == "en" and d.metadata["source"] == "x.vtt" and d.metadata["speakers"] == ["A"] and d.metadata["speaker"] == "A"
+    assert reports.to_nodes(c).first().id_ == d.id and sinks.chunk_records(c).columns == "id text speakers primary_speaker start_ms end_ms turn_start turn_end overlap_indices source meta".split()
     assert reports.recursive_pieces("aaa bbb. ccc\n\nddd", 8, reports.SEPARATORS) == ["aaa bbb", "ccc", "ddd"]
     assert reports.to_context_all(c).count() == 1
