@@ -23,6 +23,11 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
 
+def let(value: Column, body) -> Column:
+    """`body(value)` with the value computed once per row, also inside lambdas, and out of generated code, which long expressions outgrow."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def null_if_empty(c: Column) -> Column:
     return F.nullif(c, F.lit(""))
 

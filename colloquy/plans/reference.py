@@ -273,6 +273,44 @@ def roundtrip_json(spark, d):
     return x.select("transcript_id", F.col("index").alias("cue_no"), "text", "speaker")
 
 
+def _vendor_texts(spark, d, item: Column, head: str, tail: str) -> DataFrame:
+    """Every transcript with its turns' whole texts, labels and times (missing where NULL) as one vendor writes them."""
+    x = base(spark, d).select("transcript_id", "index", F.to_json(item).alias("item"))
+    x = x.groupBy("transcript_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("index", "item"))), lambda r: r["item"]), ",").alias("text"))
+    return x.withColumn("text", F.concat(F.lit(head), "text", F.lit(tail)))
+
+
+def _vendor(item, head: str, tail: str, name: str):
+    def query(spark, d):
+        return _cue_rows(parse_transcripts(_vendor_texts(spark, d, item(), head, tail), merge=False))
+
+    query.__name__ = f"vendor_{name}"
+    return query
+
+
+def _fields(text: str, speaker: str, start: str, end: str, unit, *more: Column) -> Column:
+    return F.struct(*more, F.col("text").alias(text), F.col("raw_speaker").alias(speaker), unit("start_ms").alias(start), unit("end_ms").alias(end))
+
+
+def _item(*more: Column, speaker: str = "speaker") -> Column:
+    """One word-level item whose text stands under its first alternative."""
+    return F.struct(*more, _s("start_ms").alias("start_time"), _s("end_ms").alias("end_time"), F.col("raw_speaker").alias(speaker), F.array(F.struct(F.col("text").alias("content"), F.col("raw_speaker").alias("speaker"))).alias("alternatives"))
+
+
+_s = lambda c: F.col(c) / 1000
+_ticks = lambda c: F.col(c) * 10_000
+VENDORS = [
+    _vendor(lambda: _fields("text", "speaker", "start", "end", _s), '{"segments":[', "]}", "whisper"),
+    _vendor(lambda: _fields("text", "speaker", "start", "end", F.col), '{"id":"x","utterances":[', "]}", "assemblyai"),
+    _vendor(lambda: _fields("transcript", "speaker", "start", "end", _s), '{"results":{"utterances":[', "]}}", "deepgram"),
+    _vendor(lambda: F.struct("raw_speaker", F.array(F.struct(F.lit("text").alias("type"), F.col("text").alias("value"), _s("start_ms").alias("ts"), _s("end_ms").alias("end_ts"))).alias("elements")).cast("struct<speaker:string,elements:array<struct<type:string,value:string,ts:double,end_ts:double>>>"), '{"monologues":[', "]}", "rev"),
+    _vendor(lambda: F.struct(F.col("raw_speaker").alias("speaker"), _ticks("start_ms").alias("offsetInTicks"), (_ticks("end_ms") - _ticks("start_ms")).alias("durationInTicks"), F.array(F.struct(F.col("text").alias("display"))).alias("nBest")), '{"recognizedPhrases":[', "]}", "azure"),
+    _vendor(lambda: _item(F.lit("word").alias("type"), speaker="unused"), '{"results":[', "]}", "speechmatics"),
+    _vendor(lambda: _item(F.lit("pronunciation").alias("type"), speaker="speaker_label"), '{"results":{"items":[', "]}}", "aws"),
+    _vendor(lambda: F.struct(F.col("text").alias("word"), F.col("raw_speaker").alias("speakerTag"), F.concat(_s("start_ms").cast("string"), F.lit("s")).alias("startTime"), F.concat(_s("end_ms").cast("string"), F.lit("s")).alias("endTime")), '{"results":[{"alternatives":[{"words":[', "]}]}]}", "google"),
+]
+
+
 def detect_formats(spark, d):
     of = lambda x, n: x.select("transcript_id", F.lit(n).alias("written"), detect_format(F.col("text")).alias("detected"))
     return of(vtt_texts(spark, d), "vtt").unionByName(of(srt_texts(spark, d), "srt")).unionByName(of(json_texts(spark, d), "json"))
@@ -366,11 +404,13 @@ QUERIES = {f.__name__: f for f in (
     render_turns, transcript_stats, transcript_speakers, turn_durations, pack_basic, pack_tail_merge, pack_overlap, pack_overlap_tail, pack_words, chunk_ids, chunk_speakers, chunk_primary_speaker, chunk_times,
     split_oversized, split_lossless, sentence_candidates, split_sentences, sentence_lossless, uncapitalised_flag, parse_timestamps, format_timestamps, inline_speakers, strip_tags_documents, rolling_dedupe,
     merge_turns_all, merge_turns_gap, group_words_events, locf_speaker, range_speaker, roundtrip_vtt, roundtrip_srt, roundtrip_plain, roundtrip_json, detect_formats, detect_documents, parse_documents,
-    canonical_keys, strip_roles, generic_labels, speaker_map, resolve_speakers, speaker_variants, flips, flapping, ghosts, lint, talk_share, render_context, turns_cut, report_quality, recursive_split, unattributed_pieces, documents_metadata,
+    canonical_keys, strip_roles, generic_labels, speaker_map, resolve_speakers, speaker_variants, flips, flapping, ghosts, lint, talk_share, render_context, turns_cut, report_quality, recursive_split, unattributed_pieces, documents_metadata, *VENDORS,
 )}
 
 _FMT = "CASE WHEN {x} IS NULL THEN '--:--' WHEN {h} OR greatest({x}, 0) >= 3600000 THEN (greatest({x}, 0) // 3600000)::VARCHAR || ':' || lpad((greatest({x}, 0) // 60000 % 60)::VARCHAR, 2, '0') || ':' || lpad((greatest({x}, 0) // 1000 % 60)::VARCHAR, 2, '0') ELSE lpad((greatest({x}, 0) // 60000 % 60)::VARCHAR, 2, '0') || ':' || lpad((greatest({x}, 0) // 1000 % 60)::VARCHAR, 2, '0') END"
 _fmt = lambda x, hours="false": _FMT.format(x=x, h=hours)
+_LABEL = "CASE WHEN regexp_full_match({x}, '\\d+') THEN 'SPEAKER_' || CASE WHEN length(ltrim({x}, '0')) < 2 THEN lpad(ltrim({x}, '0'), 2, '0') ELSE ltrim({x}, '0') END ELSE nullif({x}, '') END"
+
 _PACK = _pack_sql(TARGET, 0, 0.0)
 _STRIP = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
 _ISLANDS = """SELECT transcript_id, row_number() OVER (PARTITION BY transcript_id ORDER BY min(idx)) - 1 AS turn_no, string_agg(text, ' ' ORDER BY idx) AS text, min(speaker) AS speaker,
@@ -494,3 +534,12 @@ SELECT transcript_id, (SELECT count(*) FROM t WHERE t.transcript_id = q.transcri
 v AS (SELECT transcript_id, no, speaker, sum(length(text)) AS n FROM x WHERE speaker IS NOT NULL GROUP BY 1, 2, 3), z AS (SELECT transcript_id, no, max(struct_pack(n := n, w := speaker)).w AS w FROM v GROUP BY 1, 2)
 SELECT transcript_id, no AS chunk_no, substr(sha256('turns' || chr(0) || a || ':' || b || chr(0) || body), 1, 16) AS chunk_id, w AS speaker, a::BIGINT AS turn_start, b::BIGINT AS turn_end, 'turns' AS source, 'test' AS collection FROM y LEFT JOIN z USING (transcript_id, no)""",
 }
+_SAID = f"""WITH {T}, c AS (SELECT transcript_id, idx, row_number() OVER (PARTITION BY transcript_id ORDER BY idx) - 1 AS cue_no, {_STRIP.format("text")} AS text, {_STRIP.format("raw_speaker")} AS raw, start_ms, end_ms FROM t),
+v AS (SELECT transcript_id, idx, cue_no, text, {_LABEL.format(x="raw")} AS speaker, start_ms, end_ms FROM c WHERE text <> '')"""
+_UTTERED = _SAID + " SELECT transcript_id, cue_no, text, speaker, start_ms, {end} AS end_ms FROM v"
+_GROUPED = _SAID + """, b AS (SELECT *, row_number() OVER w = 1 OR speaker IS DISTINCT FROM lag(speaker) OVER w AS new FROM v WINDOW w AS (PARTITION BY transcript_id ORDER BY idx)),
+k AS (SELECT *, sum(new::INT) OVER (PARTITION BY transcript_id ORDER BY idx) - 1 AS no FROM b)
+SELECT transcript_id, no::BIGINT AS cue_no, string_agg(text, ' ' ORDER BY idx) AS text, min(speaker) AS speaker, first(start_ms ORDER BY idx) AS start_ms, arg_max(end_ms, idx) FILTER (end_ms IS NOT NULL) AS end_ms FROM k GROUP BY 1, 2"""
+SQL |= {f"vendor_{n}": _UTTERED.format(end="end_ms") for n in ("whisper", "assemblyai", "deepgram")}
+SQL |= {"vendor_rev": _UTTERED.format(end="CASE WHEN start_ms IS NOT NULL THEN end_ms END"), "vendor_azure": _UTTERED.format(end="coalesce(start_ms + (end_ms - start_ms), start_ms)")}
+SQL |= {f"vendor_{n}": _GROUPED for n in ("speechmatics", "aws", "google")}

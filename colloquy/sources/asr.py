@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from colloquy.functions.text import strip
+from colloquy.functions.text import let, strip
 from colloquy.operators.turns import group_words
 from colloquy.session import cut
 from colloquy.sources.detect import detect_vendor, finite_json
@@ -65,11 +65,6 @@ def _first(c: Column, path: str) -> Column:
     return F.get(_list(_get(c, path)), F.lit(0))
 
 
-def _let(value: Column, body) -> Column:
-    """`body(value)` with the value computed once per row, also inside lambdas."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _some(*columns: Column) -> Column:
     return F.coalesce(*[F.nullif(c, F.lit("")) for c in columns])
 
@@ -105,11 +100,11 @@ def _cues(t: Column) -> dict[str, Column]:
 
     def guess(all_: Column) -> Column:
         starts = F.filter(F.transform(all_, lambda d: _finite(pick(d, START_KEYS))), lambda n: n.isNotNull())
-        whole = _let(starts, lambda n: (F.array_max(n) > 10_000) & F.forall(n, lambda x: x == F.floor(x)))
+        whole = let(starts, lambda n: (F.array_max(n) > 10_000) & F.forall(n, lambda x: x == F.floor(x)))
         unit = lambda c, ms: F.when(ms, plain_ms(c)).otherwise(seconds_ms(c))
-        return _let(F.coalesce(whole, F.lit(False)), lambda ms: F.transform(all_, lambda d: _cue(pick(d, TEXT_KEYS), pick(d, SPEAKER_KEYS), unit(pick(d, START_KEYS), ms), unit(pick(d, END_KEYS), ms))))
+        return let(F.coalesce(whole, F.lit(False)), lambda ms: F.transform(all_, lambda d: _cue(pick(d, TEXT_KEYS), pick(d, SPEAKER_KEYS), unit(pick(d, START_KEYS), ms), unit(pick(d, END_KEYS), ms))))
 
-    generic = _let(items, guess)
+    generic = let(items, guess)
     return {
         "whisper": whisper, "assemblyai": assembly, "deepgram": F.when(F.size(utterances) > 0, utterances).otherwise(paragraphs), "rev": F.transform(_list(_get(t, "monologues")), monologue),
         "azure": F.transform(_list(_get(t, "recognizedPhrases")), phrase), "generic_list": generic, "generic_dict": generic,
@@ -132,7 +127,7 @@ def _words(t: Column) -> dict[str, Column]:
     speech = lambda i: _cue(_get(_first(i, "alternatives"), "content"), _get(_first(i, "alternatives"), "speaker"), seconds_ms(_get(i, "start_time")), seconds_ms(_get(i, "end_time")), _get(i, "type") == "punctuation")
     return {
         "assemblyai": F.transform(_list(_get(t, "words")), word(plain_ms, "text")), "deepgram": F.transform(deep, word(seconds_ms, "punctuated_word", "word")),
-        "speechmatics": F.transform(_list(_get(t, "results")), speech), "aws": _let(segments, lambda known: F.transform(_list(_get(t, "results.items")), lambda i: aws(i, known))), "google": F.transform(spoken, google),
+        "speechmatics": F.transform(_list(_get(t, "results")), speech), "aws": let(segments, lambda known: F.transform(_list(_get(t, "results.items")), lambda i: aws(i, known))), "google": F.transform(spoken, google),
     }
 
 

@@ -46,7 +46,7 @@ def parse_cues(texts: DataFrame, text: str = "text", format: str | None = None,
 def parse_transcripts(texts: DataFrame, text: str = "text", format: str | None = None, merge: bool = True, max_gap_ms: int | None = None, vendor: str | None = None) -> DataFrame:
     """Turns of all texts; `merge=False` gives the cues. Texts of no known format give no row (see `quarantine`)."""
     cues = parse_cues(texts, text, format, vendor)
-    return merge_turns(cues, max_gap_ms) if merge else cues
+    return merge_turns(cut(cues), max_gap_ms) if merge else cues  # merging reads the cues more than once
 
 
 def quarantine(texts: DataFrame, text: str = "text", mode: str = "PERMISSIVE") -> DataFrame:
