@@ -101,7 +101,10 @@ for _line in NICKNAMES_TEXT.strip().splitlines():
     for _n in _short.split():
         _NICK.setdefault(_n, []).append(_full)
 _ORG = dict(x.split("=") for x in ORGANISATION_TEXT.split())
-_MACHINE = re.compile(r"^(speaker|spkr|spk|sp|s|channel|ch|participant|voice|unknown)[\s_\-#]*(\d+)$", re.I)
+ORGANISATIONS = sorted(_ORG)
+#: Numbered labels of machines.
+MACHINE = r"^(speaker|spkr|spk|sp|s|channel|ch|participant|voice|unknown)[\s_\-#]*(\d+)$"
+_MACHINE = re.compile(MACHINE, re.I)
 _SPECIAL = str.maketrans({"ø": "o", "Ø": "O", "ł": "l", "Ł": "L", "đ": "d", "Đ": "D", "ß": "ss", "æ": "ae", "Æ": "Ae", "œ": "oe", "ı": "i"})
 _OCR = str.maketrans("01354", "olesa")
 _SOUND = str.maketrans({"c": "k", "q": "k", "g": "k", "x": "k", "z": "s", "v": "f", "w": "f", "b": "p", "d": "t", "m": "n", "j": "i", "y": "i"})

@@ -124,10 +124,10 @@ def _events(rows: DataFrame, blocks: Blocks) -> DataFrame:
     x = blocks.ended(x.withColumn("_me", F.struct("pos", "turn_index", "known_ms")), "_me", "_total")
     # a turn that can't say the same as the one before, nor the next as it, bounds no repeated run unless it follows a turn of its speaker or one that may
     x = x.withColumn("_may", F.col("_one") & _may_be_the_same(F.col("_prev.words"), F.col("words")))
-    x = blocks.after(x.withColumn("_me", F.struct("_may")), "_me", "_ahead")
-    x = blocks.before(x, "_me", "_behind").drop("_me")
-    goes_on = F.coalesce("_ahead._may", F.lit(False))
-    x = x.where(F.col("_one") | goes_on | F.col("_behind._may"))
+    edge = F.lit(blocks.several)  # at the ends of a block it may
+    x = x.withColumns({"_ahead": F.lead("_may").over(blocks.whole()), "_behind": F.lag("_may").over(blocks.whole())})
+    goes_on = F.coalesce("_ahead", edge)
+    x = x.where(F.col("_one") | goes_on | F.coalesce("_behind", edge))
     # boundaries only, and the lead over them
     bounds = x.where(~_says_the_same(F.col("_prev.words"), F.col("words"), F.col("_may")))
     bounds = bounds.select(*blocks.keys, "at", "turn_index", "pos", "_stretch", "start_ms", "known_ms", "_total", goes_on.alias("_goes_on"), F.when(F.col("_one") | goes_on, F.col("words")).alias("words"), F.struct("pos", F.col("_prev.turn_index").alias("turn_index"), F.col("_prev.known_ms").alias("known_ms")).alias("_me"))

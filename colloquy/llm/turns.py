@@ -11,12 +11,10 @@ from __future__ import annotations
 import operator
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from colloquy.llm.names import link_names, parse_label
+from colloquy.llm.names import FILLERS, LEGAL, MACHINE, ORGANISATIONS, TITLES, link_names
 from colloquy.llm.noise import HEAD, HESITATIONS, LABEL, MARKS, NOTES, STOPWORDS, TIME
 from colloquy.llm.spoken import ORDER, Blocks, in_spoken_order
 from colloquy.session import cut, join_small
@@ -25,11 +23,18 @@ from colloquy.session import cut, join_small
 BLOCK = 4096
 
 
-@F.pandas_udf(T.BooleanType())
-def _names_someone(labels: pd.Series) -> pd.Series:
-    """Whether a text before a colon is a label of somebody, NULL for NULL."""
-    known = {x: parse_label(x)["kind"] != "none" for x in labels.dropna().unique()}
-    return labels.map(known).astype(object)
+def names_someone(label: Column) -> Column:
+    """Whether a text before a colon is a label of somebody: numbered like a machine's, or with a word of two letters or more that is no title, article or legal form, nor cut by a period."""
+    plain = F.regexp_replace(label, r"\s*(?:\([^)]*\)|\[[^\]]*\]|\{[^}]*\})", " ")
+    plain = F.when(plain.rlike(r"[\p{L}\p{Nd}]"), plain).otherwise(label)
+    words = F.split(F.lower(plain), r"[\s,;/&+_]+")
+
+    def counts(w: Column) -> Column:
+        bare = F.regexp_replace(w, r"^[^\p{L}\p{Nd}]+|[^\p{L}\p{Nd}]+$", "")
+        cut = w.rlike(r"…$|\.\.\.$") | (F.endswith(w, F.lit(".")) & (F.length(bare) >= 3))
+        return (F.length(bare) >= 2) & bare.rlike(r"[\p{L}\p{Nd}]") & ~bare.isin(*FILLERS, *LEGAL, *TITLES) & (~cut | bare.isin(*ORGANISATIONS))
+
+    return label.rlike(rf"(?i){MACHINE}") | F.exists(words, counts)
 
 
 def clock_ms(clock: Column) -> Column:
@@ -65,7 +70,7 @@ def read_fields(rows: DataFrame) -> DataFrame:
     x = x.withColumn("_front", F.when(F.col("raw").isNull(), F.regexp_extract("_body", "(?U)" + LABEL, 0)))
     label = F.when(F.col("_front") != "", F.regexp_extract("_body", "(?U)" + LABEL, 1))
     x = x.withColumn("_label", F.when(F.size(F.split(F.trim(label), r"(?U)\s+")) <= 6, label))
-    x = x.withColumn("_is", F.coalesce(_names_someone("_label"), F.lit(False)))
+    x = x.withColumn("_is", F.coalesce(names_someone(F.col("_label")), F.lit(False)))
     x = x.withColumn("_body", F.when(F.col("_is"), _rest(F.col("_body"), F.col("_front"))).otherwise(F.col("_body")))
     x = x.withColumn("_second", F.when(F.col("_is") & (F.col("_head") == ""), F.regexp_extract("_body", "(?U)" + HEAD, 0)).otherwise(F.lit("")))
     clock = F.regexp_extract(F.when(F.col("_head") != "", F.col("_head")).otherwise(F.col("_second")), TIME, 0)

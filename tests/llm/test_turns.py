@@ -4,9 +4,8 @@ import pytest
 import regex
 from pyspark.sql import functions as F
 
-from colloquy.llm import spoken
+from colloquy.llm import names, spoken
 from colloquy.llm import turns as T
-from colloquy.llm.names import parse_label
 from colloquy.llm.noise import HEAD, LABEL, NOTES, TIME, base_language, is_sound
 from colloquy.llm.repeats import _events, repeated_events, same_statement
 
@@ -22,13 +21,24 @@ def offset_ms(text):
     return n * 1000 + int((part + "000")[:3])
 
 
+def somebody(label):
+    """A numbered machine label, or a word of two letters or more that says who it is."""
+    bare = regex.sub(r"\s*(?:\([^)]*\)|\[[^\]]*\]|\{[^}]*\})", " ", label)
+    for w in regex.split(r"[\s,;/&+_]+", (bare if regex.search(r"[\p{L}\p{Nd}]", bare) else label).lower()):
+        t = regex.sub(r"^[^\p{L}\p{Nd}]+|[^\p{L}\p{Nd}]+$", "", w)
+        cut = w.endswith(("…", "...")) or (w.endswith(".") and len(t) >= 3)
+        if len(t) >= 2 and t not in [*names.FILLERS, *names.LEGAL, *names.TITLES] and (not cut or t in names.ORGANISATIONS):
+            return True
+    return bool(regex.match(names.MACHINE, label, regex.I))
+
+
 def plain_read(text, labelled, lang):
     """What the SQL expressions must give, as a plain loop: time at the head, label, words."""
     text, head, label = text or "", None, None
     for _ in range(2):
         if head is None and (m := regex.match(HEAD, text)):
             head, text = offset_ms(regex.search(TIME, m[0])[0]), text[m.end() :]
-        if not labelled and label is None and (m := regex.match(LABEL, text)) and len(m[1].split()) <= 6 and parse_label(m[1])["kind"] != "none":
+        if not labelled and label is None and (m := regex.match(LABEL, text)) and len(m[1].split()) <= 6 and somebody(m[1]):
             label, text = m[1], text[m.end() :]
         else:
             break
