@@ -28,6 +28,12 @@ def test_whole_cut_and_edited_passages(spark):
     assert found(spark, docs[:1], []) == set() and found(spark, [], [(1, PASSAGE)]) == set()
 
 
+def test_a_passage_under_several_ids_leaks_under_all(spark):
+    other = [(50 + i, OTHER.replace("Konrad Wespestad", f"Kim Bel{c}son").replace("linen", f"tin{c}")) for i, c in enumerate("abcdefghi")]
+    near = PASSAGE.replace("211", "212")
+    assert found(spark, [(1, FILL + PASSAGE + FILL), (2, FILL)], [(1, PASSAGE), (2, PASSAGE), (3, PASSAGE.upper()), (4, near), *other]) == {(1, i) for i in (1, 2, 3, 4)}
+
+
 def test_every_random_leak_is_found(spark):
     r = random.Random(3)
     word = lambda: "".join(r.choices("bdfgklmnprstv", k=1) + r.choices("aeiou", k=1) + r.choices("lnrst", k=1) + r.choices("aeiou", k=1) + r.choices("kmnprt", k=1))

@@ -82,3 +82,9 @@ def test_partial_labels_join_a_name_one_slip_apart(spark):
     # another initial, or two names that fit equally: no link
     assert linked(spark, [("a", "T. Mardorgren"), ("a", "Konrad Mardorgten")]) == set()
     assert linked(spark, [("a", "Mardorgren"), ("a", "Konrad Mardorgten"), ("a", "Amara Mardorgsen")]) == set()
+
+
+def test_long_labels_are_matched_not_permuted():
+    many = [f"token{c}{c}" for c in "abcdefghijklmnop"]
+    assert names.same_name(many, many[::-1]) and not names.same_name(many, [*many[:-1], "another"]) and not names.same_name(many, many[:-1])
+    assert names.same_name(["robert", "anna"], ["anna", "bob"]) and not names.same_name(["ann", "ann"], ["ann", "bob"])
