@@ -73,7 +73,9 @@ def main(argv: Sequence[str] | None = None) -> int:
             for r in (rows.select("context") if o.context else as_json(rows)).toLocalIterator():
                 print(r[0])
         else:
-            rows.show(1000, truncate=100)
+            print("\t".join(rows.columns))
+            for r in rows.toLocalIterator():
+                print("\t".join("" if v is None else str(v) for v in r))
         bad = quarantine(texts).select("source", "reason").collect()  # one row per file that was named
     except Exception as e:
         print(f"can't be read: {str(e).splitlines()[0]}", file=sys.stderr)

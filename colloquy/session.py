@@ -15,11 +15,13 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary folder only where the session names none."""
+    """The folder of ``spark.checkpoint.dir``; where the session names none, a temporary folder in local mode and an error on a cluster."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if sc.master.partition("[")[0] != "local":
+        raise RuntimeError("on a cluster spark.checkpoint.dir must name a shared folder")
     if sc.applicationId not in _OWN:
         _OWN[sc.applicationId] = tempfile.mkdtemp(prefix="colloquy-shared-")
         atexit.register(shutil.rmtree, _OWN[sc.applicationId], ignore_errors=True)
@@ -54,9 +56,10 @@ def _remove_at_exit(spark: SparkSession, folder: str) -> None:
     atexit.register(remove)
 
 
-def join_small(big: DataFrame, small: DataFrame, on: list[str], how: str = "left", limit: int = 100_000) -> DataFrame:
-    """Join with a written table: broadcast if it has at most ``limit`` rows, else an ordinary shuffle join (skew is AQE's)."""
-    return big.join(F.broadcast(small) if small.limit(limit + 1).count() <= limit else small, on, how)
+def join_small(big: DataFrame, small: DataFrame, on: list[str], how: str = "left", limit: int = 100_000, limit_bytes: int = 64 << 20) -> DataFrame:
+    """Join with a written table: broadcast if it has at most ``limit`` rows and ``limit_bytes`` bytes as written, else an ordinary shuffle join (skew is AQE's)."""
+    size = int(small._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return big.join(F.broadcast(small) if size <= limit_bytes and small.limit(limit + 1).count() <= limit else small, on, how)
 
 
 _OWN: dict[str, str] = {}
@@ -72,6 +75,7 @@ def ship(spark: SparkSession) -> None:
     root = Path(__file__).resolve().parent
     if root.parent.is_dir():
         out = os.path.join(tempfile.mkdtemp(prefix="colloquy-"), "colloquy.zip")
+        atexit.register(shutil.rmtree, os.path.dirname(out), ignore_errors=True)
         with zipfile.ZipFile(out, "w") as z:
             for f in sorted(root.rglob("*.py")):
                 z.write(f, str(f.relative_to(root.parent)))
