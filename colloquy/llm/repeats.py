@@ -8,6 +8,7 @@ that says the same as the first turn of the repeated run it follows joins it, by
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import lru_cache
 
 import pandas as pd
@@ -85,16 +86,19 @@ def _same_statement(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def _may_be_the_same(a: Column, b: Column) -> Column:
-    """What two texts must fulfil for `same_statement`: about as many words, and the first or the last ones within its reach."""
+    """What two texts must fulfil for `same_statement`: about as many words, and the first two or the last two within its reach (of four unchanged words around one spot, two stand on one side)."""
     x, y = F.lower(a), F.lower(b)
     blanks = lambda v: F.length(v) - F.length(F.replace(v, F.lit(" "), F.lit("")))
 
-    def near(v: Column, w: Column) -> Column:  # two slips are four single-letter edits at most, one is two
+    def near(of: Callable[[Column], Column]) -> Column:  # two slips are four single-letter edits at most, one is two
+        v, w = of(x), of(y)
         n = F.least(F.length(v), F.length(w))
-        return F.levenshtein(v, w).between(0, F.when(n >= 5, 4).when(n >= 3, 2).otherwise(0))
+        return F.levenshtein(v, w, 4).between(0, F.when(n >= 5, 4).when(n >= 3, 2).otherwise(0))
 
-    first, last = near(F.substring_index(x, " ", 1), F.substring_index(y, " ", 1)), near(F.substring_index(x, " ", -1), F.substring_index(y, " ", -1))
-    return (F.abs(blanks(x) - blanks(y)) < SPOT) & (first | last)
+    def ends(k: int) -> Column:  # a text of one word has it in both places
+        return near(lambda v: F.substring_index(v, " ", k)) & near(lambda v: F.substring_index(F.substring_index(v, " ", 2 * k), " ", -k))
+
+    return (F.abs(blanks(x) - blanks(y)) < SPOT) & (ends(1) | ends(-1))
 
 
 def _says_the_same(a: Column, b: Column, asked: Column) -> Column:
@@ -115,33 +119,31 @@ def repeated_events(turns: DataFrame, recordings: DataFrame) -> DataFrame:
 
 
 def _events(rows: DataFrame, blocks: Blocks) -> DataFrame:
-    known = F.last(F.coalesce("end_ms", "start_ms"), ignorenulls=True).over(blocks.inside())
-    x = rows.withColumn("known_ms", known).drop("end_ms")
-    x = blocks.before(x.withColumn("_me", F.struct("turn_index", "entity", "words", "known_ms")), "_me", "_prev").drop("_me")
+    time = F.coalesce("end_ms", "start_ms")
+    x = blocks.along(rows, written=True, known_ms=("by", time), _known=("before", time), _prev=("previous", F.struct("turn_index", "entity", "words")))
     x = x.where(~F.col("turn_index").eqNullSafe(F.col("_prev.turn_index")))  # a repeated row follows its like
-    one = F.coalesce(F.col("_prev.entity") == F.col("entity"), F.lit(False))
-    x = blocks.numbered(x.withColumn("_one", one), pos=F.lit(True), _stretch=~one)
-    x = blocks.ended(x.withColumn("_me", F.struct("pos", "turn_index", "known_ms")), "_me", "_total")
-    # a turn that can't say the same as the one before, nor the next as it, bounds no repeated run unless it follows a turn of its speaker or one that may
+    x = x.withColumn("_one", F.coalesce(F.col("_prev.entity") == F.col("entity"), F.lit(False)))
     x = x.withColumn("_may", F.col("_one") & _may_be_the_same(F.col("_prev.words"), F.col("words")))
-    edge = F.lit(blocks.several)  # at the ends of a block it may
-    x = x.withColumns({"_ahead": F.lead("_may").over(blocks.whole()), "_behind": F.lag("_may").over(blocks.whole())})
-    goes_on = F.coalesce("_ahead", edge)
-    x = x.where(F.col("_one") | goes_on | F.coalesce("_behind", edge))
+    x = x.select(*blocks.keys, "at", "turn_index", "start_ms", "known_ms", "words", "_one", "_may", F.struct(F.col("_prev.turn_index").alias("turn_index"), F.col("_known").alias("known_ms")).alias("_before"), F.when(F.col("_may"), F.col("_prev.words")).alias("_said"))
+    # a turn that can't say the same as the one before, nor the next as it, bounds no repeated run unless it follows one that may, or any that may in its stretch of one speaker
+    led = F.when(F.col("_may"), True).when(~F.col("_one"), False)
+    x = blocks.along(x, pos=("count", F.lit(True)), _stretch=("count", ~F.col("_one")), _ahead=("next", F.col("_may")), _behind=("previous", F.col("_may")), _led=("by", led), _n=("total", F.lit(True)), _end=("last", F.struct("turn_index", "known_ms")))
+    goes_on, led = F.coalesce("_ahead", F.lit(False)), F.coalesce("_led", F.lit(False))
+    x = x.where(led | goes_on | F.coalesce("_behind", F.lit(False)))
     # boundaries only, and the lead over them
-    bounds = x.where(~_says_the_same(F.col("_prev.words"), F.col("words"), F.col("_may")))
-    bounds = bounds.select(*blocks.keys, "at", "turn_index", "pos", "_stretch", "start_ms", "known_ms", "_total", goes_on.alias("_goes_on"), F.when(F.col("_one") | goes_on, F.col("words")).alias("words"), F.struct("pos", F.col("_prev.turn_index").alias("turn_index"), F.col("_prev.known_ms").alias("known_ms")).alias("_me"))
-    bounds = blocks.after(bounds, "_me", "_next").drop("_me")
-    next_ = F.coalesce("_next", F.struct((F.col("_total.pos") + 1).alias("pos"), F.col("_total.turn_index").alias("turn_index"), F.col("_total.known_ms").alias("known_ms")))
+    bounds = x.where(~_says_the_same(F.col("_said"), F.col("words"), F.col("_may")))
+    bounds = bounds.select(*blocks.keys, "at", "turn_index", "pos", "_stretch", "start_ms", "known_ms", "_n", "_end", goes_on.alias("_goes_on"), F.when(led | goes_on, F.col("words")).alias("words"), "_before")
+    bounds = blocks.along(bounds, _next=("next", F.struct("pos", "_before.turn_index", "_before.known_ms"))).drop("_before")
+    next_ = F.coalesce("_next", F.struct((F.col("_n") + 1).alias("pos"), "_end.turn_index", "_end.known_ms"))
     runs = bounds.withColumn("_next", next_).withColumn("n", F.when(F.col("_goes_on"), F.col("_next.pos") - F.col("pos")).otherwise(1))
     # runs that say the same as the first turn of the repeated run before them
-    runs = blocks.before(runs.withColumn("_me", F.when(F.col("n") >= 2, F.struct("pos", "words", "_stretch"))), "_me", "_lead").drop("_me")
+    runs = blocks.along(runs, _lead=("before", F.when(F.col("n") >= 2, F.struct("pos", "words", "_stretch"))))
     asked = F.coalesce((F.col("_lead._stretch") == F.col("_stretch")) & _may_be_the_same(F.col("_lead.words"), F.col("words")), F.lit(False))
     runs = runs.withColumn("_like", _says_the_same(F.col("_lead.words"), F.col("words"), asked)).where("_like OR n >= 2")
     runs = cut(runs.select(*blocks.keys, "at", "turn_index", "pos", "n", "start_ms", F.when(F.col("n") > 1, F.col("_next.turn_index")).otherwise(F.col("turn_index")).alias("last_turn_index"), F.when(F.col("n") > 1, F.col("_next.known_ms")).otherwise(F.col("known_ms")).alias("known_ms"), "words", "_like", F.col("_lead.pos").alias("_lead_pos")))
     # they join it if no other run lies between
-    runs = blocks.before(runs.withColumn("_me", F.struct((F.col("pos") + F.col("n")).alias("end"))), "_me", "_prev").drop("_me")
-    runs = blocks.before(runs.withColumn("_me", F.when(~F.col("pos").eqNullSafe(F.col("_prev.end")), F.struct("pos"))), "_me", "_since").withColumn("_since", F.coalesce("_me.pos", "_since.pos")).drop("_me", "_prev")
+    runs = blocks.along(runs, written=True, _prev_end=("previous", F.col("pos") + F.col("n")))
+    runs = blocks.along(runs, _since=("by", F.when(~F.col("pos").eqNullSafe(F.col("_prev_end")), F.col("pos"))))
     runs = blocks.numbered(runs, _event=~F.coalesce(F.col("_like") & (F.col("_lead_pos") >= F.col("_since")), F.lit(False)))
     first = lambda c: F.min_by(c, "pos").alias(c)
     events = runs.groupBy("transcript_id", "_event").agg(first("turn_index"), F.max_by("last_turn_index", "pos").alias("last_turn_index"), F.sum("n").alias("n_turns"), first("start_ms"), F.max_by("known_ms", "pos").alias("known_ms"), first("words")).where("n_turns >= 2")

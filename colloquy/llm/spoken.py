@@ -37,51 +37,47 @@ class Blocks:
     def whole(self) -> Window:
         return Window.partitionBy(*self.keys).orderBy(*ORDER)
 
-    def _carry(self, df: DataFrame, summary: Column, over: Column) -> DataFrame:
-        """Per block what `over` says of the `summary` (`_v`) of the other blocks of its transcript."""
-        return cut(df.groupBy(*self.keys).agg(summary.alias("_v")).select(*self.keys, over.alias("_carried")).where("_carried IS NOT NULL"))
-
     def _others(self, first: int, last: int) -> Window:
         return Window.partitionBy("transcript_id").orderBy(*_PLACE).rowsBetween(first, last)
 
+    def along(self, df: DataFrame, written: bool = False, **columns: tuple[str, Column]) -> DataFrame:
+        """Adds for each name, in one pass over the transcript, what its kind says of a value:
+
+        `before`: its last one that isn't NULL in the rows before this one; `by`: in those and this one;
+        `previous`, `next`: that of the row before or after (never NULL itself; NULL at the ends of the transcript);
+        `last`: that of the transcript's last row (never NULL); `count`: how many rows up to and with this one have the
+        flag; `total`: how many rows of the transcript have it. `written`: `df` is a written table or cheap to read twice.
+        """
+        df = cut(df) if self.several and not written else df
+        flag = lambda v: F.coalesce(v.cast("bigint"), F.lit(0).cast("bigint"))
+        order, begin, end = F.struct(*ORDER), Window.unboundedPreceding, Window.unboundedFollowing
+        here = {
+            "before": lambda v: F.last(v, ignorenulls=True).over(self.inside(last=-1)), "by": lambda v: F.last(v, ignorenulls=True).over(self.inside()),
+            "previous": lambda v: F.lag(v).over(self.whole()), "next": lambda v: F.lead(v).over(self.whole()), "last": lambda v: F.last(v).over(self.inside(last=end)),
+            "count": lambda v: F.sum(flag(v)).over(self.inside()), "total": lambda v: F.sum(flag(v)).over(self.inside(last=end)),
+        }
+        out = df.withColumns({n: here[kind](v) for n, (kind, v) in columns.items()})
+        if not self.several:
+            return out
+        # what a block says of a value, and what a block is told by the others
+        latest = lambda v: F.max_by(v, F.when(v.isNotNull(), order))
+        told = dict.fromkeys(("before", "by", "previous"), (latest, lambda v: F.last(v, ignorenulls=True).over(self._others(begin, -1)))) | {
+            "next": (lambda v: F.min_by(v, order), lambda v: F.lead(v).over(Window.partitionBy("transcript_id").orderBy(*_PLACE))), "last": (lambda v: F.max_by(v, order), lambda v: F.last(v).over(self._others(begin, end))),
+            "count": (lambda v: F.sum(flag(v)), lambda v: F.sum(v).over(self._others(begin, -1))), "total": (lambda v: F.sum(flag(v)), lambda v: F.sum(v).over(self._others(begin, end))),
+        }
+        said = df.groupBy(*self.keys).agg(*[told[kind][0](v).alias(n) for n, (kind, v) in columns.items()])
+        carried = cut(said.select(*self.keys, F.struct(*[told[kind][1](F.col(n)).alias(n) for n, (kind, _) in columns.items()]).alias("_carried")))
+        both = {"last": lambda n: F.col(f"_carried.{n}"), "total": lambda n: F.col(f"_carried.{n}"), "count": lambda n: F.col(n) + F.coalesce(f"_carried.{n}", F.lit(0).cast("bigint"))}
+        out = join_small(out, carried, list(self.keys))
+        return out.withColumns({n: both.get(kind, lambda n: F.coalesce(n, f"_carried.{n}"))(n) for n, (kind, _) in columns.items()}).drop("_carried")
+
     def before(self, df: DataFrame, value: str, name: str) -> DataFrame:
         """Adds the last value of the struct column `value` that isn't NULL in the rows before this one in the transcript."""
-        df = cut(df) if self.several else df
-        out = df.withColumn(name, F.last(value, ignorenulls=True).over(self.inside(last=-1)))
-        if self.several:
-            last = F.max_by(value, F.when(F.col(value).isNotNull(), F.struct(*ORDER)))
-            carried = self._carry(df, last, F.last("_v", ignorenulls=True).over(self._others(Window.unboundedPreceding, -1)))
-            out = join_small(out, carried, list(self.keys)).withColumn(name, F.coalesce(name, "_carried")).drop("_carried")
-        return out
-
-    def after(self, df: DataFrame, value: str, name: str) -> DataFrame:
-        """Adds the struct column `value`, never NULL, of the row after this one in the transcript; NULL for its last row."""
-        df = cut(df) if self.several else df
-        out = df.withColumn(name, F.lead(value).over(self.whole()))
-        if self.several:
-            carried = self._carry(df, F.min_by(value, F.struct(*ORDER)), F.lead("_v").over(Window.partitionBy("transcript_id").orderBy(*_PLACE)))
-            out = join_small(out, carried, list(self.keys)).withColumn(name, F.coalesce(name, "_carried")).drop("_carried")
-        return out
+        return self.along(df, **{name: ("before", F.col(value))})
 
     def numbered(self, df: DataFrame, **flags: Column) -> DataFrame:
         """Adds for each name how many rows of the transcript up to and with this one have the flag."""
-        one = {n: F.coalesce(f.cast("bigint"), F.lit(0).cast("bigint")) for n, f in flags.items()}
-        if not self.several:
-            return df.withColumns({n: F.sum(f).over(self.inside()) for n, f in one.items()})
-        x = cut(df.withColumns({f"_flag{n}": f for n, f in one.items()}))
-        sums = F.struct(*[F.sum(f"_flag{n}").alias(n) for n in one])
-        carried = self._carry(x, sums, F.struct(*[F.sum(f"_v.{n}").over(self._others(Window.unboundedPreceding, -1)).alias(n) for n in one]))
-        out = join_small(x, carried, list(self.keys))
-        return out.withColumns({n: F.sum(f"_flag{n}").over(self.inside()) + F.coalesce(f"_carried.{n}", F.lit(0).cast("bigint")) for n in one}).drop("_carried", *[f"_flag{n}" for n in one])
-
-    def ended(self, df: DataFrame, value: str, name: str) -> DataFrame:
-        """Adds the struct column `value`, never NULL, of the last row of the transcript."""
-        if self.several:
-            df = cut(df)
-        else:
-            return df.withColumn(name, F.last(value).over(self.inside(last=Window.unboundedFollowing)))
-        ends = df.groupBy(*self.keys).agg(F.max_by(value, F.struct(*ORDER)).alias("_v")).groupBy("transcript_id").agg(F.max_by("_v", F.struct(*_PLACE)).alias(name))
-        return join_small(df, cut(ends), ["transcript_id"])
+        return self.along(df, **{n: ("count", f) for n, f in flags.items()})
 
 
 def in_spoken_order(rows: DataFrame, counted: DataFrame, of: Callable[[DataFrame, Blocks], DataFrame]) -> DataFrame:

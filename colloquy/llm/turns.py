@@ -50,24 +50,33 @@ def _rest(text: Column, head: Column) -> Column:
     return F.when(head != "", F.substr(text, F.length(head) + 1)).otherwise(text)
 
 
-def without_noise(text: Column, lang: Column) -> Column:
-    """The words of a text, joined by one blank, without marked noise and the hesitation sounds of the language."""
-    holds = [F.contains(text, F.lit(m)) for m in MARKS] + [F.contains(text, F.lit(":")) & text.rlike(r"\d:\d\d:")]
-    bare = F.when(reduce(operator.or_, holds), F.regexp_replace(text, "(?iu)" + NOTES, " ")).otherwise(text)
-    words = F.trim(F.regexp_replace(bare, r"[^\p{L}\p{M}\p{Nd}]+", " "))
-    sound = lambda x: F.trim(F.regexp_replace(words, rf"(?iu)(?:^| )(?:{HESITATIONS['*']}{x})(?= |$)", ""))
-    out = None
-    for g, x in HESITATIONS.items():
-        if g != "*":
-            out = F.when(lang == g, sound(f"|{x}")) if out is None else out.when(lang == g, sound(f"|{x}"))
-    return out.otherwise(sound(""))
+def without_noise(rows: DataFrame, text: str, lang: Column, name: str) -> DataFrame:
+    """`rows` with `name` in place of `text`: its words, joined by one blank, without marked noise and the hesitation sounds of the language.
+
+    Each step is a column of its own, and the branches by language are a lambda: Java leaves methods over 8,000 bytes
+    uncompiled, and nested steps are repeated in each branch.
+    """
+    holds = [F.contains(text, F.lit(m)) for m in MARKS] + [F.contains(text, F.lit(":")) & F.col(text).rlike(r"\d:\d\d:")]
+    x = rows.withColumn("_bare", F.when(reduce(operator.or_, holds), F.regexp_replace(text, "(?iu)" + NOTES, " ")).otherwise(F.col(text)))
+    x = x.withColumn("_words", F.concat(F.lit(" "), F.trim(F.regexp_replace("_bare", r"[^\p{L}\p{M}\p{Nd}]+", " "))))
+
+    def silent(words: Column) -> Column:
+        sound = lambda x: F.trim(F.regexp_replace(words, rf"(?iu) (?:{HESITATIONS['*']}{x})(?= |$)", ""))
+        out = None
+        for g, h in HESITATIONS.items():
+            if g != "*":
+                out = F.when(lang == g, sound(f"|{h}")) if out is None else out.when(lang == g, sound(f"|{h}"))
+        return out.otherwise(sound(""))
+
+    return x.select(*[c for c in rows.columns if c != text], F.coalesce(F.get(F.transform(F.array("_words"), silent), F.lit(0)), F.lit("")).alias(name))
 
 
 def read_fields(rows: DataFrame) -> DataFrame:
     """`rows` (text, raw, lang) with `head_ms` (time at the head), `label` (before the words, for rows without `raw`) and `words` in place of `text`."""
-    x = rows.withColumn("_head", F.regexp_extract("text", "(?U)" + HEAD, 0))
+    clocked = lambda text, of: F.when(F.contains(text, F.lit(":")), of).otherwise(F.lit(""))  # noqa: E731  # no time or label is without a colon
+    x = rows.withColumn("_head", clocked("text", F.regexp_extract("text", "(?U)" + HEAD, 0)))
     x = x.withColumn("_body", _rest(F.col("text"), F.col("_head")))
-    x = x.withColumn("_front", F.when(F.col("raw").isNull(), F.regexp_extract("_body", "(?U)" + LABEL, 0)))
+    x = x.withColumn("_front", F.when(F.col("raw").isNull(), clocked("_body", F.regexp_extract("_body", "(?U)" + LABEL, 0))))
     label = F.when(F.col("_front") != "", F.regexp_extract("_body", "(?U)" + LABEL, 1))
     x = x.withColumn("_label", F.when(F.size(F.split(F.trim(label), r"(?U)\s+")) <= 6, label))
     x = x.withColumn("_is", F.coalesce(names_someone(F.col("_label")), F.lit(False)))
@@ -75,8 +84,9 @@ def read_fields(rows: DataFrame) -> DataFrame:
     x = x.withColumn("_second", F.when(F.col("_is") & (F.col("_head") == ""), F.regexp_extract("_body", "(?U)" + HEAD, 0)).otherwise(F.lit("")))
     clock = F.regexp_extract(F.when(F.col("_head") != "", F.col("_head")).otherwise(F.col("_second")), TIME, 0)
     lang = F.lower(F.substring_index(F.coalesce("lang", F.lit("*")), "-", 1))
-    keep = [c for c in rows.columns if c != "text"]
-    return x.select(*keep, clock_ms(clock).alias("head_ms"), F.when(F.col("_is"), F.col("_label")).alias("label"), F.coalesce(without_noise(_rest(F.col("_body"), F.col("_second")), lang), F.lit("")).alias("words"))
+    keep = [c for c in rows.columns if c not in ("text", "lang")]
+    x = x.select(*keep, "lang", lang.alias("_lang"), F.when((F.col("_head") != "") | (F.col("_second") != ""), clock_ms(clock)).alias("head_ms"), F.when(F.col("_is"), F.col("_label")).alias("label"), _rest(F.col("_body"), F.col("_second")).alias("_text"))
+    return without_noise(x, "_text", F.col("_lang"), "words").drop("_lang")
 
 
 def languages(turns: DataFrame, recordings: DataFrame) -> DataFrame:

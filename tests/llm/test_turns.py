@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from colloquy.llm import names, spoken
 from colloquy.llm import turns as T
 from colloquy.llm.noise import HEAD, LABEL, NOTES, TIME, base_language, is_sound
-from colloquy.llm.repeats import _events, repeated_events, same_statement
+from colloquy.llm.repeats import _events, _may_be_the_same, repeated_events, same_statement
 
 TURN = "transcript_id bigint, turn_index int, text string, speaker string, raw_speaker string, start_ms bigint, end_ms bigint, words string"
 REC = "transcript_id bigint, workspace_id string, lang string, speaker string"
@@ -74,6 +74,16 @@ def test_random_texts_are_read_as_by_a_plain_loop(spark):
         assert (x.head_ms, x.label, x.words.split()) == plain_read(text, raw is not None, lang), text
 
 
+def test_java_compiles_every_method_that_reads_fields(spark):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        parts = T.read_fields(spark.createDataFrame([("um, yes", None, "en")], "text string, raw string, lang string"))._jdf.queryExecution().debug().codegenToSeq()
+        sizes = [parts.apply(i)._3().maxMethodCodeSize() for i in range(parts.size())]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert sizes and max(sizes) < 8000  # larger ones are interpreted
+
+
 def test_clock_times(spark):
     x = spark.createDataFrame([("1:02",), ("00:01:02,5",), ("1:00:00.007",), ("",)], "c string")
     assert [r[0] for r in x.select(T.clock_ms(F.col("c"))).collect()] == [62_000, 62_500, 3_600_007, None]
@@ -157,6 +167,31 @@ def test_runs_whose_turns_differ_in_several_spots_stay_whole(spark, monkeypatch,
     assert got == want
 
 
+@pytest.mark.parametrize("block", [50_000, 1])
+def test_last_known_time_goes_on_into_the_next_block(spark, monkeypatch, block):
+    monkeypatch.setattr(spoken, "BLOCK", block)
+    monkeypatch.setattr(spoken, "SLICE", 500)
+    rows = [(1, 0, 0, 0, 100, "ann", "yes"), (1, 1, 600, None, None, "ann", "Yes"), (1, 2, 1200, None, None, "ann", "yes")]
+    read = spark.createDataFrame(rows, "transcript_id bigint, turn_index bigint, at bigint, start_ms bigint, end_ms bigint, entity string, words string")
+    assert [tuple(x) for x in spoken.in_spoken_order(read, read, _events).collect()] == [(1, 0, 2, 3, 0, 100, "yes")]
+
+
+def test_texts_that_say_the_same_are_asked_for(spark):
+    r = random.Random(11)
+    bits = ["we", "saw", "the", "plan", "today", "meeting", "I", "office", "again", "Berlin", "27", "ok", "患者は", "it"]
+    slips = lambda w: r.choice([w, w, w[:-1], w + "x", w[1:2] + w[:1] + w[2:], w.upper()]) or w
+    pairs = []
+    for _ in range(4000):
+        a = [r.choice(bits) for _ in range(r.randrange(1, 9))]
+        at, n = r.randrange(len(a)), r.randrange(3)
+        b = a[:at] + [r.choice(bits) for _ in range(r.randrange(3))] + a[at + n :]
+        pairs.append((" ".join(a), " ".join(map(slips, b)) or "it"))
+    same = [p for p in pairs if same_statement(*p)]
+    assert len(same) > 300
+    x = spark.createDataFrame(same, "a string, b string")
+    assert x.where(~_may_be_the_same(F.col("a"), F.col("b"))).count() == 0
+
+
 @pytest.mark.parametrize(("a", "b", "same"), [
     ("It feels like a long week already", "it feels like a lengthy week already", True), ("page 642 looks fine to me", "page 650 looks fine to me", False), ("My worry is the kitchen pass not the culture", "My worry is the kotchen pass not the culture", True), ("The pasture needs another look before Monday", "The pasture needs one more look by Monday", False),
     ("The pasture needs another look before Monday", "The pasture needs one more look before Monday", True), ("I went through every plan on Friday", "I went through every plan on Monday", False), ("We saw the ewe and left early", "We saw the barn and left early", False), ("Yes", "Sure", False), ("患者は27回目です", "患者は28回目です", False), ("Konrad said the sauce rose", "Konrad said the sauec rose", True),
