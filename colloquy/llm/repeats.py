@@ -120,11 +120,11 @@ def repeated_events(turns: DataFrame, recordings: DataFrame) -> DataFrame:
 
 def _events(rows: DataFrame, blocks: Blocks) -> DataFrame:
     time = F.coalesce("end_ms", "start_ms")
-    x = blocks.along(rows, written=True, known_ms=("by", time), _known=("before", time), _prev=("previous", F.struct("turn_index", "entity", "words")))
-    x = x.where(~F.col("turn_index").eqNullSafe(F.col("_prev.turn_index")))  # a repeated row follows its like
-    x = x.withColumn("_one", F.coalesce(F.col("_prev.entity") == F.col("entity"), F.lit(False)))
-    x = x.withColumn("_may", F.col("_one") & _may_be_the_same(F.col("_prev.words"), F.col("words")))
-    x = x.select(*blocks.keys, "at", "turn_index", "start_ms", "known_ms", "words", "_one", "_may", F.struct(F.col("_prev.turn_index").alias("turn_index"), F.col("_known").alias("known_ms")).alias("_before"), F.when(F.col("_may"), F.col("_prev.words")).alias("_said"))
+    x = blocks.along(rows, written=True, known_ms=("by", time), _known=("before", time), **{f"_prev_{c}": ("previous", F.col(c)) for c in ("turn_index", "entity", "words")})
+    x = x.where(~F.col("turn_index").eqNullSafe(F.col("_prev_turn_index")))  # a repeated row follows its like
+    x = x.withColumn("_one", F.coalesce(F.col("_prev_entity") == F.col("entity"), F.lit(False)))
+    x = x.withColumn("_may", F.col("_one") & _may_be_the_same(F.col("_prev_words"), F.col("words")))
+    x = x.select(*blocks.keys, "at", "turn_index", "start_ms", "known_ms", "words", "_one", "_may", F.struct(F.col("_prev_turn_index").alias("turn_index"), F.col("_known").alias("known_ms")).alias("_before"), F.when(F.col("_may"), F.col("_prev_words")).alias("_said"))
     # a turn that can't say the same as the one before, nor the next as it, bounds no repeated run unless it follows one that may, or any that may in its stretch of one speaker
     led = F.when(F.col("_may"), True).when(~F.col("_one"), False)
     x = blocks.along(x, pos=("count", F.lit(True)), _stretch=("count", ~F.col("_one")), _ahead=("next", F.col("_may")), _behind=("previous", F.col("_may")), _led=("by", led), _n=("total", F.lit(True)), _end=("last", F.struct("turn_index", "known_ms")))
