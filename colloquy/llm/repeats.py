@@ -54,7 +54,8 @@ def slip(a: str, b: str) -> bool:
     if any(c.isdigit() or ord(c) >= 0x0900 for c in a + b):
         return False
     n = min(len(a), len(b))
-    return distance_within(a, b, 2 if n >= 5 else 1 if n >= 3 else 0)
+    most = 2 if n >= 5 else 1 if n >= 3 else 0
+    return len(set(a) ^ set(b)) <= 2 * most and distance_within(a, b, most)  # a changed letter takes one out and brings one in
 
 
 @lru_cache(maxsize=100_000)

@@ -18,6 +18,8 @@ from colloquy.session import cut, join_small
 
 #: Rows from which a transcript is cut; width of its slices in milliseconds.
 BLOCK, SLICE = 50_000, 3_600_000
+#: Long transcripts that are read by their ids, so that files without them are passed over; more of them are joined.
+FEW = 100
 #: Stands for an unknown time, which comes before all known ones.
 _NEVER = -(1 << 45)
 _PLACE = ["_slice", "_at", "_part"]
@@ -90,7 +92,9 @@ def in_spoken_order(rows: DataFrame, counted: DataFrame, of: Callable[[DataFrame
         return of(rows, Blocks(("transcript_id",), False))
     short = of(join_small(rows, long, ["transcript_id"], "left_anti"), Blocks(("transcript_id",), False))
     at = F.coalesce(F.col("at"), F.lit(_NEVER))
-    x = cut(join_small(rows, long, ["transcript_id"], "left_semi").withColumn("_slice", F.floor(at / SLICE)))
+    ids = [r[0] for r in long.limit(FEW + 1).collect()]
+    x = rows.where(F.col("transcript_id").isin(ids)) if len(ids) <= FEW else join_small(rows, long, ["transcript_id"], "left_semi")
+    x = cut(x.withColumn("_slice", F.floor(at / SLICE)))
     full = x.groupBy("transcript_id", "_slice").count().where(F.col("count") > BLOCK)
     x = join_small(x, cut(full.select("transcript_id", "_slice", F.lit(True).alias("_full"))), ["transcript_id", "_slice"])
     x = x.withColumn("_at", F.when(F.col("_full"), at).otherwise(0)).withColumn("_part", F.when(F.col("_full"), F.floor(F.col("turn_index") / BLOCK)).otherwise(0)).drop("_full")

@@ -61,7 +61,11 @@ def without_noise(rows: DataFrame, text: str, lang: Column, name: str) -> DataFr
     x = x.withColumn("_words", F.concat(F.lit(" "), F.trim(F.regexp_replace("_bare", r"[^\p{L}\p{M}\p{Nd}]+", " "))))
 
     def silent(words: Column) -> Column:
-        sound = lambda x: F.trim(F.regexp_replace(words, rf"(?iu) (?:{HESITATIONS['*']}{x})(?= |$)", ""))
+        def sound(x: str) -> Column:
+            any_ = HESITATIONS["*"] + x
+            heads = "".join(sorted({a[0] for a in any_.split("|")}))  # most words are done with at their first letter
+            return F.trim(F.regexp_replace(words, rf"(?iu) (?=[{heads}])(?:{any_})(?= |$)", ""))
+
         out = None
         for g, h in HESITATIONS.items():
             if g != "*":
