@@ -375,8 +375,8 @@ def render_context(spark, d):
 
 
 def turns_cut(spark, d):
-    b = base(spark, d)
-    return reports.turns_cut(b, chunker.chunk(b, target=SMALL)).withColumnRenamed("index", "turn_index")
+    b = base(spark, d).select("transcript_id", "index", "text", "speaker")
+    return reports.turns_cut(b, chunker.chunk(as_turns(b), target=SMALL)).withColumnRenamed("index", "turn_index")  # times don't tell where a turn is cut
 
 
 def report_quality(spark, d):

@@ -5,6 +5,7 @@ import random
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from colloquy.functions import text as fx
 from colloquy.operators import chunker, diagnostics, reports, sentences, speakers
@@ -174,3 +175,20 @@ def test_context_report_and_documents(spark):
     assert reports.to_nodes(c).first().id_ == d.id and sinks.chunk_records(c).columns == "id text speakers primary_speaker start_ms end_ms turn_start turn_end overlap_indices source meta".split()
     assert reports.recursive_pieces("aaa bbb. ccc\n\nddd", 8, reports.SEPARATORS) == ["aaa bbb", "ccc", "ddd"]
     assert reports.to_context_all(c).count() == 1
+
+
+def test_turns_cut_meets_chunks_by_hash(spark):
+    r = random.Random(5)
+    word = lambda n: " ".join("".join(r.choices("abé", k=3)) for _ in range(n))
+    t = [("ab"[i % 2], i, word(r.choice([3, 4, 5, 9, 12, 40])), None, None, None) for i in range(300)]
+    said = {(k, i): x for k, i, x, *_ in t}
+    part = T.StructType([T.StructField("index", T.LongType()), T.StructField("part_no", T.IntegerType())])
+    held = [(k, n, f"{word(n % 3)} {x} {word(2)}" if n % 4 else x[1:], [(i, 0)] if n % 5 else [(i, None)]) for n, ((k, i), x) in enumerate(said.items()) if n % 3]
+    chunks = spark.createDataFrame(held, T.StructType([T.StructField("transcript_id", T.StringType()), T.StructField("chunk_no", T.IntegerType()), T.StructField("text", T.StringType()), T.StructField("members", T.ArrayType(part))]))
+    whole = {(k, i) for k, _, _, m in held for i, p in m if p is None}
+    want = {key for key, x in said.items() if key not in whole and not any(k == key[0] and x in c for k, _, c, _ in held)}
+    cut = reports.turns_cut(table(spark, t), chunks)
+    assert {(x["transcript_id"], x["index"]) for x in cut.collect()} == want and 0 < len(want) < len(t)
+    # no join compares each turn with each chunk of its transcript
+    met = cut._jdf.queryExecution().optimizedPlan().toString()
+    assert all("chunk_no" in line for line in met.splitlines() if "Join" in line and "Contains" in line)
