@@ -19,6 +19,7 @@ from colloquy.sources.readers import parse_transcripts, with_format
 
 TARGET = 2000  # above the longest turn of the test tables, so that packing alone is seen
 SMALL = 400
+RESPONSE = 4096  # items of one response: the service bounds a recording, so long ones come in several
 
 
 def base(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -273,16 +274,16 @@ def roundtrip_json(spark, d):
     return x.select("transcript_id", F.col("index").alias("cue_no"), "text", "speaker")
 
 
-def _vendor_texts(spark, d, item: Column, head: str, tail: str) -> DataFrame:
-    """Every transcript with its turns' whole texts, labels and times (missing where NULL) as one vendor writes them."""
-    x = base(spark, d).select("transcript_id", "index", F.to_json(item).alias("item"))
-    x = x.groupBy("transcript_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("index", "item"))), lambda r: r["item"]), ",").alias("text"))
+def _vendor_texts(spark, d, item: Column, head: str, tail: str, per: int | None = None) -> DataFrame:
+    """Every transcript with its turns' whole texts, labels and times (missing where NULL) as one vendor writes them, in one response or one for every `per` indices."""
+    x = base(spark, d).select("transcript_id", (F.floor(F.col("index") / per) if per else F.lit(0)).alias("part"), "index", F.to_json(item).alias("item"))
+    x = x.groupBy("transcript_id", "part").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("index", "item"))), lambda r: r["item"]), ",").alias("text"))
     return x.withColumn("text", F.concat(F.lit(head), "text", F.lit(tail)))
 
 
-def _vendor(item, head: str, tail: str, name: str):
+def _vendor(item, head: str, tail: str, name: str, per: int | None = None):
     def query(spark, d):
-        return _cue_rows(parse_transcripts(_vendor_texts(spark, d, item(), head, tail), merge=False))
+        return _cue_rows(parse_transcripts(_vendor_texts(spark, d, item(), head, tail, per), merge=False, part=per and "part"))
 
     query.__name__ = f"vendor_{name}"
     return query
@@ -306,7 +307,7 @@ VENDORS = [
     _vendor(lambda: F.struct("raw_speaker", F.array(F.struct(F.lit("text").alias("type"), F.col("text").alias("value"), _s("start_ms").alias("ts"), _s("end_ms").alias("end_ts"))).alias("elements")).cast("struct<speaker:string,elements:array<struct<type:string,value:string,ts:double,end_ts:double>>>"), '{"monologues":[', "]}", "rev"),
     _vendor(lambda: F.struct(F.col("raw_speaker").alias("speaker"), _ticks("start_ms").alias("offsetInTicks"), (_ticks("end_ms") - _ticks("start_ms")).alias("durationInTicks"), F.array(F.struct(F.col("text").alias("display"))).alias("nBest")), '{"recognizedPhrases":[', "]}", "azure"),
     _vendor(lambda: _item(F.lit("word").alias("type"), speaker="unused"), '{"results":[', "]}", "speechmatics"),
-    _vendor(lambda: _item(F.lit("pronunciation").alias("type"), speaker="speaker_label"), '{"results":{"items":[', "]}}", "aws"),
+    _vendor(lambda: _item(F.lit("pronunciation").alias("type"), speaker="speaker_label"), '{"results":{"items":[', "]}}", "aws", RESPONSE),
     _vendor(lambda: F.struct(F.col("text").alias("word"), F.col("raw_speaker").alias("speakerTag"), F.concat(_s("start_ms").cast("string"), F.lit("s")).alias("startTime"), F.concat(_s("end_ms").cast("string"), F.lit("s")).alias("endTime")), '{"results":[{"alternatives":[{"words":[', "]}]}]}", "google"),
 ]
 

@@ -6,7 +6,7 @@ turns by windows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,8 +31,7 @@ def _list(c: Column) -> Column:
 
 
 def _finite(c: Column) -> Column:
-    n = strip(c).try_cast("double")
-    return F.when(~F.isnan(n) & (F.abs(n) < 9e15), n)
+    return let(strip(c).try_cast("double"), lambda n: F.when(~F.isnan(n) & (F.abs(n) < 9e15), n))
 
 
 def seconds_ms(c: Column) -> Column:
@@ -52,9 +51,8 @@ def google_ms(c: Column) -> Column:
 
 def speaker_label(c: Column) -> Column:
     """Whole numbers become SPEAKER_00 labels; blank and boolean ones NULL."""
-    t = strip(c)
-    n = F.regexp_replace(t, r"^0+(?=\d)", "")
-    return F.when(t.rlike(r"^\d+$"), F.concat(F.lit("SPEAKER_"), F.when(F.length(n) < 2, F.lpad(n, 2, "0")).otherwise(n))).when((t != "") & ~t.isin("true", "false"), t)
+    number = lambda n: F.concat(F.lit("SPEAKER_"), F.when(F.length(n) < 2, F.lpad(n, 2, "0")).otherwise(n))
+    return let(strip(c), lambda t: F.when(t.rlike(r"^\d+$"), number(F.regexp_replace(t, r"^0+(?=\d)", ""))).when((t != "") & ~t.isin("true", "false"), t))
 
 
 def _cue(text: Column, speaker: Column, start: Column, end: Column, punct: Column | None = None) -> Column:
@@ -117,9 +115,12 @@ def _words(t: Column) -> dict[str, Column]:
     segments = F.transform(_list(_get(t, "results.speaker_labels.segments")), lambda s: F.struct(seconds_ms(_get(s, "start_time")).alias("lo"), seconds_ms(_get(s, "end_time")).alias("hi"), _get(s, "speaker_label").alias("who")))
 
     def aws(i: Column, known: Column) -> Column:
-        at = seconds_ms(_get(i, "start_time"))
-        inside = F.get(F.filter(known, lambda s: (s["lo"] <= at) & (at <= s["hi"])), F.lit(0))["who"]
-        return _cue(_get(_first(i, "alternatives"), "content"), _some(_get(i, "speaker_label"), inside), at, seconds_ms(_get(i, "end_time")), _get(i, "type") == "punctuation")
+        def cue(w: Column) -> Column:
+            at = seconds_ms(w["start_time"])
+            inside = let(at, lambda ms: F.get(F.filter(known, lambda s: (s["lo"] <= ms) & (ms <= s["hi"])), F.lit(0))["who"])
+            return _cue(F.get_json_object(w["alternatives"], "$[0].content"), _some(w["speaker_label"], inside), at, seconds_ms(w["end_time"]), w["type"] == "punctuation")
+
+        return let(F.from_json(i, "type string, start_time string, end_time string, speaker_label string, alternatives string"), cue)  # each item is read once
 
     best = lambda r: _first(r, "alternatives")
     spoken = F.try_element_at(F.filter(F.transform(_list(_get(t, "results")), lambda r: _list(_get(best(r), "words"))), lambda a: F.size(a) > 0), F.lit(-1))
@@ -131,38 +132,48 @@ def _words(t: Column) -> dict[str, Column]:
     }
 
 
-def _parse_vendor(texts: DataFrame, vendor: str) -> DataFrame:
-    """Cues of the texts (transcript_id, _t) of one vendor; `_t` is clean JSON."""
+def _parse_vendor(texts: DataFrame, vendor: str, parted: bool) -> DataFrame:
+    """Cues of the texts (transcript_id, _part, _t) of one vendor; `_t` is clean JSON. Words of all parts are numbered and grouped together."""
     t = F.col("_t")
     cues, words = _cues(t).get(vendor), _words(t).get(vendor)
     none = F.array().cast("array<struct<text:string,speaker:string,start_ms:bigint,end_ms:bigint,is_punct:boolean>>")
     untimed = F.transform(F.filter(F.transform(_list(_get(t, "results")), lambda r: _get(_first(r, "alternatives"), "transcript")), lambda s: s.isNotNull()), lambda s: _cue(s, F.lit(None).cast("string"), F.lit(None).cast("bigint"), F.lit(None).cast("bigint")))
     filled = lambda c: none if c is None else F.coalesce(c, none)
-    x = texts.select("transcript_id", filled(cues).alias("_cues"), filled(words).alias("_words"), (untimed if vendor == "google" else none).alias("_untimed"))
+    exploded = lambda y, c, before: y.select("transcript_id", before.alias("_before"), F.posexplode(c).alias("index", "_c")).select("transcript_id", (F.col("_before") + F.col("index")).alias("index"), "_c.*")
+    at = F.shiftleft(F.col("_part"), 32)
+    if cues is None and vendor != "google":  # nothing but words; as a generator, for a filter would carry a copy of them down
+        return group_words(exploded(texts.select("transcript_id", "_part", F.inline(F.array(F.struct(filled(words).alias("_words"))))), "_words", at))
+    x = texts.select("transcript_id", "_part", filled(cues).alias("_cues"), filled(words).alias("_words"), (untimed if vendor == "google" else none).alias("_untimed"))
     whole = F.when(F.size("_cues") > 0, F.col("_cues")).when(F.size("_words") == 0, F.col("_untimed")).otherwise(none)
-    out = x.select("transcript_id", F.posexplode(whole).alias("index", "_c")).select("transcript_id", F.col("index").cast("bigint").alias("index"), "_c.*").where("text <> ''").drop("is_punct")
+    y = x.select("transcript_id", "_part", whole.alias("_whole"))
+    w = Window.partitionBy("transcript_id").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum(F.size("_whole")).over(w), F.lit(0)) if parted else F.lit(0).cast("bigint")
+    out = exploded(y.withColumn("_n", before), "_whole", F.col("_n")).where("text <> ''").drop("is_punct")
     if words is None:
         return out
-    single = x.where((F.size("_cues") == 0) & (F.size("_words") > 0)).select("transcript_id", F.posexplode("_words").alias("index", "_c")).select("transcript_id", F.col("index").cast("bigint").alias("index"), "_c.*")
-    return out.unionByName(group_words(single))
+    single = x.where((F.size("_cues") == 0) & (F.size("_words") > 0))
+    return out.unionByName(group_words(exploded(single, "_words", at)))
 
 
-def parse_asr(texts: DataFrame, text: str = "text", vendor: str | None = None) -> DataFrame:
+def parse_asr(texts: DataFrame, text: str = "text", vendor: str | None = None, part: str | None = None) -> DataFrame:
     """Cues of speech-to-text JSON; `vendor` overrides the one told from the content. A `vendor` column is taken as told. Unrecognised texts have none.
 
     Vendors are told once and written out; each that occurs then has a projection of its own, which keeps plans small.
+    With `part`, a transcript may come in several responses of one vendor and kind, in the order of that whole number; cues
+    count on, and words group, from one to the next, so that a long recording need not be one value.
     """
+    columns = ["transcript_id", (F.col(part) if part else F.lit(0)).cast("bigint").alias("_part"), F.col(text).alias("_t")]
     if vendor:
-        x = texts.select("transcript_id", F.col(text).alias("_t"), F.lit(vendor).alias("vendor"))
+        x = texts.select(*columns, F.lit(vendor).alias("vendor"))
     elif "vendor" in texts.columns:
-        x = texts.select("transcript_id", F.col(text).alias("_t"), "vendor")
+        x = texts.select(*columns, "vendor")
     else:
-        x = cut(texts.select("transcript_id", F.col(text).alias("_t"), F.inline(F.array(F.struct(detect_vendor(F.col(text)).alias("vendor"))))))
+        x = cut(texts.select(*columns, F.inline(F.array(F.struct(detect_vendor(F.col(text)).alias("vendor"))))))
     clean = x.withColumn("_t", finite_json(F.regexp_replace("_t", "^[﻿ \t\r\n]+", "")))
-    known = [vendor] if vendor else sorted(r[0] for r in x.select("vendor").where("vendor IS NOT NULL").distinct().collect())  # ten at most
+    found = [vendor] if vendor else sorted(r[0] for r in x.select("vendor").where("vendor IS NOT NULL").distinct().collect())  # ten at most
     out = texts.sparkSession.createDataFrame([], T.StructType([texts.schema["transcript_id"], *_CUE.fields]))
-    for v in known:
-        out = out.unionByName(_parse_vendor(clean.where(F.col("vendor") == v), v))
+    for v in found:
+        out = out.unionByName(_parse_vendor(clean.where(F.col("vendor") == v), v, part is not None))
     return out.withColumn("raw_speaker", F.lit(None).cast("string")).withColumn("rolling_duplicate_cues", F.lit(0).cast("bigint"))
 
 

@@ -34,18 +34,20 @@ def with_format(texts: DataFrame, text: str = "text", format: str | None = None)
     return x.select(*keep, "format", F.when(F.col("format") == "json", F.col("vendor")).alias("vendor"))
 
 
-def parse_cues(texts: DataFrame, text: str = "text", format: str | None = None, vendor: str | None = None) -> DataFrame:
-    """Cues of all texts (transcript_id, `text`), each by the parser of its format."""
-    x = cut(with_format(texts.select("transcript_id", F.col(text).alias("text")), "text", format))  # formats are told once
+def parse_cues(texts: DataFrame, text: str = "text", format: str | None = None, vendor: str | None = None, part: str | None = None) -> DataFrame:
+    """Cues of all texts (transcript_id, `text`), each by the parser of its format; JSON may come in parts (see `parse_asr`)."""
+    x = cut(with_format(texts.select("transcript_id", F.col(text).alias("text"), *([F.col(part).alias("part")] if part else [])), "text", format))  # formats are told once
     found = {r[0] for r in x.select("format").distinct().collect()}  # four at most
-    of = {"vtt": parse_vtt, "srt": parse_srt, "plain": parse_plain, "json": partial(parse_asr, vendor=vendor)}
+    if part and found - {"json", None}:
+        raise ValueError("only JSON may come in parts")
+    of = {"vtt": parse_vtt, "srt": parse_srt, "plain": parse_plain, "json": partial(parse_asr, vendor=vendor, part=part and "part")}
     parts = [parse(x.where(F.col("format") == f)).select(*CUES) for f, parse in of.items() if f in found]
     return reduce(DataFrame.unionByName, parts or [parse_srt(x).select(*CUES)])
 
 
-def parse_transcripts(texts: DataFrame, text: str = "text", format: str | None = None, merge: bool = True, max_gap_ms: int | None = None, vendor: str | None = None) -> DataFrame:
+def parse_transcripts(texts: DataFrame, text: str = "text", format: str | None = None, merge: bool = True, max_gap_ms: int | None = None, vendor: str | None = None, part: str | None = None) -> DataFrame:
     """Turns of all texts; `merge=False` gives the cues. Texts of no known format give no row (see `quarantine`)."""
-    cues = parse_cues(texts, text, format, vendor)
+    cues = parse_cues(texts, text, format, vendor, part)
     return merge_turns(cut(cues), max_gap_ms) if merge else cues  # merging reads the cues more than once
 
 

@@ -192,3 +192,18 @@ def test_turns_cut_meets_chunks_by_hash(spark):
     # no join compares each turn with each chunk of its transcript
     met = cut._jdf.queryExecution().optimizedPlan().toString()
     assert all("chunk_no" in line for line in met.splitlines() if "Join" in line and "Contains" in line)
+
+
+def test_json_in_several_responses(spark):
+    aws = lambda part: {"results": {"items": [{"type": "pronunciation", "start_time": i, "end_time": i + 0.5, "speaker_label": w, "alternatives": [{"content": f"w{i}"}]} for i, w in part]}}
+    whisper = lambda part: {"segments": [{"text": "" if i % 3 == 0 else f"w{i}", "speaker": w, "start": i, "end": i + 0.5} for i, w in part]}
+    said = [(i, "AB"[i // 4 % 2]) for i in range(19)]
+    rows = [(f.__name__, n, json.dumps(f(part))) for name, f in (("aws", aws), ("whisper", whisper)) for per in (5, 19) if not setattr(f, "__name__", f"{name} {per}") for n, part in enumerate([said[i : i + per] for i in range(0, 19, per)])]
+    cues = parse_transcripts(spark.createDataFrame(rows, "transcript_id string, n int, text string"), merge=False, part="n").orderBy("transcript_id", "index").collect()
+    by = {}
+    for c in cues:
+        by.setdefault(c.transcript_id, []).append((c["index"], c.text, c.speaker, c.start_ms, c.end_ms))
+    assert by["aws 5"] == by["aws 19"] and [x[0] for x in by["aws 5"]] == list(range(5)) and by["aws 5"][1] == (1, "w4 w5 w6 w7", "B", 4000, 7500)
+    assert by["whisper 5"] == by["whisper 19"] and [x[0] for x in by["whisper 5"]] == [i for i in range(19) if i % 3]
+    with pytest.raises(ValueError):
+        parse_transcripts(spark.createDataFrame([("t", 0, TEXTS["a.srt"])], "transcript_id string, n int, text string"), part="n")
