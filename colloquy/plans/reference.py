@@ -19,13 +19,17 @@ from colloquy.sources.readers import parse_transcripts, with_format
 
 TARGET = 2000  # above the longest turn of the test tables, so that packing alone is seen
 SMALL = 400
-RESPONSE = 4096  # items of one response: the service bounds a recording, so long ones come in several
+RESPONSE = 4096  # turn indices of one response; longer transcripts come in several
 
 
 def base(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = table(spark, sf_dir, "turns").where("transcript_id IS NOT NULL AND turn_index IS NOT NULL")
-    t = t.groupBy("transcript_id", "turn_index").agg(*[F.min(c).alias(c) for c in ("text", "speaker", "raw_speaker", "start_ms", "end_ms")])
-    return as_turns(t, order="turn_index").withColumn("text", F.coalesce("text", F.lit("")))
+    return as_turns(_once(table(spark, sf_dir, "turns")), order="turn_index").withColumn("text", F.coalesce("text", F.lit("")))
+
+
+def _once(turns: DataFrame, *more: str) -> DataFrame:
+    """Every turn once; `more` are columns told by its key."""
+    t = turns.where("transcript_id IS NOT NULL AND turn_index IS NOT NULL")
+    return t.groupBy("transcript_id", *more, "turn_index").agg(*[F.min(c).alias(c) for c in ("text", "speaker", "raw_speaker", "start_ms", "end_ms")])
 
 
 T = """t AS (SELECT transcript_id, turn_index::BIGINT AS idx, coalesce(min(text), '') AS text, min(speaker) AS speaker, min(raw_speaker) AS raw_speaker,
@@ -276,7 +280,12 @@ def roundtrip_json(spark, d):
 
 def _vendor_texts(spark, d, item: Column, head: str, tail: str, per: int | None = None) -> DataFrame:
     """Every transcript with its turns' whole texts, labels and times (missing where NULL) as one vendor writes them, in one response or one for every `per` indices."""
-    x = base(spark, d).select("transcript_id", (F.floor(F.col("index") / per) if per else F.lit(0)).alias("part"), "index", F.to_json(item).alias("item"))
+    if per:  # turns are brought together by response, and counted once there
+        t = _once(table(spark, d, "turns").withColumn("part", F.floor(F.col("turn_index") / per)).repartition("transcript_id", "part"), "part")
+        x = t.select("transcript_id", "part", F.col("turn_index").alias("index"), F.coalesce("text", F.lit("")).alias("text"), "raw_speaker", "start_ms", "end_ms")
+    else:
+        x = base(spark, d).withColumn("part", F.lit(0))
+    x = x.select("transcript_id", "part", "index", F.to_json(item).alias("item"))
     x = x.groupBy("transcript_id", "part").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("index", "item"))), lambda r: r["item"]), ",").alias("text"))
     return x.withColumn("text", F.concat(F.lit(head), "text", F.lit(tail)))
 

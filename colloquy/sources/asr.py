@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from colloquy.functions.text import let, strip
 from colloquy.operators.turns import group_words
 from colloquy.session import cut
-from colloquy.sources.detect import detect_vendor, finite_json
+from colloquy.sources.detect import detect_vendor, finite_json, unblank
 
 #: Names that fields go by in unknown JSON, first come first served.
 TEXT_KEYS = "text transcript value content".split()
@@ -27,7 +27,7 @@ def _get(c: Column, path: str) -> Column:
 
 
 def _list(c: Column) -> Column:
-    return F.coalesce(F.when(F.ltrim(c).startswith("["), F.from_json(c, "array<string>")), F.array().cast("array<string>"))
+    return F.coalesce(let(c, lambda c: F.when(F.ltrim(c).startswith("["), F.from_json(c, "array<string>"))), F.array().cast("array<string>"))
 
 
 def _finite(c: Column) -> Column:
@@ -169,7 +169,7 @@ def parse_asr(texts: DataFrame, text: str = "text", vendor: str | None = None, p
         x = texts.select(*columns, "vendor")
     else:
         x = cut(texts.select(*columns, F.inline(F.array(F.struct(detect_vendor(F.col(text)).alias("vendor"))))))
-    clean = x.withColumn("_t", finite_json(F.regexp_replace("_t", "^[﻿ \t\r\n]+", "")))
+    clean = x.select("transcript_id", "_part", "vendor", F.inline(F.array(F.struct(finite_json(unblank(F.col("_t"))).alias("_t")))))  # cleaned once
     found = [vendor] if vendor else sorted(r[0] for r in x.select("vendor").where("vendor IS NOT NULL").distinct().collect())  # ten at most
     out = texts.sparkSession.createDataFrame([], T.StructType([texts.schema["transcript_id"], *_CUE.fields]))
     for v in found:
