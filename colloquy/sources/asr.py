@@ -31,7 +31,8 @@ def _list(c: Column) -> Column:
 
 
 def _finite(c: Column) -> Column:
-    return let(strip(c).try_cast("double"), lambda n: F.when(~F.isnan(n) & (F.abs(n) < 9e15), n))
+    read = let(c, lambda c: F.coalesce(c.try_cast("double"), strip(c).try_cast("double")))  # most need no stripping
+    return let(read, lambda n: F.when(~F.isnan(n) & (F.abs(n) < 9e15), n))
 
 
 def seconds_ms(c: Column) -> Column:
@@ -56,7 +57,8 @@ def speaker_label(c: Column) -> Column:
 
 
 def _cue(text: Column, speaker: Column, start: Column, end: Column, punct: Column | None = None) -> Column:
-    return F.struct(strip(text).alias("text"), speaker_label(speaker).alias("speaker"), start.alias("start_ms"), end.alias("end_ms"), (F.lit(False) if punct is None else F.coalesce(punct, F.lit(False))).alias("is_punct"))
+    bare = let(text, lambda t: F.when(t.rlike(r"(?s)\A[!-~](?:.*[!-~])?\z"), t).otherwise(strip(t)))  # most have no white space around
+    return F.struct(bare.alias("text"), speaker_label(speaker).alias("speaker"), start.alias("start_ms"), end.alias("end_ms"), (F.lit(False) if punct is None else F.coalesce(punct, F.lit(False))).alias("is_punct"))
 
 
 def _first(c: Column, path: str) -> Column:
